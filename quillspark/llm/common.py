@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ word_hashes = WordHashes()
 
 def batches_of(batch: pa.RecordBatch, text: int, most_chars: int = 4_000_000):
     """Slices of a batch that hold about most_chars bytes of text at most, or one row."""
-    size = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(size.tolist()):
         if i > start and held + n > most_chars:

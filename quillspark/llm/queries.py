@@ -5,17 +5,58 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from pyspark.sql import functions as F
+
+from . import decontamination, fingerprint, language_id, license_scan, secret_scan, token_files, url_filter
 from .common import scratch, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language_id.learn(docs.filter(~held_out))
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_token_files": op3_token_files,
+    "op5_license_scan": op5_license_scan,
+    "op6_decontamination": op6_decontamination,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_url_filter": op9_url_filter,
+    "op10_language_id": op10_language_id,
+}
+ORACLES = {
+    "op1_fingerprints": fingerprint.oracle(),
+    "op5_license_scan": license_scan.oracle(),
+    "op6_decontamination": decontamination.oracle(),
 }
-ORACLES = {}

@@ -6,7 +6,7 @@ one code for the corpus, at most MAX_BITS long. A block holds its documents' ids
 bit offset of each STEP-th id, so that a reader decodes all stretches of a block side by side by one table.
 
 Defined results: a null text is an empty one (its list is the end id alone); an empty table gives no rows; rows that
-repeat a doc_id are all kept, in the order of their id lists; other columns are ignored; a text of any length is one
+repeat a doc_id are all kept, in the order of their texts; other columns are ignored; a text of any length is one
 list. What the driver holds: a count for each id of the vocabulary, and a sum for each part file.
 """
 
@@ -17,7 +17,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -229,7 +228,8 @@ def id_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
         if rows:
             yield block()
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lists, "doc_id long, n_ids long, ids binary").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # dealt out before tokenising: finding the ranges reads its input once more, and that should be the scan alone
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lists, "doc_id long, n_ids long, ids binary")
     return dealt.mapInArrow(blocks, BLOCKS + ", ids binary, width int")
 
 
