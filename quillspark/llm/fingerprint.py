@@ -1,6 +1,6 @@
 """Fingerprints of documents: a Merkle tree over sections, paragraphs and pieces, with DataFrame functions only.
 
-A paragraph is a line; a section is SECTION paragraphs; a piece is a sentence of a paragraph, cut at PIECE code points. A node's hash is made
+A paragraph is a line; a section is SECTION paragraphs; a piece is a sentence of a paragraph, cut at so many code points as PIECE tells. A node's hash is made
 of its children's, and the root is a SHA-256. A fingerprint is `root|sections|paragraphs|pieces`, the lower levels cut to 8 hex
 digits: equal roots mean equal texts, and where roots differ, the differing branches tell which sections and paragraphs were edited.
 Likeness is 1 for equal roots, else the Jaccard similarity of the pieces' hashes (0 to 1).
@@ -17,14 +17,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECTION, PIECE, BLOCK = 4, 64, 4096
-PIECES = rf"[^.!?]{{1,{PIECE}}}[.!?]*|[.!?]+"
+SECTION, BLOCK = 4, 4096
+#: Pieces are cut at so many code points, by the length of the text (below), the last for all longer ones: short texts need fine pieces.
+PIECE = ((2, 32), (8, 512), (64, None))
+
+
+def pieces(size: int) -> str:
+    return rf"[^.!?]{{1,{size}}}[.!?]*|[.!?]+"
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a string column; null counts as empty."""
     short = lambda x: F.substring(F.md5(x), 1, 8)
-    leaves = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PIECES), F.lit(0)), short), ""))
+    text = F.coalesce(text, F.lit(""))
+    whole = [F.length(text) < below for _, below in PIECE[:-1]]
+    (a, _), (b, _), (c, _) = PIECE
+    every = lambda p, k: F.regexp_extract_all(p, F.lit(pieces(k)), F.lit(0))
+    cut = lambda p: F.when(whole[0], every(p, a)).when(whole[1], every(p, b)).otherwise(every(p, c))
+    leaves = F.transform(F.split(text, "\n", -1), lambda p: F.array_join(F.transform(cut(p), short), ""))
     # leaves: a string of 8 hex digits a piece, for each paragraph
     paragraphs = lambda a: F.transform(a, short)
     sections = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SECTION).cast("int")), lambda i: short(F.array_join(F.slice(a, i * SECTION + 1, F.lit(SECTION)), "")))
@@ -89,7 +99,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def oracle() -> str:
     def tree(x: str) -> str:
-        return f"""list_transform([list_transform(string_split({x}, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, '{PIECES}'), lambda q: md5(q)[1:8]), ''))],
+        cases = " ".join(f"WHEN length({x}) < {below or 1 << 62} THEN regexp_extract_all(p, '{pieces(k)}')" for k, below in PIECE)
+        return f"""list_transform([list_transform(string_split({x}, chr(10)), lambda p: array_to_string(list_transform(CASE {cases} END, lambda q: md5(q)[1:8]), ''))],
       lambda a: list_transform([list_transform(a, lambda q: md5(q)[1:8])], lambda p: list_transform([list_transform(range(0, (len(a) - 1) // {SECTION} + 1), lambda i: md5(array_to_string(p[i * {SECTION} + 1 : i * {SECTION} + {SECTION}], ''))[1:8])],
         lambda s: sha256(array_to_string(s, '') || '/' || array_to_string(p, '') || '/' || array_to_string(a, ',')) || '|' || array_to_string(s, '') || '|' || array_to_string(p, '') || '|' || array_to_string(a, ','))[1])[1])[1]"""
 

@@ -12,6 +12,7 @@ of the language that is returned (ties: the language first in sorted order).
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -114,7 +115,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     logs = {g: np.log((n + 0.5) / (totals[:, len(g)] + 0.5 * kinds[len(g)] + 1)).astype(np.float32) for g, n in grams.items()}
     unseen = {k: np.log(0.5 / (totals[:, k] + 0.5 * kinds[k] + 1)).astype(np.float32) if langs else None for k in (1, 2, 3)}
     used = np.sum(list(scripts.values()), axis=0) if scripts else None
-    return {"langs": langs, "runs": logs, "unseen": unseen, "scripts": {s: (n >= 0.01 * used) for s, n in scripts.items()}}
+    return {"name": uuid.uuid4().hex, "langs": langs, "runs": logs, "unseen": unseen, "scripts": {s: (n >= 0.01 * used) for s, n in scripts.items()}}
 
 
 class Scorer:
@@ -184,7 +185,15 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np
     return out
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(model: dict) -> Scorer:
+    """The scorer of this Python worker; only the last model's is kept."""
+    if model["name"] not in _scorers:
+        _scorers.clear()
+        _scorers[model["name"]] = Scorer(model)
+    return _scorers[model["name"]]
 
 
 def labelled(texts: list[str | None], scorer: Scorer) -> tuple[list[str], list[float], list[list[tuple[str, int]]]]:
@@ -215,7 +224,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most RUNS_A_LANGUAGE runs a language
 
     def judge(batches):
-        scorer = _scorers.setdefault(shared.id, Scorer(shared.value))
+        scorer = scorer_of(shared.value)
         for whole in batches:
             for batch in batches_of(whole, 1):
                 langs, score, spans = labelled(batch.column(1).to_pylist(), scorer)
@@ -230,7 +239,7 @@ def keep_known(docs: DataFrame, model: dict, least: float = 0.5, text_col: str =
     at = docs.columns.index(text_col)
 
     def keep(batches):
-        scorer = _scorers.setdefault(shared.id, Scorer(shared.value))
+        scorer = scorer_of(shared.value)
         for whole in batches:
             for batch in batches_of(whole, at):
                 langs, score, _ = labelled(batch.column(at).to_pylist(), scorer)

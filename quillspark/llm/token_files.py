@@ -37,12 +37,17 @@ class WordTokens:
     Lower-casing A-Z first changes nothing where both forms are in NFC already and no special token can arise.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_200_000):
+        import json
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # words of lower-case letters in NFC pass the normaliser and the splitting pattern unchanged: a copy without them is faster
+        plain = json.loads(self.tokenizer.to_str())
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": next(x for x in plain["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.apart = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
         self.clear()
@@ -52,9 +57,17 @@ class WordTokens:
         self.starts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
+        letters, other = [], []
+        for w in words:
+            s = w.decode()
+            (letters if s.isalpha() and s.lower() == s and unicodedata.is_normalized("NFC", s) else other).append((w, s))
+        self.learn_by(self.plain, letters)
+        self.learn_by(self.tokenizer, other)
+
+    def learn_by(self, tokenizer, words: list[tuple[bytes, str]]) -> None:
         for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            got = self.tokenizer.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
+            part = [w for w, _ in words[i : i + 20_000]]
+            got = tokenizer.encode([s for _, s in words[i : i + 20_000]], is_pretokenized=True, add_special_tokens=False)
             ids, of = np.array(got.ids, np.uint32), np.array(got.word_ids, np.int64)
             ends = self.held + np.cumsum(np.bincount(of, minlength=len(part)))
             while self.held + len(ids) > len(self.ids):
@@ -162,13 +175,24 @@ def encoded(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[by
     sizes = lengths[ids].astype(np.int64)
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    starts = ends - sizes
-    byte = starts >> 3
-    value = codes[ids].astype(np.int64) << (24 - (starts & 7) - sizes)
-    out = np.zeros((total >> 3) + 4)
-    for k, shift in enumerate((16, 8, 0)):
-        out += np.bincount(byte + k, (value >> shift) & 255, len(out))
-    return out[: (total + 7) >> 3].astype(np.uint8).tobytes(), starts[::STEP].astype(np.uint32), total
+    checkpoints = (ends - sizes)[::STEP].astype(np.uint32)
+    value, size = codes[ids].astype(np.uint64), sizes.astype(np.uint64)
+    for _ in range(2):  # neighbours become one, twice: four codes are 64 bits at most
+        if len(value) % 2:
+            value, size = np.append(value, np.uint64(0)), np.append(size, np.uint64(0))
+        value, size = (value[::2] << size[1::2]) | value[1::2], size[::2] + size[1::2]
+    ends = np.cumsum(size.astype(np.int64))
+    start, used = ends - size.astype(np.int64), size > 0
+    value, size, start = value[used], size[used], start[used]
+    place, off = start >> 6, (start & 63).astype(np.uint64)
+    left = value << (np.uint64(64) - size)
+    first, rest = left >> off, np.where(off > 0, left << (np.uint64(64) - np.maximum(off, np.uint64(1))), np.uint64(0))
+    out = np.zeros((total >> 6) + 2, np.uint64)
+    if total:
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        out[place[cut]] = np.bitwise_or.reduceat(first, cut)
+        out[place[cut] + 1] |= np.bitwise_or.reduceat(rest, cut)
+    return out.astype(">u8").tobytes()[: (total + 7) >> 3], checkpoints, total
 
 
 def decoded(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
