@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, language_id, license_scan, secret_scan, token_files, url_filter
+from . import decontamination, fingerprint, language_id, license_scan, secret_scan, substring_dedup, token_files, url_filter
 from .common import scratch, table
 
 
@@ -35,6 +35,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), with_kept=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }
@@ -59,4 +64,5 @@ ORACLES = {
     "op1_fingerprints": fingerprint.oracle(),
     "op5_license_scan": license_scan.oracle(),
     "op6_decontamination": decontamination.oracle(),
+    "op8_substring_dedup": substring_dedup.oracle(),
 }
