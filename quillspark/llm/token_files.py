@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import batches_of, stored, texts_of
 
 BLOCK, STEP, MAX_BITS = 1 << 19, 256, 16
+#: Stands for a null doc_id in a block.
+NO_ID = -(1 << 63)
 
 
 # ---- tokenising ----
@@ -33,13 +36,12 @@ class WordTokens:
     """Ids of texts by the tokenizers library, a word at a time: words seen before are looked up.
 
     Exact for tokenizers whose pre-tokenizer drops white space and lower-cases, as word_bpe_49k does: no token spans
-    white space. A full stop or comma after an ASCII letter or digit is a pre-token of its own, so it may be set apart.
+    white space.
     Lower-casing A-Z first changes nothing where both forms are in NFC already and no special token can arise.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import json
-        import re
 
         from tokenizers import Tokenizer
 
@@ -49,7 +51,6 @@ class WordTokens:
         plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": next(x for x in plain["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")}
         self.plain = Tokenizer.from_str(json.dumps(plain))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.apart = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
         self.clear()
 
     def clear(self) -> None:
@@ -59,48 +60,60 @@ class WordTokens:
     def learn(self, words: list[bytes]) -> None:
         letters, other = [], []
         for w in words:
-            s = w.decode()
-            (letters if s.isalpha() and s.lower() == s and unicodedata.is_normalized("NFC", s) else other).append((w, s))
-        self.learn_by(self.plain, letters)
-        self.learn_by(self.tokenizer, other)
+            # a full stop or comma after an ASCII letter or digit is a pre-token of its own
+            for part in (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else (w,):
+                if part not in self.known:
+                    s = part.decode()
+                    (letters if s.isalpha() and s.lower() == s and unicodedata.is_normalized("NFC", s) else other).append((part, s))
+        self.learn_by(self.plain, list(dict.fromkeys(letters)))
+        self.learn_by(self.tokenizer, list(dict.fromkeys(other)))
+        both = [(w, self.known[w[:-1]], self.known[w[-1:]]) for w in words if w not in self.known]
+        if both:
+            ids, sizes = self.gather(np.array([x[1:] for x in both]).reshape(-1))
+            self.add([w for w, _, _ in both], ids, sizes[::2] + sizes[1::2])
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words, one word after another, and how many each has."""
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)], lengths
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.starts[self.n + 1 : self.n + len(words) + 1] = self.held + np.cumsum(sizes)
+        self.known.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n, self.held = self.n + len(words), self.held + len(ids)
 
     def learn_by(self, tokenizer, words: list[tuple[bytes, str]]) -> None:
         for i in range(0, len(words), 20_000):
             part = [w for w, _ in words[i : i + 20_000]]
             got = tokenizer.encode([s for _, s in words[i : i + 20_000]], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, np.uint32), np.array(got.word_ids, np.int64)
-            ends = self.held + np.cumsum(np.bincount(of, minlength=len(part)))
-            while self.held + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.n + len(part) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.ids[self.held : self.held + len(ids)] = ids
-            self.starts[self.n + 1 : self.n + len(part) + 1] = ends
-            self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n, self.held = self.n + len(part), self.held + len(ids)
+            self.add(part, np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        words, sizes = [], []
+        lists = []
         for text in texts:
             text = text or b""
             if b"<|" not in text:
                 low = text.lower()
                 if text.isascii() or (unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", low.decode())):
                     text = low
-            found = self.apart.sub(rb" \1", text).split()
-            words += found
-            sizes.append(len(found))
+            lists.append(text.split())
+        words, sizes = list(chain.from_iterable(lists)), [len(x) for x in lists]
         if self.n > self.most:
             self.clear()
-        try:
-            at = np.array([self.known[w] for w in words], np.int64)
-        except KeyError:
-            self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-            at = np.array([self.known[w] for w in words], np.int64)
-        lengths = self.starts[at + 1] - self.starts[at]
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self.learn(list(dict.fromkeys([words[i] for i in new])))
+            at[new] = [self.known[words[i]] for i in new]
+        ids, lengths = self.gather(at)
         ends = np.cumsum(lengths)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
         bound = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
         return ids, np.diff(bound)
 
@@ -219,41 +232,33 @@ BLOCKS = "part int, block int, first_doc_id long, n_docs long, n_ids long, doc_i
 def id_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Blocks of plain ids, in ascending doc_id order within parts, and the parts in ascending order."""
 
-    def lists(batches):
-        import zstandard
-
-        tokens, press = word_tokens(tokenizer_path), zstandard.ZstdCompressor(level=1)
-        for whole in batches:
-            for batch in batches_of(whole, 1):
-                ids, sizes = with_end(*tokens(texts_of(batch.column(1))), end_id)
-                ids = ids.astype(np.uint16 if tokens.vocabulary <= 1 << 16 else np.uint32)
-                parts = np.split(ids, np.cumsum(sizes)[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([press.compress(p.tobytes()) for p in parts], pa.binary())], ["doc_id", "n_ids", "ids"])
+    kind = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("width", pa.int32())])
 
     def blocks(batches):
         import zstandard
 
-        open_, part, seq, held, rows = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0, 0, []
-        press = zstandard.ZstdCompressor(level=1)
+        tokens, press = word_tokens(tokenizer_path), zstandard.ZstdCompressor(level=1)
+        width = 2 if tokens.vocabulary <= 1 << 16 else 4
+        part, seq, held, rows = TaskContext.get().partitionId(), 0, 0, []
 
         def block():
-            raw = b"".join(open_.decompress(r[2]) for r in rows)
-            d, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            return pa.RecordBatch.from_pylist([{"part": part, "block": seq, "first_doc_id": int(d[0]), "n_docs": len(d), "n_ids": int(n.sum()), "doc_ids": d.tobytes(), "sizes": n.tobytes(), "ids": press.compress(raw), "width": len(raw) // max(1, int(n.sum()))}], schema=kind)
+            d, n = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            raw = b"".join(r[2].astype(np.uint16 if width == 2 else np.uint32).tobytes() for r in rows)
+            return pa.RecordBatch.from_pylist([{"part": part, "block": seq, "first_doc_id": int(d[0]), "n_docs": len(d), "n_ids": int(n.sum()), "doc_ids": d.tobytes(), "sizes": n.tobytes(), "ids": press.compress(raw), "width": width}], schema=kind)
 
-        kind = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("width", pa.int32())])
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and held + row[1] > BLOCK:
+        for whole in batches:
+            for batch in batches_of(whole, 1, BLOCK * 2):
+                ids, sizes = with_end(*tokens(texts_of(batch.column(1))), end_id)
+                if rows and held + len(ids) > BLOCK:
                     yield block()
                     seq, held, rows = seq + 1, 0, []
-                rows.append(row)
-                held += row[1]
+                rows.append((batch.column(0).fill_null(NO_ID).to_numpy(), sizes.astype(np.int64), ids))
+                held += len(ids)
         if rows:
             yield block()
 
     # dealt out before tokenising: finding the ranges reads its input once more, and that should be the scan alone
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lists, "doc_id long, n_ids long, ids binary")
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(blocks, BLOCKS + ", ids binary, width int")
 
 
@@ -321,7 +326,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 ids = decoded(r["bits"], np.frombuffer(r["checkpoints"], np.uint32), r["n_ids"], table).astype("<u4")
                 d, n = np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["sizes"], np.int64)
                 lists = [p.tobytes() for p in np.split(ids, np.cumsum(n)[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), r["part"], np.int32)), pa.array(np.full(len(d), r["block"], np.int32)), pa.array(d), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x) for x in lists], pa.int64()), pa.array(lists if with_ids else [None] * len(d), pa.binary())], ["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), r["part"], np.int32)), pa.array(np.full(len(d), r["block"], np.int32)), pa.array(d, mask=d == NO_ID), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x) for x in lists], pa.int64()), pa.array(lists if with_ids else [None] * len(d), pa.binary())], ["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32", "ids"])
 
     rows = blocks.mapInArrow(open_, "part int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long, ids binary")
     return rows.join(F.broadcast(starts) if blocks_are_few(starts) else starts, ["part", "block"]).select("doc_id", (F.col("block_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
