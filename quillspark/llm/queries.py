@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, language_id, license_scan, secret_scan, substring_dedup, token_files, url_filter
+from . import decontamination, fingerprint, jaccard_join, language_id, license_scan, secret_scan, substring_dedup, token_files, url_filter
 from .common import scratch, table
 
 
@@ -21,6 +21,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_token_files": op3_token_files,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
@@ -62,6 +67,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_fingerprints": fingerprint.oracle(),
+    "op4_jaccard_join": jaccard_join.oracle(),
     "op5_license_scan": license_scan.oracle(),
     "op6_decontamination": decontamination.oracle(),
     "op8_substring_dedup": substring_dedup.oracle(),
