@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECTION, BLOCK = 4, 4096
+from .common import fits_broadcast
+
+SECTION, BLOCK = 4, 1024
+BROADCAST_BYTES = 8 << 20
 #: Pieces are cut at so many code points, by the length of the text (below), the last for all longer ones: short texts need fine pieces.
 PIECE = ((2, 32), (8, 512), (64, None))
 
@@ -76,6 +79,8 @@ def successors(docs: DataFrame) -> DataFrame:
     first = F.first("top").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     after = tops.select("group", F.coalesce(F.lead("top").over(whole), first).alias("after"))
     following = heads.withColumn("upper", upper).withColumn("inner", F.lead("head").over(order)).join(after, F.col("upper").eqNullSafe(F.col("group"))).select("block", F.coalesce("inner", "after").alias("next_id"))
+    # a row a block, 16 bytes each: broadcast up to BROADCAST_BYTES, else joined by shuffle
+    following = F.broadcast(following) if fits_broadcast(heads, "16L", BROADCAST_BYTES) else following
     # the first text of a doc_id stands for it where ids repeat
     ghosts = docs.join(following, F.col("doc_id").eqNullSafe(F.col("next_id"))).groupBy("block", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("block", F.lit(True).alias("ghost"), "doc_id", "text")
     rows = docs.select(block.alias("block"), F.lit(False).alias("ghost"), "doc_id", "text").unionByName(ghosts)
