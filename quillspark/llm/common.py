@@ -41,6 +41,7 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage is cut and any executor can reread it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
     df.write.options(**options).parquet(path)
+    spark._jvm.System.gc()  # the finished job's shuffle files go once the driver has collected what refers to them
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out
@@ -101,29 +102,37 @@ def run_hashes(w: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for those seen; emptied when it holds `most` (memory is bounded)."""
+BREAKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+STEP, BACK = np.uint64(0x9E3779B97F4A7C17), np.uint64(pow(0x9E3779B97F4A7C17, -1, 1 << 64))
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
+VALUES = {False: _VALUES, True: _VALUES[_LOWER]}
 
-    def __init__(self, most: int = 1_500_000):
-        import xxhash
 
-        self.most, self.known, self.new = most, {}, xxhash.xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, new = self.known, self.new
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = new(w)
-            return np.array([known[w] for w in words], np.uint64)
-
-
-#: One per Python worker; workers are used again for later tasks.
-word_hashes = WordHashes()
+def range_sums(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of values[a:b] modulo 2 ** 64, whatever their places: prefix sums by an inverse step, shifted back."""
+    with np.errstate(over="ignore"):
+        down = np.full(len(values) + 1, BACK)
+        down[0] = 1
+        np.cumprod(down, out=down)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * down[:-1], out=sums[1:])
+        up = np.full(len(values) + 1, STEP)
+        up[0] = 1
+        np.cumprod(up, out=up)
+        return (sums[b] - sums[a]) * up[a]
+
+
+def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, one after another (A-Z lower-cased if asked for), and how many each text has."""
+    sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
+    raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
+    edge = np.diff(np.concatenate([[True], BREAKS[raw]]).astype(np.int8))
+    a, b = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    hashes = joined_hash(range_sums(VALUES[lower][raw], a, b), (b - a).astype(np.uint64))
+    begin = np.cumsum(sizes + 1) - (sizes + 1)
+    counts = np.diff(np.append(np.searchsorted(a, begin), len(a)))
+    return hashes, counts
 
 
 def batches_of(batch: pa.RecordBatch, text: int, most_chars: int = 4_000_000):

@@ -22,24 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, joined_hash, mix, run_hashes, stored, texts_of, word_hashes, words_of
+from .common import batches_of, hash_words, joined_hash, range_sums, run_hashes, stored, texts_of, words_of
 
 WINDOW, ANCHOR = 35, 8
 SPREAD = WINDOW - ANCHOR + 1  # runs in a window
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 KEY = ["doc_id", "text_hash"]  # rows that repeat a doc_id with another text are told apart
 
 
-def range_hashes(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of w[a:b], whatever their places."""
-    with np.errstate(over="ignore"):
-        steps = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(w), INVERSE)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(w * steps[1:])])
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(w), BASE)]))
-        return joined_hash((sums[b] - sums[a]) * up[a], (b - a).astype(np.uint64))
-
-
 def least(h: np.ndarray, k: int) -> np.ndarray:
     """For each of the runs of k values, the place of the least, the rightmost of equals."""
     place, value, size = np.arange(len(h)), h, 1
@@ -66,7 +55,7 @@ def blocks(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero(np.diff(place)) + 1
     first, last = start[np.concatenate([[0], cut])], start[np.concatenate([cut - 1, [len(start) - 1]])]
     at = place[np.concatenate([[0], cut])]
-    return at, first, last, runs[at], joined_hash(range_hashes(w, first, last + WINDOW), (at - first).astype(np.uint64))
+    return at, first, last, runs[at], joined_hash(joined_hash(range_sums(w, first, last + WINDOW), (last - first).astype(np.uint64)), (at - first).astype(np.uint64))
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -79,9 +68,8 @@ def index(texts: DataFrame) -> DataFrame:
     def parse(batches):
         for whole in batches:
             for batch in batches_of(whole, 2):
-                lists = [words_of(t) for t in texts_of(batch.column(2))]
-                size = np.array([len(x) for x in lists], np.int64)
-                w, doc, offset = word_hashes([x for y in lists for x in y]), np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+                w, size = hash_words(texts_of(batch.column(2)))
+                doc, offset = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
                 _, first, last, anchor, block = blocks(w, doc)
                 own = doc[first] if len(first) else first
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(((first - offset[own]) << 8) | (last - first)), signed(anchor), signed(block)], ["doc_id", "text_hash", "at", "anchor", "block"])
@@ -112,7 +100,7 @@ def boundary_windows(texts: DataFrame) -> DataFrame:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             for doc_id, text_hash, packed, given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = word_hashes(words_of(z.decompress(packed)))
+                w, _ = hash_words([z.decompress(packed)])
                 hashes = run_hashes(w, WINDOW)
                 at, anchor = np.array([g["at"] for g in given], np.int64), np.array([g["anchor"] for g in given], np.int64)
                 n = (at & 255) + 1
@@ -126,18 +114,19 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The packed texts, and the spans of words to remove: doc_id, text_hash, a, b (words a to b - 1)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     all_blocks = stored(index(texts), "blocks", compression="zstd")
-    known = all_blocks.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # the keys of each join are a table of their own: both its sides then come from fresh shuffles, whose hot partitions Spark splits
+    known = stored(all_blocks.groupBy("anchor").count().filter("count > 1").select("anchor"), "known")
     shared = stored(all_blocks.join(known, "anchor", "left_semi"), "shared-blocks", compression="zstd")
     kinds = shared.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
     kinds = stored(kinds, "kinds", compression="zstd")
     twice = kinds.filter("n > 1").select("anchor", "block")
     factors = shared.join(twice, ["anchor", "block"], "left_semi").select(*KEY, F.shiftright("at", 8).alias("a"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + WINDOW).alias("b"))
     # a kind of block whose anchor has other kinds: its windows are compared, one block standing for all of its kind
-    several = kinds.groupBy("anchor").count().filter("count > 1").select("anchor")
+    several = stored(kinds.groupBy("anchor").count().filter("count > 1").select("anchor"), "several")
     ends = kinds.join(several, "anchor", "left_semi").select("one.*", "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("at", "anchor")).alias("given"))
     packed = packed_texts(texts)
     windows = stored(boundary_windows(packed.join(ends, KEY).dropDuplicates(KEY).select(*KEY, "packed", "given")), "windows", compression="zstd")
-    again = windows.groupBy("anchor", "window").count().filter("count > 1").select("anchor", "window")
+    again = stored(windows.groupBy("anchor", "window").count().filter("count > 1").select("anchor", "window"), "again")
     pieces = windows.join(again, ["anchor", "window"], "left_semi").select(*KEY, F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
     return packed, factors.unionByName(pieces)
 
