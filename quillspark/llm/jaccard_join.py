@@ -3,8 +3,9 @@
 Sets are the distinct runs of SHINGLE words (shorter texts: the whole sequence is one). Equal sets count as one from the start. A set's
 tokens are ordered light before heavy, and only its prefix is indexed: two linked sets share a token of both prefixes. Skipping:
 
-- by position: an index list holds each set's size and the token's place in it; lists are ordered by size and cut in blocks, and a block
-  whose sizes and places leave too few tokens for the overlap is skipped as a whole, then single entries are;
+- by position: an index list holds each set's size and the token's place in it; lists are ordered by size and cut in blocks, and two blocks
+  whose sizes and places leave too few tokens for the overlap are skipped as a whole, then single entries are (the first token that two linked sets
+  share leaves enough of both); parity bits of the sets rule out most pairs that are left;
 - by answers: lists of the first few tokens link each set to one pivot of the list, which is verified. Sets that this joins are highly similar, so
   their pairs among one another are known to be of one component, and the full lists are searched only for pairs of different components.
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, mix, run_hashes, stored, texts_of, word_hashes
+from .common import batches_of, hash_words, mix, run_hashes, stored, texts_of
 from .components import components
 
 SHINGLE, SIMILAR = 5, 75  # words; percent
@@ -31,41 +32,61 @@ LOCAL, HEAVY, MOST_HEAVY = 4, 24, 1 << 16
 PIVOT_TOKENS, LIST_BLOCK = 6, 128
 
 
-def shingle_set(w: np.ndarray) -> np.ndarray:
-    """Sorted distinct tokens of one text's word hashes."""
-    if not len(w):
-        return w
-    if len(w) < SHINGLE:
-        return mix(run_hashes(w, len(w)) + np.uint64(len(w)))
-    return np.unique(run_hashes(w, SHINGLE))
-
-
-def set_id(tokens: np.ndarray) -> int:
-    """A hash of a set, as a signed 64-bit integer."""
-    with np.errstate(over="ignore"):
-        return int((mix(tokens ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) ^ mix(np.array([len(tokens)], np.uint64))[0]).view(np.int64))
-
-
-def words_low(text: bytes | None) -> list[bytes]:
-    """Words after lower-casing A-Z."""
-    return text.lower().split() if text else []
-
-
-def sets_of(batch: pa.RecordBatch, at: int):
-    lists = [words_low(t) for t in texts_of(batch.column(at))]
-    w, ends = word_hashes([x for y in lists for x in y]), np.cumsum([len(x) for x in lists])
-    return [shingle_set(x) for x in np.split(w, ends[:-1])]
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Sorted distinct tokens of each text."""
+    w, size = hash_words(texts, lower=True)
+    runs, out = run_hashes(w, SHINGLE), []
+    for a, n in zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
+        if n >= SHINGLE:
+            s = np.sort(runs[a : a + n - SHINGLE + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        else:
+            out.append(mix(run_hashes(w[a : a + n], n) + np.uint64(n)) if n else w[:0])
+    return out
+
+
+def set_ids(sets: list[np.ndarray]) -> list[int | None]:
+    """Hashes of sets, as signed 64-bit integers; null for the empty one."""
+    size = np.array([len(s) for s in sets], np.int64)
+    used = np.flatnonzero(size)
+    out: list[int | None] = [None] * len(sets)
+    if len(used):
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(mix(np.concatenate(sets) ^ np.uint64(0xD6E8FEB86659FD93)), (np.cumsum(size) - size)[used])
+            ids = (sums ^ mix(size[used].astype(np.uint64))).view(np.int64)
+        for i, x in zip(used.tolist(), ids.tolist(), strict=True):
+            out[i] = x
+    return out
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """The parity of the tokens in each of 2 ** k slots, about as many slots as tokens: sets differ in at least as many tokens as their bits do."""
+    k = max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_allow(x: bytes, nx: int, y: bytes, ny: int) -> bool:
+    """Whether two sets may be linked as far as their parity bits tell."""
+    a, b, na, nb = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x), 8 * len(y)
+    while na > nb:  # two slots become one
+        na //= 2
+        a = (a & ((1 << na) - 1)) ^ (a >> na)
+    while nb > na:
+        nb //= 2
+        b = (b & ((1 << nb) - 1)) ^ (b >> nb)
+    return (100 + SIMILAR) * (a ^ b).bit_count() <= (100 - SIMILAR) * (nx + ny)
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """kind 0: a, n, sid = doc_id, set size, set; kind 1: a, n = a token that this task saw n >= LOCAL times."""
+    """kind 0: a, n, sid, bits = doc_id, set size, set, its parity bits; kind 1: a, n = a token that this task saw n >= LOCAL times."""
 
     def parse(batches):
         held: list[np.ndarray] = []
         for whole in batches:
             for batch in batches_of(whole, 1):
-                sets = sets_of(batch, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["kind", "a", "n", "sid"])
+                sets = shingle_sets(texts_of(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64()), pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary())], ["kind", "a", "n", "sid", "bits"])
                 held.append(np.concatenate(sets))
                 if sum(map(len, held)) > 16_000_000:  # long tasks count in parts
                     yield from repeated(held)
@@ -76,9 +97,9 @@ def described(texts: DataFrame) -> DataFrame:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             tokens, n = tokens[n >= LOCAL].view(np.int64), n[n >= LOCAL]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int8)), pa.array(tokens), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64())], ["kind", "a", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int8)), pa.array(tokens), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], ["kind", "a", "n", "sid", "bits"])
 
-    return texts.mapInArrow(parse, "kind byte, a long, n long, sid long")
+    return texts.mapInArrow(parse, "kind byte, a long, n long, sid long, bits binary")
 
 
 def prefix_size(n: int) -> int:
@@ -98,8 +119,8 @@ def postings(texts: DataFrame, heavy: list[tuple[int, int]]) -> DataFrame:
         for whole in batches:
             for batch in batches_of(whole, 1):
                 out, ids, sizes = [], [], []
-                for s in sets_of(batch, 1):
-                    sid = set_id(s) if len(s) else None
+                sets = shingle_sets(texts_of(batch.column(1)))
+                for s, sid in zip(sets, set_ids(sets), strict=True):
                     if sid is None or sid in seen:
                         continue
                     seen.add(sid)
@@ -150,64 +171,81 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: pairs of sets of different labels in one list that sizes and places allow, once a task and batch of lists."""
+    """a, b: pairs of sets of different labels in one list that sizes and places allow; a pair may come from several tasks."""
 
     def search(batches):
-        found: set[tuple[int, int]] = set()
+        import pandas as pd
+
+        held: list[np.ndarray] = []
         rest = None
+
+        def distinct():
+            pairs = pd.DataFrame(np.concatenate(held), columns=["a", "b"]).drop_duplicates()
+            held[:] = [pairs.to_numpy()]
+
+        def given():
+            distinct()
+            out = pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], ["a", "b"])
+            held.clear()
+            return out
+
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
             if rest is not None:
                 cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            t = cols[0]
-            if not len(t):
+            if not len(cols[0]):
                 continue
-            end = int(np.searchsorted(t, t[-1], side="left"))
+            end = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
             rest = [c[end:] for c in cols]
-            lists([c[:end] for c in cols], found)
-            if len(found) > 200_000:
-                yield given(found)
+            held += found([c[:end] for c in cols])
+            if sum(map(len, held)) > 4_000_000:
+                distinct()
+                if len(held[0]) > 2_000_000:
+                    yield given()
         if rest is not None:
-            lists(rest, found)
-        if found:
-            yield given(found)
-
-    def given(found):
-        a, b = np.array(sorted(found), np.int64).reshape(-1, 2).T
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def lists(cols, found):
-        t = cols[0]
-        if not len(t):
-            return
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]])
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                pairs_of(*(c[lo:hi] for c in cols[1:]), found)
-
-    def pairs_of(sid, n, at, label, found):
-        """Of one list, ordered by size."""
-        if (label == label[0]).all():
-            return
-        n, at = n.astype(np.int64), at.astype(np.int64)
-        left = n - at  # tokens from the shared one on
-        starts = np.arange(0, len(n), LIST_BLOCK)
-        top = np.maximum.reduceat(left, starts)
-        lead = np.maximum.reduceat(at, starts)
-        for i in range(len(n)):
-            # partners are larger: 100 * n_i >= 75 * n_j
-            end = int(np.searchsorted(n, 100 * n[i] // SIMILAR, side="right"))
-            j = i + 1
-            while j < end:
-                stop = min(end, (j // LIST_BLOCK + 1) * LIST_BLOCK)
-                block = j // LIST_BLOCK
-                if min(left[i], top[block]) + min(at[i], lead[block]) >= needed(n[i], n[j]):
-                    span = slice(j, stop)
-                    good = (label[span] != label[i]) & (np.minimum(left[i], left[span]) + np.minimum(at[i], at[span]) >= needed(n[i], n[span]))
-                    for k in (np.flatnonzero(good) + j).tolist():
-                        found.add((int(sid[i]), int(sid[k])) if sid[i] < sid[k] else (int(sid[k]), int(sid[i])))
-                j = stop
+            held += found(rest)
+        if held:
+            yield given()
+
+    def found(cols):
+        """Short lists all at once, by the distance of the two entries; long ones block by block."""
+        token, sid, n, at, label = cols[0], cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), cols[4]
+        if not len(token):
+            return []
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
+        size = np.diff(cut)
+        left, out = n - at, []
+
+        def pairs(i, j):
+            good = (label[i] != label[j]) & (100 * n[i] >= SIMILAR * n[j]) & (np.minimum(left[i], left[j]) >= needed(n[i], n[j]))
+            i, j = i[good], j[good]
+            return np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1)
+
+        short = np.repeat(size <= LIST_BLOCK, size)
+        ends = np.repeat(cut[1:], size)
+        i = np.flatnonzero(short)
+        for distance in range(1, LIST_BLOCK):
+            i = i[i + distance < ends[i]]
+            if not len(i):
+                break
+            out.append(pairs(i, i + distance))
+        for lo, hi in zip(cut[:-1][size > LIST_BLOCK].tolist(), cut[1:][size > LIST_BLOCK].tolist(), strict=True):
+            starts = np.arange(lo, hi, LIST_BLOCK)
+            top = np.maximum.reduceat(left[lo:hi], starts - lo)
+            for p, a in enumerate(starts.tolist()):
+                mine = np.arange(a, min(a + LIST_BLOCK, hi))
+                for q in range(p, len(starts)):
+                    b = int(starts[q])
+                    # entries are ordered by size: partners of this block end where even its largest set is too small
+                    if 100 * n[mine[-1]] < SIMILAR * n[b]:
+                        break
+                    if min(top[p], top[q]) < needed(n[mine[0]], n[b]):
+                        continue
+                    other = np.arange(b, min(b + LIST_BLOCK, hi))
+                    i, j = (x.reshape(-1) for x in np.meshgrid(mine, other, indexing="ij"))
+                    ahead = i < j
+                    out.append(pairs(i[ahead], j[ahead]))
+        return [x for x in out if len(x)]
 
     return rows.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(search, "a long, b long")
 
@@ -217,11 +255,23 @@ def needed(x, y):
     return -(-SIMILAR * (x + y) // (100 + SIMILAR))
 
 
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sets' parity bits allow."""
+    one = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    two = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+
+    def check(batches):
+        for batch in batches:
+            good = [bits_allow(x, nx, y, ny) for x, nx, y, ny in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "na", "bits_b", "nb")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(one, "b").join(two, "a").mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are linked, by their texts."""
     one = packed.select(F.col("sid").alias("b"), F.col("packed").alias("text_b"))
     two = packed.select(F.col("sid").alias("a"), F.col("packed").alias("text_a"))
-    both = pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
 
     def check(batches):
         import zstandard
@@ -230,18 +280,17 @@ def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
         kept: dict[int, np.ndarray] = {}
         for batch in batches:
             good = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for sid, text in ((a, x), (b, y)):
-                    if sid not in kept:
-                        if len(kept) > 500:
-                            kept.clear()
-                        kept[sid] = shingle_set(word_hashes(words_low(z.decompress(text))))
-                p = kept[a] if a in kept else shingle_set(word_hashes(words_low(z.decompress(x))))
-                common = len(np.intersect1d(p, kept[b], assume_unique=True))
-                good.append(100 * common >= SIMILAR * (len(p) + len(kept[b]) - common))
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+                if len(kept) > 500:
+                    kept.clear()
+                new = {sid: text for sid, text in ((a, x), (b, y)) if sid not in kept}
+                if new:
+                    kept.update(zip(new, shingle_sets([z.decompress(t) for t in new.values()]), strict=True))
+                common = len(np.intersect1d(kept[a], kept[b], assume_unique=True))
+                good.append(100 * common >= SIMILAR * (len(kept[a]) + len(kept[b]) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    return pairs.join(one, "b").join(two, "a").mapInArrow(check, "a long, b long")
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,17 +303,18 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the texts of sets that share a token with another set, once for equal sets
     wanted = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(lists.select("sid").distinct(), "sid")
     packed = stored(pack(texts).join(wanted, "doc_id").groupBy("sid").agg(F.min("packed").alias("packed")), "texts", compression="none")
-    # answers by pivots: in each list of first tokens, every set against the largest
+    sketches = stored(sets_bits(facts).join(lists.select("sid").distinct(), "sid"), "sketches", compression="none")
+    # answers by pivots: in each list of first tokens, every set against the largest. Keys of joins are tables of their own, so that Spark splits hot partitions
     firsts = lists.filter(F.col("at") < PIVOT_TOKENS)
-    pivots = firsts.groupBy("token").agg(F.max(F.struct("n", "sid")).alias("pivot"))
+    pivots = stored(firsts.groupBy("token").agg(F.max(F.struct("n", "sid")).alias("pivot")), "pivots")
     stars = firsts.join(pivots, "token").filter((F.col("sid") != F.col("pivot.sid")) & (100 * F.col("n") >= SIMILAR * F.col("pivot.n"))).select(F.col("pivot.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    edges = stored(verified(stars, packed), "star-edges")
+    edges = stored(verified(stored(possible(stars, sketches), "star-pairs"), packed), "star-edges")
     labels = stored(components(edges), "labels")
     # the full lists, for pairs that these answers leave open
     named = stored(lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "at", F.coalesce("label", "sid").alias("label")), "named", compression="zstd")
-    mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    pairs = crossing_pairs(named.join(mixed, "token", "left_semi").select("token", "sid", "n", "at", "label")).distinct()
-    more = stored(verified(pairs, packed), "edges")
+    mixed = stored(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token"), "mixed")
+    pairs = stored(crossing_pairs(named.join(mixed, "token", "left_semi").select("token", "sid", "n", "at", "label")), "pairs", compression="zstd").distinct()
+    more = stored(verified(stored(possible(pairs, sketches), "possible-pairs"), packed), "edges")
     final = components(edges.unionByName(more))
     placed = sets.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", "sid", F.coalesce("label", "sid").alias("label"))
     placed = stored(placed, "placed")
@@ -273,6 +323,11 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return placed.join(least, "label", "left").join(copies, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_copies", F.lit(0)).cast("long").alias("set_copies"))
 
 
+def sets_bits(facts: DataFrame) -> DataFrame:
+    """sid, n, bits, once for equal sets."""
+    return facts.filter("kind = 0 and sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+
+
 def pack(texts: DataFrame) -> DataFrame:
     def press(batches):
         import zstandard
