@@ -28,8 +28,9 @@ from .components import components
 
 SHINGLE, SIMILAR = 5, 75  # words; percent
 #: A token counts as heavy where tasks that hold it at least LOCAL times hold it so often together; the most frequent of these are broadcast, 16 bytes each.
-LOCAL, HEAVY, MOST_HEAVY = 4, 24, 1 << 16
-PIVOT_TOKENS, LIST_BLOCK = 6, 128
+LOCAL, HEAVY, MOST_HEAVY = 2, 6, 1 << 18
+#: Tokens of each set whose lists give pivots; the size beyond which a list of several components gets MORE_PIVOTS more; entries of a block.
+PIVOT_TOKENS, LONG_LIST, MORE_PIVOTS, LIST_BLOCK = 6, 24, 16, 128
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -83,11 +84,15 @@ def described(texts: DataFrame) -> DataFrame:
 
     def parse(batches):
         held: list[np.ndarray] = []
+        seen: set[int | None] = set()
         for whole in batches:
             for batch in batches_of(whole, 1):
                 sets = shingle_sets(texts_of(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64()), pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary())], ["kind", "a", "n", "sid", "bits"])
-                held.append(np.concatenate(sets))
+                ids = set_ids(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary())], ["kind", "a", "n", "sid", "bits"])
+                first = {i: s for s, i in zip(sets, ids, strict=True) if i not in seen}  # equal sets count once
+                seen.update(first)
+                held.append(np.concatenate([np.zeros(0, np.uint64), *first.values()]))
                 if sum(map(len, held)) > 16_000_000:  # long tasks count in parts
                     yield from repeated(held)
         yield from repeated(held)
@@ -310,12 +315,24 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stars = firsts.join(pivots, "token").filter((F.col("sid") != F.col("pivot.sid")) & (100 * F.col("n") >= SIMILAR * F.col("pivot.n"))).select(F.col("pivot.sid").alias("a"), F.col("sid").alias("b")).distinct()
     edges = stored(verified(stored(possible(stars, sketches), "star-pairs"), packed), "star-edges")
     labels = stored(components(edges), "labels")
-    # the full lists, for pairs that these answers leave open
-    named = stored(lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "at", F.coalesce("label", "sid").alias("label")), "named", compression="zstd")
-    mixed = stored(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token"), "mixed")
-    pairs = stored(crossing_pairs(named.join(mixed, "token", "left_semi").select("token", "sid", "n", "at", "label")), "pairs", compression="zstd").distinct()
+    # long lists that are still of several components: more pivots of each, against the sets of other components
+    open_lists = stored(mixed_lists(lists, labels).filter(F.col("size") > LONG_LIST).select("token", F.explode("pivots").alias("pivot")), "more-pivots")
+    tops = labels.withColumnRenamed("node", "pivot").withColumnRenamed("label", "pivot_label")
+    rows = labelled_lists(lists.join(open_lists.select("token").distinct(), "token", "left_semi"), labels)
+    against = rows.join(open_lists.join(tops, "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot")), "token").filter("label <> pivot_label").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+    edges = stored(edges.unionByName(verified(stored(possible(against, sketches), "pivot-pairs"), packed)), "pivot-edges")
+    labels = stored(components(edges), "labels")
+    # all lists, for pairs that these answers leave open
+    mixed = stored(mixed_lists(lists, labels).select("token"), "mixed")
+    named = labelled_lists(lists.join(mixed, "token", "left_semi"), labels)
+    pairs = stored(crossing_pairs(named), "pairs", compression="zstd").distinct()
     more = stored(verified(stored(possible(pairs, sketches), "possible-pairs"), packed), "edges")
-    final = components(edges.unionByName(more))
+    # the later links join whole components: theirs are found among labels, which are few
+    name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    higher = components(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    joined = labels.unionByName(higher.select(F.col("label").alias("node"), F.col("label"))).distinct()
+    final = joined.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label")).distinct()
     placed = sets.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", "sid", F.coalesce("label", "sid").alias("label"))
     placed = stored(placed, "placed")
     least = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -323,6 +340,19 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return placed.join(least, "label", "left").join(copies, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_copies", F.lit(0)).cast("long").alias("set_copies"))
 
 
+def labelled_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """lists with the component of each set; a set without links is its own."""
+    return lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "at", F.coalesce("label", "sid").alias("label"))
+
+
+def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, size, pivots (up to MORE_PIVOTS sets, chosen by hashes) of the lists of several components; combined before the shuffle."""
+    named = labelled_lists(lists, labels)
+    chosen = [F.min_by("sid", F.xxhash64("sid", F.lit(k))).alias(f"p{k}") for k in range(MORE_PIVOTS)]
+    per = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), *chosen).filter("lo <> hi")
+    return per.select("token", "size", F.array_distinct(F.array(*(f"p{k}" for k in range(MORE_PIVOTS)))).alias("pivots"))
+
+
 def sets_bits(facts: DataFrame) -> DataFrame:
     """sid, n, bits, once for equal sets."""
     return facts.filter("kind = 0 and sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
