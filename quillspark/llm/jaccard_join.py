@@ -31,6 +31,8 @@ SHINGLE, SIMILAR = 5, 75  # words; percent
 LOCAL, HEAVY, MOST_HEAVY = 2, 6, 1 << 18
 #: Tokens of each set whose lists give pivots; the size beyond which a list of several components gets MORE_PIVOTS more; entries of a block.
 PIVOT_TOKENS, LONG_LIST, MORE_PIVOTS, LIST_BLOCK = 6, 24, 16, 128
+FOLD = ["x0", "x1", "x2", "x3"]
+FACTS = ["kind", "a", "n", "sid", "bits", *FOLD]
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -62,11 +64,16 @@ def set_ids(sets: list[np.ndarray]) -> list[int | None]:
 
 def parity_bits(s: np.ndarray) -> bytes:
     """The parity of the tokens in each of 2 ** k slots, about as many slots as tokens: sets differ in at least as many tokens as their bits do."""
-    k = max(6, (len(s) - 1).bit_length())
+    k = max(8, (len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(bits: bytes) -> np.ndarray:
+    """Parity bits as those of 256 slots: four signed 64-bit integers."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, "<i8").reshape(-1, len(FOLD)), axis=0)
+
+
 def bits_allow(x: bytes, nx: int, y: bytes, ny: int) -> bool:
     """Whether two sets may be linked as far as their parity bits tell."""
     a, b, na, nb = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x), 8 * len(y)
@@ -80,7 +87,7 @@ def bits_allow(x: bytes, nx: int, y: bytes, ny: int) -> bool:
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """kind 0: a, n, sid, bits = doc_id, set size, set, its parity bits; kind 1: a, n = a token that this task saw n >= LOCAL times."""
+    """kind 0: a, n, sid, bits, x0 to x3 = doc_id, set size, set, its parity bits, whole and folded; kind 1: a, n = a token that this task saw n >= LOCAL times."""
 
     def parse(batches):
         held: list[np.ndarray] = []
@@ -89,7 +96,9 @@ def described(texts: DataFrame) -> DataFrame:
             for batch in batches_of(whole, 1):
                 sets = shingle_sets(texts_of(batch.column(1)))
                 ids = set_ids(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary())], ["kind", "a", "n", "sid", "bits"])
+                bits = [parity_bits(s) if len(s) else None for s in sets]
+                fold = np.stack([folded(b) if b else np.zeros(len(FOLD), np.int64) for b in bits], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(x) for x in fold)], FACTS)
                 first = {i: s for s, i in zip(sets, ids, strict=True) if i not in seen}  # equal sets count once
                 seen.update(first)
                 held.append(np.concatenate([np.zeros(0, np.uint64), *first.values()]))
@@ -102,9 +111,9 @@ def described(texts: DataFrame) -> DataFrame:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             tokens, n = tokens[n >= LOCAL].view(np.int64), n[n >= LOCAL]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int8)), pa.array(tokens), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], ["kind", "a", "n", "sid", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int8)), pa.array(tokens), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), *[pa.nulls(len(n), pa.int64())] * len(FOLD)], FACTS)
 
-    return texts.mapInArrow(parse, "kind byte, a long, n long, sid long, bits binary")
+    return texts.mapInArrow(parse, "kind byte, a long, n long, sid long, bits binary, " + ", ".join(f"{x} long" for x in FOLD))
 
 
 def prefix_size(n: int) -> int:
@@ -176,7 +185,7 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: pairs of sets of different labels in one list that sizes and places allow; a pair may come from several tasks."""
+    """a, b: pairs of sets of different labels in one list that sizes, places and folded parity bits allow; a pair may come from several tasks."""
 
     def search(batches):
         import pandas as pd
@@ -215,6 +224,7 @@ def crossing_pairs(rows: DataFrame) -> DataFrame:
     def found(cols):
         """Short lists all at once, by the distance of the two entries; long ones block by block."""
         token, sid, n, at, label = cols[0], cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), cols[4]
+        fold = [c.view(np.uint64) for c in cols[5:]]
         if not len(token):
             return []
         cut = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
@@ -224,6 +234,9 @@ def crossing_pairs(rows: DataFrame) -> DataFrame:
         def pairs(i, j):
             good = (label[i] != label[j]) & (100 * n[i] >= SIMILAR * n[j]) & (np.minimum(left[i], left[j]) >= needed(n[i], n[j]))
             i, j = i[good], j[good]
+            differ = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in fold)
+            good = (100 + SIMILAR) * differ <= (100 - SIMILAR) * (n[i] + n[j])
+            i, j = i[good], j[good]
             return np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1)
 
         short = np.repeat(size <= LIST_BLOCK, size)
@@ -324,7 +337,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = stored(components(edges), "labels")
     # all lists, for pairs that these answers leave open
     mixed = stored(mixed_lists(lists, labels).select("token"), "mixed")
-    named = labelled_lists(lists.join(mixed, "token", "left_semi"), labels)
+    named = labelled_lists(lists.join(mixed, "token", "left_semi"), labels).join(sketches.select("sid", *FOLD), "sid").select("token", "sid", "n", "at", "label", *FOLD)
     pairs = stored(crossing_pairs(named), "pairs", compression="zstd").distinct()
     more = stored(verified(stored(possible(pairs, sketches), "possible-pairs"), packed), "edges")
     # the later links join whole components: theirs are found among labels, which are few
@@ -354,8 +367,8 @@ def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sets_bits(facts: DataFrame) -> DataFrame:
-    """sid, n, bits, once for equal sets."""
-    return facts.filter("kind = 0 and sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    """sid, n, bits, x0 to x3, once for equal sets."""
+    return facts.filter("kind = 0 and sid is not null").groupBy("sid").agg(F.min("n").alias("n"), *(F.min(c).alias(c) for c in ("bits", *FOLD)))
 
 
 def pack(texts: DataFrame) -> DataFrame:
