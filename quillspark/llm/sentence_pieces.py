@@ -2,7 +2,7 @@
 
 The piece lattice of a text has an edge for each piece that fits and, for a character that is no piece, its UTF-8 bytes as byte pieces. Forward
 Viterbi gives the best score of each prefix; a backward A* search from the end takes it as an exact heuristic, so segmentations leave
-its heap from the best down. No piece spans the space before a word or a character that only bytes can write, so a text's lattice is a row of small
+its queue from the best down. No piece spans the space before a word or a character that only bytes can write, so a text's lattice is a row of small
 ones: these are searched once per Python worker and looked up after that, and a text's N best are merged from the words
 whose alternatives cost least.
 
@@ -15,6 +15,7 @@ search, which goes on from the place nearest the start; repeated rows are each e
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 import zlib
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import batches_of, texts_of
 
 SPACE, BYTE_COST = "▁", 10.0
+#: Characters that are looked up at once, and how many such windows a Python worker keeps.
+NEAR, MOST_NEAR = 4, 200_000
 #: Marks before which a word may be cut where the model has no piece that joins the two.
 MARKS = '.,;:!?|$%&#*"()-'
 
@@ -50,7 +53,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.best, self.most = best, most
         n = model.get_piece_size()
-        self.bytes_of, self.vocabulary, self.longest, self.byte_ids = [b""] * n, {}, {}, [0] * 256
+        self.bytes_of, self.vocabulary, self.byte_ids = [b""] * n, {}, [0] * 256
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -58,10 +61,11 @@ class Pieces:
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.vocabulary[piece] = (i, model.get_score(i))
-                self.longest[piece[0]] = max(self.longest.get(piece[0], 0), len(piece))
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         if any(SPACE in p.lstrip(SPACE) or "\n" in p or "\t" in p for p in self.vocabulary):
             raise ValueError("pieces span words; this model can't be searched by word")
+        # the starts of pieces: what is no whole piece has None
+        self.starting = {p[:k]: None for p in self.vocabulary for k in range(1, len(p))} | {p: (s, (i,)) for p, (i, s) in self.vocabulary.items()}
         self.segments = segments_of(self.vocabulary)
         self.byte_score = min((s for _, s in self.vocabulary.values() if s > -1e8), default=0.0) - BYTE_COST
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
@@ -69,35 +73,57 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.n, self.held = {}, 0, 0
+        self.known, self.n, self.held, self.near = {}, 0, 0, {}
         self.starts, self.ids = np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32)
         self.scores = np.zeros((1 << 14, self.best))  # the best's score, then what each further one costs
 
+    def begins(self, window: str) -> tuple[list[tuple[int, float, tuple[int, ...]]], bool, bool]:
+        """The pieces at the start of NEAR characters (or fewer, at the end of a word) as (length, score, ids); whether one is of one character; whether longer ones may fit."""
+        found, further = [], len(window) == NEAR
+        for k in range(1, len(window) + 1):
+            piece = self.starting.get(window[:k], 0)
+            if piece:
+                found.append((k, *piece))
+            elif piece == 0:
+                further = False
+                break
+        if len(self.near) >= MOST_NEAR:
+            self.near.clear()
+        out = self.near[window] = (found, bool(found) and found[0][0] == 1, further)
+        return out
+
     def lattice(self, text: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """For each place the edges that end there as (start, score, ids), and the best score of each prefix. A space is U+2581 already, a literal one U+0000 marked below."""
-        n = len(text)
+        n, near, get = len(text), self.near, self.starting.get
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         forward = [0.0] + [-np.inf] * n
-        for i, c in enumerate(text):
-            at, single = forward[i], False
-            for j in range(i + 1, min(n, i + self.longest.get(c, 0)) + 1):
-                found = self.vocabulary.get(text[i:j])
-                if found:
-                    single |= j == i + 1
-                    into[j].append((i, found[1], (found[0],)))
-                    forward[j] = max(forward[j], at + found[1])
+        for i in range(n):
+            at, window = forward[i], text[i : i + NEAR]
+            found, single, further = near.get(window) or self.begins(window)
+            for k, score, ids in found:
+                into[i + k].append((i, score, ids))
+                if at + score > forward[i + k]:
+                    forward[i + k] = at + score
+            for j in range(i + NEAR + 1, n + 1) if further else ():
+                longer = get(text[i:j], 0)
+                if longer:
+                    into[j].append((i, longer[0], longer[1]))
+                    forward[j] = max(forward[j], at + longer[0])
+                elif longer == 0:  # no piece starts like this
+                    break
             if not single:
-                raw = (SPACE if c == LITERAL else c).encode()
+                raw = (SPACE if text[i] == LITERAL else text[i]).encode()
                 into[i + 1].append((i, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
                 forward[i + 1] = max(forward[i + 1], at + self.byte_score * len(raw))
         return into, forward
 
     def search(self, text: str, best: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The best segmentations of a text, best first: A* from the end."""
+        """The best segmentations of a text, best first: A* from the end. The heuristic is exact, so each open place stands for a segmentation
+        of its own with that very score, and no more places need be open than segmentations are still wanted."""
         into, forward = self.lattice(text)
-        heap, count, out = [(-forward[-1], len(text), 0, 0.0, ())], 0, []
-        while heap and len(out) < best:
-            total, at, _, behind, path = heapq.heappop(heap)
+        opened, count, out = [(-forward[-1], len(text), 0, 0.0, ())], 0, []
+        while opened and len(out) < best:
+            total, at, _, behind, path = opened.pop(0)
             if at == 0:
                 ids = []
                 while path:
@@ -105,9 +131,16 @@ class Pieces:
                     path = path[1]
                 out.append((-total, tuple(ids)))
                 continue
+            wanted = best - len(out)
             for start, score, ids in into[at]:
+                score += behind
+                total = -(forward[start] + score)
+                if len(opened) >= wanted:
+                    if total >= opened[-1][0]:
+                        continue
+                    opened.pop()
                 count += 1
-                heapq.heappush(heap, (-(forward[start] + score + behind), start, count, score + behind, (ids, path)))
+                bisect.insort(opened, (total, start, count, score, (ids, path)))
         return out
 
     def learn(self, words: list[bytes]) -> None:
