@@ -88,17 +88,26 @@ def key_rules(spark, d):
     return load(spark, d, "part").select("p_partkey", F.concat(head, F.lit(":"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("key"))
 
 
-@query("""SELECT o_orderkey, make_date(1998, month(o_orderdate)::INT, least(day(o_orderdate), 28)::INT)::VARCHAR AS day FROM orders WHERE o_orderkey % 3 = 0""")
-def fuzzy_date(spark, d):
+def parsed_dates(o):
     """Dates written as damaged day and month names, parsed by a repaired day and the month's first three letters."""
     months = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-    o = load(spark, d, "orders").filter("o_orderkey % 3 = 0")
     written = F.concat(F.translate(F.least(F.dayofmonth("o_orderdate"), F.lit(28)).cast("string"), "10", "lO"), F.lit(". "), F.date_format("o_orderdate", "MMMM"))
     month = F.array_position(F.array(*map(F.lit, months)), F.lower(F.substring(F.split_part("w", F.lit(" "), F.lit(2)), 1, 3)))
     day = F.translate(F.split_part("w", F.lit("."), F.lit(1)), "lO", "10").try_cast("int")
     return o.select("o_orderkey", written.alias("w")).select("o_orderkey", F.make_date(F.lit(1998), month.cast("int"), day).cast("string").alias("day"))
 
 
+@query("""SELECT o_orderkey, make_date(1998, month(o_orderdate)::INT, least(day(o_orderdate), 28)::INT)::VARCHAR AS day FROM orders WHERE o_orderkey % 3 = 0""")
+def fuzzy_date(spark, d):
+    return parsed_dates(load(spark, d, "orders").filter("o_orderkey % 3 = 0"))
+
+
+@query("""SELECT o_orderkey, make_date(1998, month(o_orderdate)::INT, least(day(o_orderdate), 28)::INT)::VARCHAR AS day FROM orders""")
+def fuzzy_date_all(spark, d):
+    """As fuzzy_date, for every order."""
+    return parsed_dates(load(spark, d, "orders"))
+
+
 @query("""SELECT user_id, event_type, min(event_id) AS first_event, count(*)::BIGINT AS n, round(sum(value::DECIMAL(18,2))::DOUBLE, 2) AS total FROM (SELECT *, sum(CASE WHEN event_type = p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, event_type, g HAVING count(*) > 1""")
 def tie_merge(spark, d):
     """Adjacent rows of one kind merge into the first, with their summed value."""

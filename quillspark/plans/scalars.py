@@ -119,6 +119,12 @@ def slugify(spark, d):
     return load(spark, d, "documents").select("doc_id", t.slugify(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({sql_fold('text')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
+def slugify_all(spark, d):
+    """As slugify, of whole texts."""
+    return load(spark, d, "documents").select("doc_id", t.slugify(F.col("text")).alias("slug"))
+
+
 @query(f"SELECT doc_id, sha256(regexp_replace({sql_fold('text')}, '[^a-z]', '', 'g')) AS condensed FROM documents")
 def condense(spark, d):
     return load(spark, d, "documents").select("doc_id", F.sha2(t.condense(F.col("text")), 256).alias("condensed"))

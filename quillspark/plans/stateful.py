@@ -236,6 +236,12 @@ def recursive_expand(spark, d):
     return gr.closure(edges(spark, d).filter("src < 400"), 3).select("src", "dst", F.col("hop").cast("long").alias("hop"))
 
 
+@query()
+def recursive_expand_all(spark, d):
+    """As recursive_expand, over the edges of every key."""
+    return gr.closure(edges(spark, d), 3).select("src", "dst", F.col("hop").cast("long").alias("hop"))
+
+
 @query(f"""WITH e AS ({EDGES}) SELECT src, dst, 'dangling' AS problem FROM e WHERE dst NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') UNION ALL SELECT src, dst, 'one way' FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)""")
 def edge_integrity(spark, d):
     nodes = load(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("node"))
