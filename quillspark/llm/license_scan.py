@@ -4,6 +4,8 @@ A text is cut into sentences (line ends, and `.`, `!` or `?` before white space)
 Normalised sentences that are known become identifiers; the identifiers of a text, in order, are matched against licence rules, each an
 ordered list of identifiers. Up to GAP unknown sentences may stand between two known ones; more break the sequence.
 
+`scan` takes each line as its own sentence or more, as its SQL does; `scan_notices` joins lines first, so it finds licence notices however they are wrapped.
+
 Defined results: a null or empty text has no sentences and no licence; repeated rows are each judged; other columns are ignored.
 Everything happens in the row: no shuffle, whatever the sizes. The sentence table is a parameter of at most MOST_SENTENCES rows.
 """
@@ -72,6 +74,27 @@ RULES = [
     ("GPL-3.0-or-later", [27]),
 ]
 
+#: Whole sentences of the notices as they stand in them, numbered on from SENTENCES, and the rules with them.
+NOTICE_SENTENCES = [
+    *SENTENCES,
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+]
+NOTICE_RULES = [
+    *RULES,
+    ("MIT", [28, 11]),
+    ("MIT", [28, 12]),
+    ("MIT", [28, 29]),
+    ("GPL-3.0-or-later", [30]),
+    ("GPL-3.0-or-later", [17, 31]),
+    ("Apache-2.0", [32]),
+    ("Apache-2.0", [33, 9]),
+]
+
 
 def normalised_sentences(text: Column) -> Column:
     """The sentences of a text, normalised; those without letters or digits are empty strings."""
@@ -80,13 +103,41 @@ def normalised_sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(plain, r" ?\n ?", "\n"), "\n", -1)
 
 
+def joined_sentences(text: Column, known: Column) -> Column:
+    """The sentences of a text, normalised, none empty. Blank lines (also those of comment marks alone), list numbers and `.`, `!` or `?` before white space
+    cut; a single line end does not, unless a line is a known sentence and the sentence around it is none. Comment leaders go with the other marks."""
+    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?mi)^[ \t]*(?:rem|dnl)\b", "")
+    cut = F.regexp_replace(lines, r"(?:^|\n|:[ \t])[^A-Za-z0-9\n]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+", "\x01")
+    cut = F.regexp_replace(cut, r"""[.!?]+["')\]]*(?:[ \t\n]|\z)""", "\x01\n")
+    cut = F.regexp_replace(cut, r"\n(?:[^A-Za-z0-9\n\x01]*\n)+", "\x01")
+    plain = F.regexp_replace(F.regexp_replace(F.translate(cut, UPPER, LOWER), r"[^a-z0-9\n\x01]+", " "), r" ?\n ?", "\n")
+
+    def parts(sentence: Column) -> Column:
+        whole = F.trim(F.translate(sentence, "\n", " "))
+        marked = F.transform(F.split(sentence, "\n", -1), lambda x: F.when(F.array_contains(known, F.trim(x)), F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x))
+        return F.when(F.array_contains(known, whole), F.array(whole)).otherwise(F.split(F.array_join(marked, " "), "\x01", -1))
+
+    found = F.flatten(F.transform(F.split(plain, "\x01", -1), parts))
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As scan, with sentences that go on over line ends and the whole sentences of the notices."""
+    known = F.array(*map(F.lit, NOTICE_SENTENCES))
+    return judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), joined_sentences(F.coalesce(F.col(text_col), F.lit("")), known).alias("s")), NOTICE_SENTENCES, NOTICE_RULES)
+
+
 def scan(docs: DataFrame, sentences: list[str] | None = None, rules: list[tuple[str, list[int]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_known, sequence (like ` 4 3 | 5 6 `), licences (names of the rules that fit, sorted, comma-joined) of every row."""
     sentences, rules = sentences or SENTENCES, rules or RULES
     if len(sentences) > MOST_SENTENCES:
         raise ValueError(f"{len(sentences)} sentences; at most {MOST_SENTENCES} are held in the plan")
+    return judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised_sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s")), sentences, rules)
+
+
+def judged(rows: DataFrame, sentences: list[str], rules: list[tuple[str, list[int]]]) -> DataFrame:
+    """The columns of scan for rows of doc_id and s, a text's sentences."""
     known = F.array(*map(F.lit, sentences))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised_sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
     found = rows.select(
         "doc_id",
         F.size(F.filter("s", lambda x: F.trim(x) != "")).cast("long").alias("n_sentences"),
