@@ -16,7 +16,6 @@ search, which goes on from the place nearest the start; repeated rows are each e
 from __future__ import annotations
 
 import bisect
-import heapq
 import re
 import zlib
 from itertools import chain, repeat
@@ -74,7 +73,8 @@ class Pieces:
 
     def clear(self) -> None:
         self.known, self.n, self.held, self.near = {}, 0, 0, {}
-        self.starts, self.ids = np.zeros(1 << 14, np.int64), np.zeros(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32)
+        # of word w the segmentation k, best first, lies in ids between starts[w * best + k] and the place after it
+        self.starts, self.ids = np.zeros((1 << 14) * self.best + 1, np.int64), np.zeros(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32)
         self.scores = np.zeros((1 << 14, self.best))  # the best's score, then what each further one costs
 
     def begins(self, window: str) -> tuple[list[tuple[int, float, tuple[int, ...]]], bool, bool]:
@@ -146,26 +146,37 @@ class Pieces:
     def learn(self, words: list[bytes]) -> None:
         for word in words:
             found = self.search(lattice_text(word), self.best)
-            ids = found[0][1]
+            ids = [i for _, x in found for i in x]
             if self.held + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
-            if self.n + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            if self.n + 1 > len(self.scores):
+                self.starts = np.concatenate([self.starts, np.zeros(len(self.scores) * self.best, np.int64)])
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.ids[self.held : self.held + len(ids)] = ids
-            self.held += len(ids)
-            self.starts[self.n + 1] = self.held
+            for k in range(self.best):
+                self.held += len(found[k][1]) if k < len(found) else 0
+                self.starts[self.n * self.best + k + 1] = self.held
             self.scores[self.n] = [found[0][0], *(found[0][0] - s for s, _ in found[1:]), *[np.inf] * (self.best - len(found))]
             self.known[word] = self.n
             self.n += 1
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self.starts[at + 1] - self.starts[at]
+        first = self.starts[at * self.best]
+        lengths = self.starts[at * self.best + 1] - first
         ends = np.cumsum(lengths)
-        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)], lengths
-
-    def encode(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, list[float]]]:
-        """For each text the ids of its best segmentation, and the scores of its best ones."""
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - lengths), lengths)], lengths
+
+    def changed(self, ids: np.ndarray, begins: np.ndarray, at: np.ndarray, choices: Choices) -> np.ndarray:
+        """ids with some words' best segmentations replaced by other ones; words begin at begins, at are their numbers."""
+        out, done = [], 0
+        for word, k in sorted(choices):
+            s = at[word] * self.best + k
+            out += [ids[done : begins[word]], self.ids[self.starts[s] : self.starts[s + 1]]]
+            done = begins[word + 1]
+        return np.concatenate([*out, ids[done:]])
+
+    def encode(self, texts: list[bytes | None]) -> list[tuple[list[np.ndarray], list[float]]]:
+        """For each text the ids of its best segmentations, best first, and their scores; an empty text has one list without ids, and no score."""
         lists = [self.segments.findall(b" " + t) if t else [] for t in texts]
         words = list(chain.from_iterable(lists))
         if self.n > self.most:
@@ -177,9 +188,14 @@ class Pieces:
             at[new] = [self.known[words[i]] for i in new]
         ids, lengths = self.gather(at)
         bound = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        piece = np.concatenate([[0], np.cumsum(lengths)])[bound]
-        scores = self.scores[at]
-        return [(ids[p:q], merged(scores[a:b])) for a, b, p, q in zip(bound[:-1], bound[1:], piece[:-1], piece[1:], strict=True)]
+        begins = np.concatenate([[0], np.cumsum(lengths)])
+        scores, out = self.scores[at], []
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+            first, found = begins[a], merged(scores[a:b])
+            own = ids[first : begins[b]]
+            each = [self.changed(own, begins[a : b + 1] - first, at[a:b], choices) if choices else own for _, choices in found]
+            out.append((each or [own], [s for s, _ in found]))
+        return out
 
     def alternatives(self, text: bytes | None) -> list[tuple[float, list[int]]]:
         """The best segmentations of one whole text with their ids."""
@@ -201,20 +217,25 @@ def lattice_text(raw: bytes) -> str:
     return raw.decode().replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
-def merged(scores: np.ndarray) -> list[float]:
-    """The best totals of a row of words: each of them takes its best or, at a cost, one of its alternatives."""
+#: Which words take which of their alternatives: (place of the word, number of the alternative); the others take their best.
+Choices = tuple[tuple[int, int], ...]
+
+
+def merged(scores: np.ndarray) -> list[tuple[float, Choices]]:
+    """The best totals of a row of words, with what they take: each of the words takes its best or, at a cost, one of its alternatives."""
     if not len(scores):
         return []
     best, best_total = scores.shape[1], float(scores[:, 0].sum())
     if best == 1:
-        return [best_total]
+        return [(best_total, ())]
     costs = scores[:, 1:]
     k = min(best - 1, len(costs))  # the words beyond the k whose first alternatives cost least can't be among the best
-    few = costs[np.argpartition(costs[:, 0], k - 1)[:k]]
-    totals = [0.0]
-    for row in few.tolist():
-        totals = heapq.nsmallest(best, [t + c for t in totals for c in (0.0, *row) if c < np.inf])
-    return [best_total - t for t in totals]
+    few = np.argpartition(costs[:, 0], k - 1)[:k]
+    totals: list[tuple[float, Choices]] = [(0.0, ())]
+    for word, row in zip(few.tolist(), costs[few].tolist(), strict=True):
+        taken = [(c, ((word, i + 1),)) for i, c in enumerate(row) if c < np.inf]
+        totals = sorted([*totals, *((t + c, choices + one) for t, choices in totals for c, one in taken)])[:best]
+    return [(best_total - t, choices) for t, choices in totals]
 
 
 _pieces: dict[tuple[str, int], Pieces] = {}
@@ -228,7 +249,8 @@ def pieces(path: str, best: int = 3) -> Pieces:
 
 
 def encode_decode(docs: DataFrame, model_path: str, best: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), best_scores (comma-joined, best first), round_trip (whether decoding gives the text) and, if asked for, ids."""
+    """doc_id, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), best_scores (comma-joined, best first), round_trip (whether decoding gives the text)
+    of the best segmentation; best_n_pieces, best_crc32 and best_round_trip (comma-joined, in the order of best_scores) of each of the best ones; and, if asked for, ids and best_ids."""
 
     def work(batches):
         p = pieces(model_path, best)
@@ -236,15 +258,24 @@ def encode_decode(docs: DataFrame, model_path: str, best: int = 3, id_col: str =
             for batch in batches_of(whole, 1):
                 texts = texts_of(batch.column(1))
                 found = p.encode(texts)
-                raw = [ids.astype("<u4").tobytes() for ids, _ in found]
+                raw = [[ids.astype("<u4").tobytes() for ids in each] for each, _ in found]
+                crc = [[zlib.crc32(x) for x in each] for each in raw]
+                trip = [[p.decode(ids) == (t or b"") for ids in each] for (each, _), t in zip(found, texts, strict=True)]
+                joined = lambda of, f: pa.array([",".join(map(f, x[: len(s)])) for x, (_, s) in zip(of, found, strict=True)], pa.string())
                 columns = [
-                    pa.array([len(ids) for ids, _ in found], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                    pa.array([len(each[0]) for each, _ in found], pa.int64()),
+                    pa.array([x[0] for x in crc], pa.int64()),
                     pa.array([",".join(f"{x:.12g}" if abs(x) < 1e15 else "-inf" for x in s) for _, s in found], pa.string()),
-                    pa.array([p.decode(ids) == (t or b"") for (ids, _), t in zip(found, texts, strict=True)], pa.bool_()),
-                    pa.array(raw if with_ids else [None] * len(raw), pa.binary()),
+                    pa.array([x[0] for x in trip], pa.bool_()),
+                    joined([[len(ids) for ids in each] for each, _ in found], str),
+                    joined(crc, str),
+                    joined(trip, lambda x: "true" if x else "false"),
+                    pa.array([x[0] if with_ids else None for x in raw], pa.binary()),
+                    pa.array([x[: len(s)] if with_ids else None for x, (_, s) in zip(raw, found, strict=True)], pa.list_(pa.binary())),
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_pieces", "ids_crc32", "best_scores", "round_trip", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, n_pieces long, ids_crc32 long, best_scores string, round_trip boolean, ids binary")
-    return out if with_ids else out.drop("ids")
+    names = ["doc_id", "n_pieces", "ids_crc32", "best_scores", "round_trip", "best_n_pieces", "best_crc32", "best_round_trip", "ids", "best_ids"]
+    schema = "doc_id long, n_pieces long, ids_crc32 long, best_scores string, round_trip boolean, best_n_pieces string, best_crc32 string, best_round_trip string, ids binary, best_ids array<binary>"
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    return out if with_ids else out.drop("ids", "best_ids")
