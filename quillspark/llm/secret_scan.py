@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and strings in a sensitive context that a primed zstandard can't compress.
 
-The patterns give the kinds assign, access and hex. The method adds the kind novel: a long token with letters and digits, close
-behind a sensitive word, whose marginal compressed bytes (context with it, less context without it, by zstandard primed with a
-dictionary of identifiers) are nearly its own length. Spans are in code points, ends exclusive, ordered by start, then kind as
+The patterns give the kinds assign, access and hex. The method adds the kind novel: a long token close to a sensitive word, on
+either side, whose marginal compressed bytes (context with it, less context without it, by zstandard primed with a dictionary of
+identifiers) are as many as random characters of its alphabet take. Spans are in code points, ends exclusive, ordered by start, then kind as
 listed; novel spans never overlap those of the patterns.
 
 Defined results: a null text is an empty one, without spans; repeated rows are each scanned; other columns are ignored.
@@ -12,6 +12,7 @@ Most texts are left after a few substring searches, so their cost is that of rea
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -43,9 +44,14 @@ IDENTIFIERS = b" ".join(
     )
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+IN_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]")
 SENSITIVE_TEXT = re.compile("|".join(re.escape(w.decode()) for w in SENSITIVE), re.I | re.A)
-#: Code points in which the sensitive word must begin before the candidate, code points of context, and the marginal bytes a character.
-REACH, CONTEXT, NOVELTY = 48, 256, 0.8
+#: Code points between the end of the sensitive word and the candidate on either side, code points of context, and the marginal bytes a character:
+#: the entropy of the token's alphabet times SURPRISE, and FIXED more for a token of one character (what zstandard spends on any token), NOVELTY at most.
+REACH, CONTEXT, NOVELTY, SURPRISE, FIXED = 48, 256, 0.8, 0.95, 4.0
+#: The characters of candidates by kind, and the marks among them.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_=-")
+HEX_TOKEN = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])([0-9a-f]+|[0-9A-F]+)")
 HEXLIKE = bytes(ord("x") if chr(c) in "0123456789abcdef" else ord(" ") for c in range(256))
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
@@ -77,20 +83,38 @@ class Novelty:
         return (len(self.press.compress(before + text[a:b].encode() + after)) - len(self.press.compress(before + after))) / (b - a)
 
 
+def least_novelty(token: str) -> float:
+    """The marginal bytes a character from which a token counts as random, by the kinds of characters in it; marks alone count as the whole alphabet."""
+    size = 16 if HEX_TOKEN.fullmatch(token) else sum(len(x) for x in ALPHABETS if any(c in x for c in token))
+    if size <= len(ALPHABETS[-1]):
+        size = sum(map(len, ALPHABETS))
+    return min(NOVELTY, (SURPRISE + FIXED / len(token)) * math.log2(size) / 8)
+
+
+def candidates(text: str, word: re.Match) -> list[tuple[int, int]]:
+    """The long tokens within REACH of a sensitive word: those that begin behind it, then those that end before it; whole, even beyond the searched stretch."""
+    out = []
+    for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 512)):
+        if m.start() > word.end() + REACH:
+            break
+        out.append((m.start(), CANDIDATE.match(text, m.start()).end()))
+    start = max(0, word.start() - REACH - 16)
+    while start and IN_CANDIDATE.match(text, start - 1):
+        start -= 1
+    return out + [m.span() for m in CANDIDATE.finditer(text, start, word.start()) if m.end() >= word.start() - REACH]
+
+
 def novel_spans(text: str, low: bytes, base: list[Span], novelty: Novelty) -> list[Span]:
     if not any(w in low for w in SENSITIVE):
         return []
     out: list[Span] = []
+    measured: set[tuple[int, int]] = set()
     for word in SENSITIVE_TEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 512)):
-            a, b = m.span()
-            if a > word.end() + REACH:
-                break
-            b = CANDIDATE.match(text, a).end()  # beyond the searched stretch
-            if any(s < b and a < e for s, _, e in base + out):
+        for a, b in candidates(text, word):
+            if (a, b) in measured or any(s < b and a < e for s, _, e in base + out):
                 continue
-            token = text[a:b]
-            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and novelty(text, a, b) >= NOVELTY:
+            measured.add((a, b))
+            if novelty(text, a, b) >= least_novelty(text[a:b]):
                 out.append((a, 3, b))
     return out
 
