@@ -6,7 +6,8 @@ All texts of a batch go through Viterbi in step, so a step costs a few numpy cal
 
 Defined results: a null text, a text without letters, or a table with nothing to learn from gives `und` with score 0;
 repeated rows are each judged; other columns are never looked at. The score is the share of the text's letters in spans
-of the language that is returned (ties: the language first in sorted order).
+of the language that is returned (ties: the language first in sorted order). Letters of a script that no learned language uses
+count as letters, but for no language, so a text without others has score 0.
 """
 
 from __future__ import annotations
@@ -127,6 +128,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.known, self.rows = {}, np.zeros((1 << 14, max(1, len(self.langs))), np.float32)
+        self.learned = np.zeros(len(self.rows), bool)  # whether some language uses the word's script
 
     def score(self, word: str) -> np.ndarray:
         """Mean log-likelihood a run, times the letters: long words speak louder; narrowed by script."""
@@ -143,17 +145,20 @@ class Scorer:
             total = np.zeros_like(total)
         return 0.5 * (total - total.max())
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word in rows and learned."""
         if len(self.known) > self.most:
             self.clear()
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
         while len(known) + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.learned = np.concatenate([self.learned, np.zeros_like(self.learned)])
         for w in new:
-            self.rows[len(known)] = self.score(w)
+            fits = self.model["scripts"].get(script_of(w))
+            self.rows[len(known)], self.learned[len(known)] = self.score(w), fits is not None and fits.any()
             known[w] = len(known)
-        return self.rows[np.fromiter((known[w] for w in words), np.int64, len(words))]
+        return np.fromiter((known[w] for w in words), np.int64, len(words))
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -204,11 +209,12 @@ def labelled(texts: list[str | None], scorer: Scorer) -> tuple[list[str], list[f
     if not n or not sizes.sum():
         return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     words = [w for x in lists for w in x]
-    path = viterbi(scorer(words), sizes)
+    at = scorer.places(words)
+    path = viterbi(scorer.rows[at], sizes)
     letters = np.fromiter(map(len, words), np.int64, len(words))
     text = np.repeat(np.arange(len(texts)), sizes)
-    share = np.bincount(text * n + path, letters, len(texts) * n).reshape(-1, n)
-    total, best = share.sum(1), share.argmax(1)
+    share = np.bincount(text * n + path, letters * scorer.learned[at], len(texts) * n).reshape(-1, n)
+    total, best = np.bincount(text, letters, len(texts)), share.argmax(1)
     langs = [scorer.langs[b] if s else "und" for b, s in zip(best.tolist(), sizes.tolist(), strict=True)]
     score = np.where(total > 0, share[np.arange(len(texts)), best] / np.maximum(total, 1), 0.0)
     cut = np.flatnonzero((np.diff(path) != 0) | (np.diff(text) != 0)) + 1 if len(path) else np.zeros(0, np.int64)
