@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import wraps
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
+def lazy(returns: str):
+    """A pandas UDF that is made at each call, so that importing this module needs no session."""
+
+    def over(f):
+        @wraps(f)
+        def call(*columns: Column | str) -> Column:
+            return F.pandas_udf(f, returns)(*columns)
+
+        return call
+
+    return over
+
+
+@lazy("double")
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters, rounded to three places; the order of the two matters. Null where either is null."""
     return pd.Series([None if x is None or y is None else round(SequenceMatcher(None, x, y).ratio(), 3) for x, y in zip(a, b, strict=True)], dtype="Float64")
 
 
-@F.pandas_udf("double")
+@lazy("double")
 def word_match(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of words of a that find a word of b of their own with a ratio of 0.75 or more, each taking the best that is left; numbers must be equal."""
 
@@ -33,7 +48,7 @@ def word_match(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Float64")
 
 
-@F.pandas_udf("string")
+@lazy("string")
 def difference_kind(a: pd.Series, b: pd.Series) -> pd.Series:
     """equal, missing, extra, changed or mixed: the kinds of edits that turn a into b, by their matching blocks."""
 

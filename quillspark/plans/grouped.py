@@ -19,7 +19,9 @@ def query(sql: str):
     return put
 
 
-N = F.count(F.lit(1))
+def counted():
+    """Rows of a group; made when a query runs, as columns need a session."""
+    return F.count(F.lit(1))
 
 
 @query("SELECT n_nationkey, n_name, count(s_suppkey)::BIGINT AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY 1, 2")
@@ -31,7 +33,7 @@ def zero_fill_count(spark, d):
 @query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS final, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS open, count(*) FILTER (o_orderstatus = 'P')::BIGINT AS pending, count(*)::BIGINT AS total FROM orders GROUP BY 1""")
 def conditional_counts(spark, d):
     s = F.col("o_orderstatus")
-    return load(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(s == "F").alias("final"), F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("pending"), N.alias("total"))
+    return load(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(s == "F").alias("final"), F.count_if(s == "O").alias("open"), F.count_if(s == "P").alias("pending"), counted().alias("total"))
 
 
 @query("""SELECT key, array_to_string(list(DISTINCT p_partkey ORDER BY p_partkey), ',') AS rows, count(DISTINCT p_partkey)::BIGINT AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS key FROM part) GROUP BY key""")
@@ -45,7 +47,7 @@ WITH p AS (SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_type LIKE 'ECON%' TH
 SELECT section, p_brand, count(*)::BIGINT AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS parts FROM p GROUP BY 1, 2""")
 def two_level_group(spark, d):
     section = F.when(F.col("p_size") < 10, "small").when(F.col("p_type").startswith("ECON"), "economy").otherwise("other")
-    t = load(spark, d, "part").groupBy(section.alias("section"), "p_brand").agg(N.alias("n"), F.array_sort(F.collect_list("p_partkey")).alias("p"))
+    t = load(spark, d, "part").groupBy(section.alias("section"), "p_brand").agg(counted().alias("n"), F.array_sort(F.collect_list("p_partkey")).alias("p"))
     return t.select("section", "p_brand", "n", F.array_join(F.col("p").cast("array<string>"), ",").alias("parts"))
 
 
@@ -75,13 +77,13 @@ def keep_first(spark, d):
 
 @query("""SELECT coalesce(o_orderpriority, '(all)') AS priority, coalesce(o_orderstatus, '(all)') AS status, count(*)::BIGINT AS total, count(*) FILTER (o_totalprice > 100000)::BIGINT AS matched FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""")
 def coverage_rollup(spark, d):
-    t = load(spark, d, "orders").rollup("o_orderpriority", "o_orderstatus").agg(N.alias("total"), F.count_if(F.col("o_totalprice") > 100000).alias("matched"))
+    t = load(spark, d, "orders").rollup("o_orderpriority", "o_orderstatus").agg(counted().alias("total"), F.count_if(F.col("o_totalprice") > 100000).alias("matched"))
     return t.select(F.coalesce("o_orderpriority", F.lit("(all)")).alias("priority"), F.coalesce("o_orderstatus", F.lit("(all)")).alias("status"), "total", "matched")
 
 
 @query("""SELECT coalesce(l_returnflag, '(all)') AS flag, coalesce(l_linestatus, '(all)') AS status, count(*)::BIGINT AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def coverage_cube(spark, d):
-    t = load(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(N.alias("n"))
+    t = load(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(counted().alias("n"))
     return t.select(F.coalesce("l_returnflag", F.lit("(all)")).alias("flag"), F.coalesce("l_linestatus", F.lit("(all)")).alias("status"), "n")
 
 
@@ -101,13 +103,13 @@ def bool_and_role(spark, d):
 @query("""SELECT user_id, count(*)::BIGINT AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated FROM events GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 3""")
 def recent_groups(spark, d):
     # the limit is the feature: the three newest groups
-    t = load(spark, d, "events").groupBy("user_id").agg(N.alias("n"), F.max("ts").alias("ts")).orderBy(F.desc("ts"), "user_id").limit(3)
+    t = load(spark, d, "events").groupBy("user_id").agg(counted().alias("n"), F.max("ts").alias("ts")).orderBy(F.desc("ts"), "user_id").limit(3)
     return t.select("user_id", "n", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated"))
 
 
 @query("""SELECT o_orderstatus, o_orderdate::DATE::VARCHAR AS batch, count(*)::BIGINT AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1, 2""")
 def queue_groups(spark, d):
-    t = load(spark, d, "orders").groupBy("o_orderstatus", F.col("o_orderdate").cast("date").cast("string").alias("batch")).agg(N.alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    t = load(spark, d, "orders").groupBy("o_orderstatus", F.col("o_orderdate").cast("date").cast("string").alias("batch")).agg(counted().alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("k"))
     return t.select("o_orderstatus", "batch", "n", F.array_join(F.col("k").cast("array<string>"), ",").alias("keys"))
 
 
@@ -124,7 +126,7 @@ def group_dates(spark, d):
     orders = load(spark, d, "orders").withColumn("opt", F.concat_ws("|", "o_orderstatus", "o_orderpriority"))
     # the options are a few combinations of two short code lists; only their ids are numbered in one task
     ids = orders.groupBy("opt").agg(F.min("o_orderkey").alias("first")).withColumn("id", F.row_number().over(Window.orderBy("first")).cast("long"))
-    return orders.groupBy("opt", F.col("o_orderdate").cast("date").cast("string").alias("day")).agg(N.alias("n")).join(ids, "opt").select("id", "day", "n")
+    return orders.groupBy("opt", F.col("o_orderdate").cast("date").cast("string").alias("day")).agg(counted().alias("n")).join(ids, "opt").select("id", "day", "n")
 
 
 @query("""SELECT p_brand, array_to_string(list(DISTINCT p_type ORDER BY p_type), ',') AS types FROM part GROUP BY 1""")
@@ -135,7 +137,7 @@ def group_collect(spark, d):
 @query("""SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1""")
 def percentile_disc(spark, d):
     """Exact nearest-rank percentiles from counts of distinct values: the values are counted first, then ranked by running counts."""
-    c = load(spark, d, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(N.alias("n"))
+    c = load(spark, d, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(counted().alias("n"))
     w = Window.partitionBy("l_returnflag")
     r = c.withColumn("upto", F.sum("n").over(w.orderBy("l_extendedprice").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("l_extendedprice")))
@@ -144,7 +146,7 @@ def percentile_disc(spark, d):
 
 @query("""SELECT 'customer' AS kind, count(*)::BIGINT AS n, count(*) FILTER (c_acctbal < 0)::BIGINT AS flagged FROM customer UNION ALL SELECT 'supplier', count(*), count(*) FILTER (s_acctbal < 0) FROM supplier UNION ALL SELECT 'order', count(*), count(*) FILTER (o_orderstatus = 'P') FROM orders""")
 def kind_counts(spark, d):
-    one = lambda t, kind, flag: load(spark, d, t).agg(N.alias("n"), F.count_if(F.expr(flag)).alias("flagged")).select(F.lit(kind).alias("kind"), "n", "flagged")
+    one = lambda t, kind, flag: load(spark, d, t).agg(counted().alias("n"), F.count_if(F.expr(flag)).alias("flagged")).select(F.lit(kind).alias("kind"), "n", "flagged")
     return one("customer", "customer", "c_acctbal < 0").unionByName(one("supplier", "supplier", "s_acctbal < 0")).unionByName(one("orders", "order", "o_orderstatus = 'P'"))
 
 
@@ -211,7 +213,7 @@ def noop_rows(spark, d):
 def superset_gate(spark, d):
     a = load(spark, d, "lineitem").filter("l_quantity > 25").select("l_suppkey").distinct()
     missing = a.join(load(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_anti")
-    return missing.agg(N.alias("missing"), (N == 0).alias("superset"))
+    return missing.agg(counted().alias("missing"), (counted() == 0).alias("superset"))
 
 
 @query("SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 49 UNION SELECT p_partkey FROM part WHERE p_size < 5")
