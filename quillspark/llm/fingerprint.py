@@ -1,15 +1,17 @@
 """Fingerprints of documents: a Merkle tree over sections, paragraphs and pieces, with DataFrame functions only.
 
-A paragraph is a line; a section is SECTION paragraphs; a piece is a sentence of a paragraph, cut at so many code points as PIECE tells. A node's hash is made
-of its children's, and the root is a SHA-256. A fingerprint is `root|sections|paragraphs|pieces`, the lower levels cut to 8 hex
-digits: equal roots mean equal texts, and where roots differ, the differing branches tell which sections and paragraphs were edited.
+A piece is a sentence of a paragraph, cut at so many code points as PIECE tells; a paragraph is a line; a section ends with a paragraph whose own hash says
+so (one in four), so an inserted line moves no later section. Every node is a whole SHA-256: a piece's of its text, any other's of its
+children's hashes. A fingerprint is `root|sections|paragraphs|pieces`, the root whole, the levels below it cut to 8 hex digits for print only: equal
+roots mean equal texts, and where roots differ, the branches that differ tell which sections and paragraphs were edited.
 Likeness is 1 for equal roots, else the Jaccard similarity of the pieces' hashes (0 to 1).
 
 Defined results: a null text is an empty one; a table with one document is followed by itself; documents with the same doc_id are
 ordered by text; other columns are ignored; a null doc_id comes first in the order.
 
 Successors at scale: documents are dealt out by blocks of consecutive ids, and each block also gets a copy of the document that follows its last,
-so one shuffle of the texts suffices and no task sees more than a block of ids.
+so one shuffle of the texts suffices and no task sees more than a block of ids. Blocks find their successors within ranges of ids; only the ranges'
+first ids, as many as there are partitions, meet in one task. Ids far apart make many blocks, which costs a second copy of the texts.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast
+from .common import fits_broadcast, stored
 
-SECTION, BLOCK = 4, 1024
+BLOCK = 1024
+#: First digits of the hashes of paragraphs that end a section.
+ENDS = "048c"
 BROADCAST_BYTES = 8 << 20
 #: Pieces are cut at so many code points, by the length of the text (below), the last for all longer ones: short texts need fine pieces.
 PIECE = ((2, 32), (8, 512), (64, None))
@@ -31,19 +35,20 @@ def pieces(size: int) -> str:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a string column; null counts as empty."""
-    short = lambda x: F.substring(F.md5(x), 1, 8)
+    whole = lambda x: F.sha2(x, 256)
+    short = lambda level: F.transform(level, lambda x: F.substring(x, 1, 8))
     text = F.coalesce(text, F.lit(""))
-    whole = [F.length(text) < below for _, below in PIECE[:-1]]
+    below = [F.length(text) < size for _, size in PIECE[:-1]]
     (a, _), (b, _), (c, _) = PIECE
     every = lambda p, k: F.regexp_extract_all(p, F.lit(pieces(k)), F.lit(0))
-    cut = lambda p: F.when(whole[0], every(p, a)).when(whole[1], every(p, b)).otherwise(every(p, c))
-    leaves = F.transform(F.split(text, "\n", -1), lambda p: F.array_join(F.transform(cut(p), short), ""))
-    # leaves: a string of 8 hex digits a piece, for each paragraph
-    paragraphs = lambda a: F.transform(a, short)
-    sections = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SECTION).cast("int")), lambda i: short(F.array_join(F.slice(a, i * SECTION + 1, F.lit(SECTION)), "")))
-    # one-element transforms name a value once, so that it isn't computed again for each use
-    level = lambda a: F.element_at(F.transform(F.array(paragraphs(a)), lambda p: F.element_at(F.transform(F.array(sections(p)), lambda s: F.concat(F.sha2(F.concat(F.array_join(s, ""), F.lit("/"), F.array_join(p, ""), F.lit("/"), F.array_join(a, ",")), 256), F.lit("|"), F.array_join(s, ""), F.lit("|"), F.array_join(p, ""), F.lit("|"), F.array_join(a, ","))), 1)), 1)
-    return F.element_at(F.transform(F.array(leaves), level), 1)
+    cut = lambda p: F.when(below[0], every(p, a)).when(below[1], every(p, b)).otherwise(every(p, c))
+    leaves = F.transform(F.split(text, "\n", -1), lambda p: F.transform(cut(p), whole))
+    # sections: the paragraphs' hashes as one string, with a mark behind those that end a section
+    marked = lambda p: F.array_join(F.transform(p, lambda h: F.concat(h, F.when(F.substring(h, 1, 1).isin(*ENDS), "/").otherwise(""))), "")
+    sections = lambda p: F.transform(F.split(F.rtrim(marked(p), F.lit("/")), "/", -1), whole)
+    printed = lambda s, p, x: F.concat_ws("|", whole(F.array_join(s, "")), F.array_join(short(s), ""), F.array_join(short(p), ""), F.array_join(F.transform(x, lambda a: F.array_join(short(a), "")), ","))
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  names a value, so that it isn't computed again for each use
+    return once(leaves, lambda x: once(F.transform(x, lambda a: whole(F.array_join(a, ""))), lambda p: once(sections(p), lambda s: printed(s, p, x))))
 
 
 def hashes(level: Column) -> Column:
@@ -67,18 +72,26 @@ def first_edit(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 64) != F.substring(b, 1, 64), differs)
 
 
+def edits(a: Column, b: Column) -> Column:
+    """The paragraphs (from 0, comma-joined) of the second text that the first one lacks, by their fingerprints; empty where the roots are equal."""
+    part = lambda x: hashes(F.split_part(x, F.lit("|"), F.lit(3)))
+    places = lambda p, new: F.array_join(F.filter(F.transform(p, lambda h, i: F.when(F.array_contains(new, h), i.cast("string"))), lambda x: x.isNotNull()), ",")
+    named = F.transform(F.array(F.struct(part(b).alias("p"), F.array_except(part(b), part(a)).alias("new"))), lambda s: places(s["p"], s["new"]))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), "").otherwise(F.element_at(named, 1))
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text), with next_text: the text of the next document in ascending doc_id order, after the last the first's."""
     block = F.floor(F.col("doc_id") / BLOCK)
     heads = docs.groupBy(block.alias("block")).agg(F.min("doc_id").alias("head"))
-    # heads are a row a block; their successors are found in blocks of blocks, and only those of the last level meet in one task
-    upper = F.floor(F.col("block") / BLOCK)
-    order = Window.partitionBy("upper").orderBy("block")
-    tops = heads.groupBy(upper.alias("upper")).agg(F.min("head").alias("top")).withColumnRenamed("upper", "group")
-    whole = Window.orderBy("group")
-    first = F.first("top").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = tops.select("group", F.coalesce(F.lead("top").over(whole), first).alias("after"))
-    following = heads.withColumn("upper", upper).withColumn("inner", F.lead("head").over(order)).join(after, F.col("upper").eqNullSafe(F.col("group"))).select("block", F.coalesce("inner", "after").alias("next_id"))
+    # a row a block: dealt out by ranges, in which each finds the one behind it; the last of a range takes the first of the next range, the very last the first of all
+    ranged = stored(heads.repartitionByRange("head").select("block", F.struct("head").alias("h"), F.spark_partition_id().alias("range")), "heads")
+    ranges = ranged.groupBy("range").agg(F.min("h").alias("low"))
+    whole = Window.orderBy("range")
+    first = F.first("low").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = ranges.select("range", F.coalesce(F.lead("low").over(whole), first).alias("after"))
+    inner = F.lead("h").over(Window.partitionBy("range").orderBy("h"))
+    following = ranged.withColumn("inner", inner).join(after, "range").select("block", F.coalesce("inner", "after")["head"].alias("next_id"))
     # a row a block, 16 bytes each: broadcast up to BROADCAST_BYTES, else joined by shuffle
     following = F.broadcast(following) if fits_broadcast(heads, "16L", BROADCAST_BYTES) else following
     # the first text of a doc_id stands for it where ids repeat
@@ -99,15 +112,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     both = successors(rows).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     marked = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"))
-    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).cast("long").alias("first_edit"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).cast("long").alias("first_edit"), edits(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edited_paragraphs"))
 
 
 def oracle() -> str:
     def tree(x: str) -> str:
         cases = " ".join(f"WHEN length({x}) < {below or 1 << 62} THEN regexp_extract_all(p, '{pieces(k)}')" for k, below in PIECE)
-        return f"""list_transform([list_transform(string_split({x}, chr(10)), lambda p: array_to_string(list_transform(CASE {cases} END, lambda q: md5(q)[1:8]), ''))],
-      lambda a: list_transform([list_transform(a, lambda q: md5(q)[1:8])], lambda p: list_transform([list_transform(range(0, (len(a) - 1) // {SECTION} + 1), lambda i: md5(array_to_string(p[i * {SECTION} + 1 : i * {SECTION} + {SECTION}], ''))[1:8])],
-        lambda s: sha256(array_to_string(s, '') || '/' || array_to_string(p, '') || '/' || array_to_string(a, ',')) || '|' || array_to_string(s, '') || '|' || array_to_string(p, '') || '|' || array_to_string(a, ','))[1])[1])[1]"""
+        short = "list_transform({0}, lambda q: q[1:8])".format
+        return f"""list_transform([list_transform(string_split({x}, chr(10)), lambda p: list_transform(CASE {cases} END, lambda q: sha256(q)))],
+      lambda a: list_transform([list_transform(a, lambda q: sha256(array_to_string(q, '')))], lambda p: list_transform([list_transform(string_split(rtrim(array_to_string(list_transform(p, lambda h: h || CASE WHEN h[1:1] IN ({', '.join(map(repr, ENDS))}) THEN '/' ELSE '' END), ''), '/'), '/'), lambda q: sha256(q))],
+        lambda s: sha256(array_to_string(s, '')) || '|' || array_to_string({short('s')}, '') || '|' || array_to_string({short('p')}, '') || '|' || array_to_string(list_transform(a, lambda y: array_to_string({short('y')}, '')), ','))[1])[1])[1]"""
 
     def part(x: str, k: int) -> str:
         return f"regexp_extract_all(split_part({x}, '|', {k}), '[0-9a-f]{{8}}')"
@@ -122,5 +136,6 @@ n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), fir
 e AS (SELECT *, text[1 : length(text) - length(text) // 4] || next_text[1 : length(text) // 4] AS edited FROM n),
 f AS (SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {tree("text")} AS fingerprint, {tree("edited")} AS edited_fingerprint, {tree("next_text")} AS next_fingerprint FROM e)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {like("fingerprint", "edited_fingerprint")} AS near_edited, {like("fingerprint", "next_fingerprint")} AS near_next,
-  CASE WHEN fingerprint[1:64] <> edited_fingerprint[1:64] THEN coalesce(list_position(list_transform(range(1, greatest(len({p}), len({q})) + 1), lambda i: {p}[i] IS DISTINCT FROM {q}[i]), true), 0) - 1 END::BIGINT AS first_edit
+  CASE WHEN fingerprint[1:64] <> edited_fingerprint[1:64] THEN coalesce(list_position(list_transform(range(1, greatest(len({p}), len({q})) + 1), lambda i: {p}[i] IS DISTINCT FROM {q}[i]), true), 0) - 1 END::BIGINT AS first_edit,
+  CASE WHEN fingerprint[1:64] = edited_fingerprint[1:64] THEN '' ELSE array_to_string(list_transform(list_filter(range(1, len({q}) + 1), lambda i: NOT list_contains({p}, {q}[i])), lambda i: i - 1), ',') END AS edited_paragraphs
 FROM f"""
