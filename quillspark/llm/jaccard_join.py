@@ -3,9 +3,9 @@
 Sets are the distinct runs of SHINGLE words (shorter texts: the whole sequence is one). Equal sets count as one from the start. A set's
 tokens are ordered light before heavy, and only its prefix is indexed: two linked sets share a token of both prefixes. Skipping:
 
-- by position: an index list holds each set's size and the token's place in it; lists are ordered by size and cut in blocks, and two blocks
-  whose sizes and places leave too few tokens for the overlap are skipped as a whole, then single entries are (the first token that two linked sets
-  share leaves enough of both); parity bits of the sets rule out most pairs that are left;
+- by position: an index list holds each set's size and the token's place in it; lists are cut in blocks of near sizes, and blocks that an entry's place
+  leaves too few tokens for are skipped as a whole, then single entries are (the first token that two linked sets share leaves enough of both);
+  parity bits of the sets rule out most pairs that are left;
 - by answers: lists of the first few tokens link each set to one pivot of the list, which is verified. Sets that this joins are highly similar, so
   their pairs among one another are known to be of one component, and the full lists are searched only for pairs of different components.
 
@@ -13,7 +13,9 @@ A heavy token is one that some tasks saw repeatedly: the order only moves cost,
 are dropped by an aggregate that is combined before the shuffle, so a group of near copies of any size is no list in one task.
 
 Defined results: a null or empty text, or one without words, has an empty set, linked with nothing (its component is its doc_id); repeated rows
-are equal sets, so linked; other columns are ignored. Set identity and tokens are 64-bit hashes, the verification compares token sets of the texts.
+are equal sets, so linked; rows with a null doc_id link as others do, but name no component (a component of only such rows has a null one); rows that share
+a doc_id with another text are judged each by its own text; other columns are ignored. Links inside a component are not counted: its sets are joined
+by pivots, and set_copies counts the rows with an equal set only. Set identity and tokens are 64-bit hashes, the verification compares token sets of the texts.
 """
 
 from __future__ import annotations
@@ -23,14 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, hash_words, mix, run_hashes, stored, texts_of
+from .common import batches_of, dropped, hash_words, mix, run_hashes, stored, texts_of
 from .components import components
 
 SHINGLE, SIMILAR = 5, 75  # words; percent
 #: A token counts as heavy where tasks that hold it at least LOCAL times hold it so often together; the most frequent of these are broadcast, 16 bytes each.
 LOCAL, HEAVY, MOST_HEAVY = 2, 6, 1 << 18
-#: Tokens of each set whose lists give pivots; the size beyond which a list of several components gets MORE_PIVOTS more; entries of a block.
-PIVOT_TOKENS, LONG_LIST, MORE_PIVOTS, LIST_BLOCK = 6, 24, 16, 128
+#: Tokens of each set whose lists give pivots; the size beyond which a list of several components gets MORE_PIVOTS more.
+PIVOT_TOKENS, LONG_LIST, MORE_PIVOTS = 6, 24, 16
+#: Sizes of one block of a list differ by less than this factor.
+BLOCK_RATIO = 1.15
+#: Tokens that a task counts at once, 8 bytes each.
+MOST_HELD = 2_000_000
 FOLD = ["x0", "x1", "x2", "x3"]
 FACTS = ["kind", "a", "n", "sid", "bits", *FOLD]
 
@@ -102,7 +108,7 @@ def described(texts: DataFrame) -> DataFrame:
                 first = {i: s for s, i in zip(sets, ids, strict=True) if i not in seen}  # equal sets count once
                 seen.update(first)
                 held.append(np.concatenate([np.zeros(0, np.uint64), *first.values()]))
-                if sum(map(len, held)) > 16_000_000:  # long tasks count in parts
+                if sum(map(len, held)) > MOST_HELD:  # long tasks count in parts
                     yield from repeated(held)
         yield from repeated(held)
 
@@ -185,87 +191,26 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: pairs of sets of different labels in one list that sizes, places and folded parity bits allow; a pair may come from several tasks."""
-
-    def search(batches):
-        import pandas as pd
-
-        held: list[np.ndarray] = []
-        rest = None
-
-        def distinct():
-            pairs = pd.DataFrame(np.concatenate(held), columns=["a", "b"]).drop_duplicates()
-            held[:] = [pairs.to_numpy()]
-
-        def given():
-            distinct()
-            out = pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], ["a", "b"])
-            held.clear()
-            return out
-
-        for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            end = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-            rest = [c[end:] for c in cols]
-            held += found([c[:end] for c in cols])
-            if sum(map(len, held)) > 4_000_000:
-                distinct()
-                if len(held[0]) > 2_000_000:
-                    yield given()
-        if rest is not None:
-            held += found(rest)
-        if held:
-            yield given()
-
-    def found(cols):
-        """Short lists all at once, by the distance of the two entries; long ones block by block."""
-        token, sid, n, at, label = cols[0], cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), cols[4]
-        fold = [c.view(np.uint64) for c in cols[5:]]
-        if not len(token):
-            return []
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-        size = np.diff(cut)
-        left, out = n - at, []
-
-        def pairs(i, j):
-            good = (label[i] != label[j]) & (100 * n[i] >= SIMILAR * n[j]) & (np.minimum(left[i], left[j]) >= needed(n[i], n[j]))
-            i, j = i[good], j[good]
-            differ = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in fold)
-            good = (100 + SIMILAR) * differ <= (100 - SIMILAR) * (n[i] + n[j])
-            i, j = i[good], j[good]
-            return np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1)
-
-        short = np.repeat(size <= LIST_BLOCK, size)
-        ends = np.repeat(cut[1:], size)
-        i = np.flatnonzero(short)
-        for distance in range(1, LIST_BLOCK):
-            i = i[i + distance < ends[i]]
-            if not len(i):
-                break
-            out.append(pairs(i, i + distance))
-        for lo, hi in zip(cut[:-1][size > LIST_BLOCK].tolist(), cut[1:][size > LIST_BLOCK].tolist(), strict=True):
-            starts = np.arange(lo, hi, LIST_BLOCK)
-            top = np.maximum.reduceat(left[lo:hi], starts - lo)
-            for p, a in enumerate(starts.tolist()):
-                mine = np.arange(a, min(a + LIST_BLOCK, hi))
-                for q in range(p, len(starts)):
-                    b = int(starts[q])
-                    # entries are ordered by size: partners of this block end where even its largest set is too small
-                    if 100 * n[mine[-1]] < SIMILAR * n[b]:
-                        break
-                    if min(top[p], top[q]) < needed(n[mine[0]], n[b]):
-                        continue
-                    other = np.arange(b, min(b + LIST_BLOCK, hi))
-                    i, j = (x.reshape(-1) for x in np.meshgrid(mine, other, indexing="ij"))
-                    ahead = i < j
-                    out.append(pairs(i[ahead], j[ahead]))
-        return [x for x in out if len(x)]
-
-    return rows.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(search, "a long, b long")
+    """a, b: pairs of sets of different labels in one list that sizes, places and folded parity bits allow; a pair may come several times.
+
+    A list is cut into blocks of near sizes. An entry is filed under the block of its own size if its place leaves enough tokens for a partner of that size or
+    more; an entry looks only into the blocks of the smaller sizes that its own place still allows, so whole blocks are skipped. Blocks are keys of a
+    join of two fresh shuffles: Spark deals a hot one out over several tasks.
+    """
+    left = F.col("n") - F.col("at")
+    top = F.floor((100 + SIMILAR) * left / SIMILAR) - F.col("n")  # the largest partner that the tokens from this place on can meet
+    block = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(BLOCK_RATIO))).cast("int")
+    low, high = F.ceil(SIMILAR * F.col("n") / 100), F.least("n", "top")
+    sized = rows.withColumn("top", top)
+    names = ["token", "block", "sid", "n", "top", "label", *FOLD]
+    filed = sized.filter("top >= n").withColumn("block", block(F.col("n"))).select(*(F.col(c).alias(f"{c}_i" if c not in ("token", "block") else c) for c in names))
+    asking = sized.filter(high >= low).withColumn("block", F.explode(F.sequence(block(low), block(high)))).select(*(F.col(c).alias(f"{c}_j" if c not in ("token", "block") else c) for c in names))
+    differ = sum((F.bit_count(F.col(f"{x}_i").bitwiseXOR(F.col(f"{x}_j"))) for x in FOLD[1:]), F.bit_count(F.col(f"{FOLD[0]}_i").bitwiseXOR(F.col(f"{FOLD[0]}_j"))))
+    both = F.expr(f"label_i <> label_j and n_i <= n_j and (n_i < n_j or sid_i < sid_j) and 100 * n_i >= {SIMILAR} * n_j and n_i <= top_j and n_j <= top_i") & ((100 + SIMILAR) * differ <= (100 - SIMILAR) * (F.col("n_i") + F.col("n_j")))
+    keys = (F.col("f.token") == F.col("q.token")) & (F.col("f.block") == F.col("q.block"))
+    # merged, so that a hot block can be split: never a hash table of a block
+    joined = filed.alias("f").hint("merge").join(asking.alias("q"), keys & both)
+    return joined.select(F.least("sid_i", "sid_j").alias("a"), F.greatest("sid_i", "sid_j").alias("b"))
 
 
 def needed(x, y):
@@ -318,28 +263,37 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = facts.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "sid")
     heavy = facts.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY).orderBy(F.desc("n"), "a").limit(MOST_HEAVY).collect()
     lists = stored(shared_lists(postings(texts, [(r["a"], r["n"]) for r in heavy])), "lists", compression="zstd")
-    # the texts of sets that share a token with another set, once for equal sets
-    wanted = sets.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(lists.select("sid").distinct(), "sid")
-    packed = stored(pack(texts).join(wanted, "doc_id").groupBy("sid").agg(F.min("packed").alias("packed")), "texts", compression="none")
-    sketches = stored(sets_bits(facts).join(lists.select("sid").distinct(), "sid"), "sketches", compression="none")
+    # the texts of sets that share a token with another set, once for equal sets; by the set itself, so that no other row's text can stand for it
+    wanted = stored(lists.select("sid").distinct(), "wanted")
+    packed = stored(pack(texts).join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("packed").alias("packed")), "texts", compression="none")
+    sketches = stored(sets_bits(facts).join(wanted, "sid", "left_semi"), "sketches", compression="none")
     # answers by pivots: in each list of first tokens, every set against the largest. Keys of joins are tables of their own, so that Spark splits hot partitions
     firsts = lists.filter(F.col("at") < PIVOT_TOKENS)
     pivots = stored(firsts.groupBy("token").agg(F.max(F.struct("n", "sid")).alias("pivot")), "pivots")
     stars = firsts.join(pivots, "token").filter((F.col("sid") != F.col("pivot.sid")) & (100 * F.col("n") >= SIMILAR * F.col("pivot.n"))).select(F.col("pivot.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    edges = stored(verified(stored(possible(stars, sketches), "star-pairs"), packed), "star-edges")
+    found = stored(possible(stars, sketches), "star-pairs")
+    edges = stored(verified(found, packed), "star-edges")
+    dropped(found)
     labels = stored(components(edges), "labels")
     # long lists that are still of several components: more pivots of each, against the sets of other components
     open_lists = stored(mixed_lists(lists, labels).filter(F.col("size") > LONG_LIST).select("token", F.explode("pivots").alias("pivot")), "more-pivots")
     tops = labels.withColumnRenamed("node", "pivot").withColumnRenamed("label", "pivot_label")
     rows = labelled_lists(lists.join(open_lists.select("token").distinct(), "token", "left_semi"), labels)
     against = rows.join(open_lists.join(tops, "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot")), "token").filter("label <> pivot_label").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-    edges = stored(edges.unionByName(verified(stored(possible(against, sketches), "pivot-pairs"), packed)), "pivot-edges")
+    found = stored(possible(against, sketches), "pivot-pairs")
+    edges = stored(edges.unionByName(verified(found, packed)), "pivot-edges")
+    dropped(found)
     labels = stored(components(edges), "labels")
     # all lists, for pairs that these answers leave open
     mixed = stored(mixed_lists(lists, labels).select("token"), "mixed")
-    named = labelled_lists(lists.join(mixed, "token", "left_semi"), labels).join(sketches.select("sid", *FOLD), "sid").select("token", "sid", "n", "at", "label", *FOLD)
-    pairs = stored(crossing_pairs(named), "pairs", compression="zstd").distinct()
-    more = stored(verified(stored(possible(pairs, sketches), "possible-pairs"), packed), "edges")
+    named = stored(labelled_lists(lists.join(mixed, "token", "left_semi"), labels).join(sketches.select("sid", *FOLD), "sid").select("token", "sid", "n", "at", "label", *FOLD), "named", compression="zstd")
+    dropped(lists)
+    pairs = stored(crossing_pairs(named).distinct(), "pairs", compression="zstd")
+    dropped(named)
+    found = stored(possible(pairs, sketches), "possible-pairs")
+    more = stored(verified(found, packed), "edges")
+    for done in (pairs, found, packed, sketches):
+        dropped(done)
     # the later links join whole components: theirs are found among labels, which are few
     name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
     between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
@@ -372,15 +326,21 @@ def sets_bits(facts: DataFrame) -> DataFrame:
 
 
 def pack(texts: DataFrame) -> DataFrame:
+    """sid, packed: a compressed text of each set that a task holds, once for equal sets."""
+
     def press(batches):
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
+        seen: set[int] = set()
         for whole in batches:
             for batch in batches_of(whole, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else z.compress(t) for t in texts_of(batch.column(1))], pa.binary())], ["doc_id", "packed"])
+                given = texts_of(batch.column(1))
+                new = {i: t for i, t in zip(set_ids(shingle_sets(given)), given, strict=True) if i is not None and i not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(map(z.compress, new.values()), pa.binary())], ["sid", "packed"])
 
-    return texts.mapInArrow(press, "doc_id long, packed binary")
+    return texts.mapInArrow(press, "sid long, packed binary")
 
 
 def oracle() -> str:

@@ -25,5 +25,5 @@ def texts(seed=0, n=40):
 def frame(spark, given=None, ids=None):
     given = texts() if given is None else given
     ids = range(len(given)) if ids is None else ids
-    rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}", len(t or ""), "clash", 7, "h", "w") for i, t in zip(ids, given, strict=True)]
+    rows = [(i, t, "en" if (i or 0) % 3 else None, f"s{(i or 0) % 2}", len(t or ""), "clash", 7, "h", "w") for i, t in zip(ids, given, strict=True)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)

@@ -54,6 +54,28 @@ def test_op1_fingerprints(spark):
     assert fingerprint.fingerprints(frame(spark).limit(0)).count() == 0
 
 
+def test_op1_roots_test_equality_and_branches_locate_edits(spark):
+    """Texts that differ in one sentence only have other roots, even where 32 bits of the sentences' hashes agree; a line set in moves no later section."""
+    lines = [f"Line {i} of a text, with the piece number {i * 977} of it." for i in range(40)]
+    given = ["\n".join(lines), "\n".join(lines[:7] + ["a new line"] + lines[7:]), "\n".join(lines[:20] + ["other"] + lines[21:35] + ["changed", "twice"] + lines[36:])]
+    pair = ["x piece number 38790 of it.", "x piece number 84159 of it."]
+    d = frame(spark, [*given, *pair]).select("doc_id", fingerprint.fingerprint(fingerprint.F.col("text")).alias("f"))
+    f = {r["doc_id"]: r["f"] for r in d.collect()}
+    assert len({x.split("|")[0] for x in f.values()}) == 5
+    level = lambda x, k: re.findall("[0-9a-f]{8}", x.split("|")[k])
+    assert len(set(level(f[1], 1)) - set(level(f[0], 1))) <= 2  # the section of the new line, or two where it ends one
+    both = spark.createDataFrame([(f[0], f[1]), (f[0], f[2])], "a string, b string")
+    assert [r[0] for r in both.select(fingerprint.edits(fingerprint.F.col("a"), fingerprint.F.col("b"))).collect()] == ["7", "20,35,36"]
+
+
+def test_op1_successors_of_scattered_repeated_and_null_ids(spark):
+    ids = [None, -(1 << 62), -5, 3, 3, 4, 1 << 20, 1 << 40, (1 << 62) + 7]
+    given = [f"text {i} " * (i + 1) for i in range(len(ids))]
+    got = {(r["doc_id"], r["text"]): r["next_text"] for r in fingerprint.successors(frame(spark, given, ids).select("doc_id", "text")).collect()}
+    order = sorted(zip(ids, given), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert got == {x: order[(k + 1) % len(order)][1] for k, x in enumerate(order)}
+
+
 def test_op2_pieces_round_trip_and_best(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     given = [*texts(), "a▁b  c ", "   "]
@@ -144,6 +166,25 @@ def test_op4_without_heavy_order_and_with_long_lists(spark, monkeypatch):
     assert got == label and 1 < len(set(label.values())) < 150
 
 
+def test_op4_repeated_and_null_ids(spark):
+    """A row's own text decides, whatever other row has its doc_id, or none."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = lambda t: f"{t} more"
+    got = jaccard_join.join_similar(frame(spark, [a, b, near(a), near(b), a, "else"], ids=[1, 1, 2, 3, None, None])).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (None, 56, 1), (None, 1, None)], key=str)
+    got = jaccard_join.join_similar(frame(spark, [a, near(a)], ids=[None, 2])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, 2), (2, 2)}
+
+
+def test_op4_hot_line_and_own_words(spark):
+    """Short texts of one line plus a word of their own share a token but are no links."""
+    line = " ".join(f"w{i}" for i in range(8))
+    given = [f"{line} own{i}" for i in range(300)] + [f"{line} own3 x"]
+    sets = {i: shingles(t) for i, t in enumerate(given)}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_similar(frame(spark, given)).collect()}
+    assert got == components_of(sets)
+
+
 def test_op5_licences(spark):
     given = [*texts(), "Text. Released under the MIT License.\nMore", "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nx", "You may not use this file except in compliance with the License.\na\nb\nc\nYou may obtain a copy of the License at"]
     got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, given)).collect()}
