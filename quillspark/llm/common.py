@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset and the master is local."""
     jsc = spark.sparkContext._jsc.sc()
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         found = jsc.getCheckpointDir()
         at = found.get() if found.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -65,6 +67,26 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+# ---- what a Python worker keeps from task to task ----
+
+_kept: dict = {}
+#: Bytes of words that such an object holds before it is emptied.
+MOST_WORD_BYTES = 16 << 20
+
+
+def kept(key, make):
+    """The one object that this Python worker keeps between its tasks: asked for under another key, the one before goes."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """For tasks that need the memory and keep nothing."""
+    _kept.clear()
+
+
 # ---- vectorised words and hashes (numpy inside tasks) ----
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, dropped, hash_words, mix, run_hashes, stored, texts_of
+from .common import batches_of, dropped, forget, hash_words, mix, run_hashes, stored, texts_of
 from .components import components
 
 SHINGLE, SIMILAR = 5, 75  # words; percent
@@ -96,6 +96,7 @@ def described(texts: DataFrame) -> DataFrame:
     """kind 0: a, n, sid, bits, x0 to x3 = doc_id, set size, set, its parity bits, whole and folded; kind 1: a, n = a token that this task saw n >= LOCAL times."""
 
     def parse(batches):
+        forget()
         held: list[np.ndarray] = []
         seen: set[int | None] = set()
         for whole in batches:

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, texts_of
+from .common import MOST_WORD_BYTES, batches_of, kept, texts_of
 
 SPACE, BYTE_COST = "▁", 10.0
 #: Characters that are looked up at once, and how many such windows a Python worker keeps.
-NEAR, MOST_NEAR = 4, 200_000
+NEAR, MOST_NEAR = 4, 60_000
 #: Marks before which a word may be cut where the model has no piece that joins the two.
 MARKS = '.,;:!?|$%&#*"()-'
 
@@ -46,7 +46,7 @@ def segments_of(vocabulary) -> re.Pattern:
 class Pieces:
     """A model's pieces, and the words that were segmented with it; emptied when it holds `most`."""
 
-    def __init__(self, path: str, best: int = 3, most: int = 700_000):
+    def __init__(self, path: str, best: int = 3, most: int = 250_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -72,7 +72,7 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.n, self.held, self.near = {}, 0, 0, {}
+        self.size, self.known, self.n, self.held, self.near = 0, {}, 0, 0, {}
         # of word w the segmentation k, best first, lies in ids between starts[w * best + k] and the place after it
         self.starts, self.ids = np.zeros((1 << 14) * self.best + 1, np.int64), np.zeros(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32)
         self.scores = np.zeros((1 << 14, self.best))  # the best's score, then what each further one costs
@@ -158,6 +158,7 @@ class Pieces:
                 self.starts[self.n * self.best + k + 1] = self.held
             self.scores[self.n] = [found[0][0], *(found[0][0] - s for s, _ in found[1:]), *[np.inf] * (self.best - len(found))]
             self.known[word] = self.n
+            self.size += len(word)
             self.n += 1
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +180,7 @@ class Pieces:
         """For each text the ids of its best segmentations, best first, and their scores; an empty text has one list without ids, and no score."""
         lists = [self.segments.findall(b" " + t) if t else [] for t in texts]
         words = list(chain.from_iterable(lists))
-        if self.n > self.most:
+        if self.n > self.most or self.size > MOST_WORD_BYTES:
             self.clear()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0).tolist()
@@ -238,14 +239,9 @@ def merged(scores: np.ndarray) -> list[tuple[float, Choices]]:
     return [(best_total - t, choices) for t, choices in totals]
 
 
-_pieces: dict[tuple[str, int], Pieces] = {}
-
-
 def pieces(path: str, best: int = 3) -> Pieces:
     """The pieces of this Python worker."""
-    if (path, best) not in _pieces:
-        _pieces[path, best] = Pieces(path, best)
-    return _pieces[path, best]
+    return kept(("pieces", path, best), lambda: Pieces(path, best))
 
 
 def encode_decode(docs: DataFrame, model_path: str, best: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -255,7 +251,7 @@ def encode_decode(docs: DataFrame, model_path: str, best: int = 3, id_col: str =
     def work(batches):
         p = pieces(model_path, best)
         for whole in batches:
-            for batch in batches_of(whole, 1):
+            for batch in batches_of(whole, 1, 2_000_000):
                 texts = texts_of(batch.column(1))
                 found = p.encode(texts)
                 raw = [[ids.astype("<u4").tobytes() for ids in each] for each, _ in found]

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored, texts_of
+from .common import MOST_WORD_BYTES, batches_of, kept, stored, texts_of
 
 BLOCK, STEP, MAX_BITS = 1 << 19, 256, 16
 #: Stands for a null doc_id in a block.
@@ -40,7 +40,7 @@ class WordTokens:
     Lower-casing A-Z first changes nothing where both forms are in NFC already and no special token can arise.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         import json
 
         from tokenizers import Tokenizer
@@ -54,7 +54,7 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.n, self.held = {}, 0, 0
+        self.size, self.known, self.n, self.held = 0, {}, 0, 0
         self.starts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
@@ -86,6 +86,7 @@ class WordTokens:
         self.ids[self.held : self.held + len(ids)] = ids
         self.starts[self.n + 1 : self.n + len(words) + 1] = self.held + np.cumsum(sizes)
         self.known.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.size += sum(map(len, words))
         self.n, self.held = self.n + len(words), self.held + len(ids)
 
     def learn_by(self, tokenizer, words: list[tuple[bytes, str]]) -> None:
@@ -105,7 +106,7 @@ class WordTokens:
                     text = low
             lists.append(text.split())
         words, sizes = list(chain.from_iterable(lists)), [len(x) for x in lists]
-        if self.n > self.most:
+        if self.n > self.most or self.size > MOST_WORD_BYTES:
             self.clear()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0).tolist()
@@ -118,14 +119,9 @@ class WordTokens:
         return ids, np.diff(bound)
 
 
-_tokenizers: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
     """The tokenizer of this Python worker."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
+    return kept(("tokens", path), lambda: WordTokens(path))
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +184,7 @@ def encoded(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[by
     sizes = lengths[ids].astype(np.int64)
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    checkpoints = (ends - sizes)[::STEP].astype(np.uint32)
+    checkpoints = (ends - sizes)[::STEP].astype(np.uint64)
     value, size = codes[ids].astype(np.uint64), sizes.astype(np.uint64)
     for _ in range(2):  # neighbours become one, twice: four codes are 64 bits at most
         if len(value) % 2:
@@ -323,7 +319,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
         table = shared.value
         for batch in batches:
             for r in batch.to_pylist():
-                ids = decoded(r["bits"], np.frombuffer(r["checkpoints"], np.uint32), r["n_ids"], table).astype("<u4")
+                ids = decoded(r["bits"], np.frombuffer(r["checkpoints"], np.uint64), r["n_ids"], table).astype("<u4")
                 d, n = np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["sizes"], np.int64)
                 lists = [p.tobytes() for p in np.split(ids, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), r["part"], np.int32)), pa.array(np.full(len(d), r["block"], np.int32)), pa.array(d, mask=d == NO_ID), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x) for x in lists], pa.int64()), pa.array(lists if with_ids else [None] * len(d), pa.binary())], ["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32", "ids"])

@@ -240,8 +240,8 @@ def test_op7_secrets(spark):
 @pytest.mark.parametrize("seed", [0, 3])
 def test_op8_substring_dedup(spark, seed):
     given = texts(seed)
-    docs = frame(spark, given).unionByName(frame(spark, [given[2], "another text for the same id"], ids=[2, 5]))
-    rows = [*enumerate(given), (2, given[2]), (5, "another text for the same id")]
+    docs = frame(spark, given).unionByName(frame(spark, [given[2], "another text for the same id", given[7], "no id " + given[9]], ids=[2, 5, None, None]))
+    rows = [*enumerate(given), (2, given[2]), (5, "another text for the same id"), (None, given[7]), (None, "no id " + given[9])]
     lists = [SPACE.findall(t or "") for _, t in rows]
     count = Counter(tuple(w[i : i + 35]) for w in lists for i in range(len(w) - 34))
     want = []
@@ -249,8 +249,19 @@ def test_op8_substring_dedup(spark, seed):
         gone = {j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         want.append((i, len(w), len(gone), kept))
-    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeated(docs).collect()]
-    assert sorted(got) == sorted(want) and any(g[2] for g in got)
+    found = substring_dedup.remove_repeated(docs).collect()
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in found]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(g[2] for g in got)
+    # each factor stands at its reference, a place of its own, and is a window at least; factors that follow one another in one reference are one
+    keys = {r["k"]: SPACE.findall(r["text"] or "") for r in docs.select(substring_dedup.F.xxhash64("doc_id", "text").alias("k"), "text").collect()}
+    row_of = {(r["doc_id"], " ".join(keys[r["k"]])): r["k"] for r in docs.select("doc_id", substring_dedup.F.xxhash64("doc_id", "text").alias("k")).collect()}
+    own = {i: w for (i, _), w in zip(rows, lists, strict=True) if i not in (2, 5, None)}
+    for r in found:
+        factors = [tuple(map(int, re.match(r"(\d+)-(\d+):(-?\d+):(\d+)", x).groups())) for x in r["factors"].split(",") if x]
+        assert len(factors) == r["n_factors"] and factors == sorted(factors)
+        for a, b, ref, at in factors if r["doc_id"] in own else ():
+            w = own[r["doc_id"]]
+            assert b - a >= 35 and keys[ref][at : at + b - a] == w[a:b] and (ref, at) != (row_of[r["doc_id"], " ".join(w)], a)
     assert substring_dedup.remove_repeated(docs.limit(0)).count() == 0
 
 
@@ -308,6 +319,33 @@ def test_viterbi_is_exact():
             a += n
 
 
+def test_op10_scores_and_many_languages(spark):
+    """Word scores against sums over each word's runs, and a model of 200 languages: two consonants each make words that no other language has."""
+    import math
+
+    letters = "bcdfghjklmnpqrs"
+    pairs = [a + b for a in letters for b in letters][:200]
+    rows = [(i, " ".join(p[0] + v + p[1] + v + p for v in "aeiou"), f"l{i:03}") for i, p in enumerate(pairs)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["langs"] == [f"l{i:03}" for i in range(200)]
+    s = language_id.Scorer(model)
+    words = ["bababb", "x", "cecedd", "日", "é", "ж"]
+    got, known = s.score(words)
+    for w, row, ok in zip(words, got, known, strict=True):
+        runs = [f" {w} "[i : i + k] for k in (2, 3) for i in range(len(w) + 3 - k)]
+        total = [sum(float(model["runs"].get(r, model["unseen"][len(r)])[j]) for r in runs) for j in range(200)]
+        assert ok == (language_id.script_of(w) == "latin")
+        assert not ok or row.tolist() == pytest.approx([0.5 * (x - max(total)) for x in total], abs=1e-3)
+        assert ok or not row.any()
+    found = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), model).collect()}
+    assert all(found[i]["lang_pred"] == f"l{i:03}" and math.isclose(found[i]["score"], 1.0) for i in range(200))
+
+
+def test_op10_letters_are_letters():
+    assert language_id.words_in("x² ½ कि don't É日本9a_b") == ["x", "कि", "don", "t", "é", "日", "本", "a", "b"]
+    assert language_id.words_in("12² ½!") == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
