@@ -11,6 +11,7 @@ Most texts are left after a few substring searches, so their cost is that of rea
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -104,18 +105,43 @@ def candidates(text: str, word: re.Match) -> list[tuple[int, int]]:
     return out + [m.span() for m in CANDIDATE.finditer(text, start, word.start()) if m.end() >= word.start() - REACH]
 
 
+class Taken:
+    """Stretches of a text that are spans already, as sorted stretches that do not meet: each question is a binary search."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect.bisect_right(self.ends, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def novel_spans(text: str, low: bytes, base: list[Span], novelty: Novelty) -> list[Span]:
     if not any(w in low for w in SENSITIVE):
         return []
     out: list[Span] = []
+    taken = Taken((a, b) for a, _, b in base)
     measured: set[tuple[int, int]] = set()
     for word in SENSITIVE_TEXT.finditer(text):
         for a, b in candidates(text, word):
-            if (a, b) in measured or any(s < b and a < e for s, _, e in base + out):
+            if (a, b) in measured or taken.meets(a, b):
                 continue
             measured.add((a, b))
             if novelty(text, a, b) >= least_novelty(text[a:b]):
                 out.append((a, 3, b))
+                taken.add(a, b)
     return out
 
 
@@ -162,8 +188,8 @@ def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """docs with secrets replaced in the text, and the size column set to the new length where the text changed; nulls stay null."""
-    at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col else None
+    """docs with secrets replaced in the text, and the size column, where there is one, set to the new length where the text changed; nulls stay null."""
+    at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
     def clean(batches):
         novelty = Novelty()
