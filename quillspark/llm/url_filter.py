@@ -96,7 +96,19 @@ def rule_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[int]
     return index
 
 
-def judged(url: str | None, rules: list[Rule], expressions: list[re.Pattern], index: dict[str, list[int]]) -> tuple[str, str, str | None, str, str | None]:
+class Expressions:
+    """The rules' regular expressions, each compiled when a url first asks for it."""
+
+    def __init__(self, rules: list[Rule]):
+        self.rules, self.known = rules, {}
+
+    def __getitem__(self, i: int) -> re.Pattern:
+        if i not in self.known:
+            self.known[i] = re.compile(self.rules[i].regex)
+        return self.known[i]
+
+
+def judged(url: str | None, rules: list[Rule], expressions: Expressions | list[re.Pattern], index: dict[str, list[int]]) -> tuple[str, str, str | None, str, str | None]:
     """host, path, domain rule, verdict, pattern that decided."""
     host, path = split_url(url)
     low = re.sub(r"[A-Z]+", lambda x: x[0].lower(), url or "")
@@ -123,7 +135,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, id_col: str =
 
     def judge(batches):
         rules, index = shared.value
-        expressions = [re.compile(r.regex) for r in rules]
+        expressions = Expressions(rules)
         for batch in batches:
             found = [judged(u, rules, expressions, index) for u in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.string()) for i in range(5))], ["page_id", "host", "path", "rule", "verdict", "pattern"])
