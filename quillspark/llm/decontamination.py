@@ -71,6 +71,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return clean.unionByName(hit_rows.alias("h").join(names.alias("m"), key).select("h.doc_id", "n_words", "n_hit", "items"))
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a window of the benchmark; each row goes by its own text, as rows are told apart by a hash of doc_id and text."""
+    key = "_leak_key"
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    hit = find(keyed, benchmark, key, text_col).filter("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(maybe_broadcast(stored(hit, "leaks"), "8L"), key, "left_anti").select(*docs.columns)
+
+
 def bit_filter(prefixes: DataFrame):
     """A condition on a word: whether its bit is set in a filter of at most MOST_BITS bits over the prefix words. Words that pass may still be none."""
     tokens = prefixes.agg(F.count_distinct("word").alias("n")).first()["n"]

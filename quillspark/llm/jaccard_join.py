@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, dropped, forget, hash_words, mix, run_hashes, stored, texts_of
@@ -308,6 +308,23 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return placed.join(least, "label", "left").join(copies, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_copies", F.lit(0)).cast("long").alias("set_copies"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of linked rows, that of the least doc_id (null ids last, then by a hash of the row); rows without words all stay.
+
+    Rows are told apart by a hash of doc_id and text, so a row stays or goes by its own text, whatever other row has its doc_id, or none."""
+    key = "_near_key"
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    linked = join_similar(keyed, key, text_col)
+    ids = keyed.select(F.col(key).alias("doc_id"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("key")).alias("order"))
+    groups = linked.filter("n_shingles > 0").select("doc_id", "component_id").distinct().join(ids.distinct(), "doc_id")
+    stay = groups.groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.key").alias(key), F.lit(True).alias("_near_words"))
+    empty = linked.filter("n_shingles = 0").select(F.col("doc_id").alias(key), F.lit(False).alias("_near_words")).distinct()
+    chosen = keyed.join(stay.unionByName(empty), key)
+    # of rows that repeat doc_id and text, one
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+    return chosen.withColumn("_near_place", place).filter("_near_place = 1 or not _near_words").select(*docs.columns)
+
+
 def labelled_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """lists with the component of each set; a set without links is its own."""
     return lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "at", F.coalesce("label", "sid").alias("label"))
