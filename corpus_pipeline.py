@@ -6,14 +6,15 @@ decontamination: documents with a benchmark passage of ten words go.
 secrets: secrets are replaced in the text, and n_chars follows; no document goes.
 encoding: the pieces of every document that is left, with the scores of the three best segmentations.
 
-Rows with a null doc_id are kept by the stages that join on it; of rows that repeat a doc_id, near_duplicates keeps one (the least text).
+Defined results: each row stays or goes by its own text, also where it shares its doc_id with other rows or has none. Of rows that repeat doc_id and text,
+near_duplicates keeps one, as of other copies (the least doc_id stays, a null one only where no other row of the group has one); rows without words
+are copies of nothing, but language lets them go. Null texts and texts without letters go with language. An empty table gives an empty one, with every stage's columns.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontamination, jaccard_join, language_id, secret_scan, sentence_pieces
 from quillspark.llm.common import stored, table
@@ -24,17 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard_join.join_similar(docs)
-    others = linked.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    # rows that repeat a doc_id: one stays
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_place", place).filter("_place = 1 or doc_id is null").drop("_place")
+    return jaccard_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontamination.find(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return decontamination.without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +48,7 @@ STAGES = [
     ("encoding", encoded),
 ]
 
-#: SQL can't express language identification and the search for segmentations; tests/llm holds the stages against brute force.
+#: SQL can't express language identification and the search for segmentations; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
