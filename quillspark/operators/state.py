@@ -1,135 +1,198 @@
-"""Order-dependent rules, one group at a time in Arrow batches: rate limits by landed rows, leases, status moves, greedy fills, placements.
+"""Order-dependent rules: rate limits by landed rows, leases, status moves, greedy fills, automata, placements, monotone fits.
 
-Each fold keeps a small state while it reads a group in order, so a group costs one pass; groups are spread by Spark's shuffle on the key.
+A fold reads the rows of its keys in order, as Arrow batches of partitions that are dealt out by key and sorted, and carries a small state from row to row and
+batch to batch: no group is gathered anywhere, and a hot key costs its task time, not memory. A null key is a key of its own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import deque
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: What a fold says of a row, or of a key at its end.
+Step = Callable[[object, tuple], tuple[object, object]]
 
-def rate_limit(df: DataFrame, key: str, at: str, tie: str, most: int, seconds: int) -> DataFrame:
-    """accepted: whether fewer than `most` accepted rows of the key lie in the `seconds` before; a refused row doesn't count."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie])
-        landed: deque = deque()
-        out = []
-        for t in pdf[at].astype("int64").tolist():
-            while landed and landed[0] < t - seconds:
-                landed.popleft()
-            out.append(len(landed) < most)
-            if out[-1]:
-                landed.append(t)
-        return pdf.assign(accepted=out)[[tie, key, "accepted"]]
 
+def in_order(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """df dealt out by key, and sorted by key and order within partitions."""
+    return df.select(*columns).repartition(key).sortWithinPartitions(key, *order)
+
+
+def fold_rows(df: DataFrame, key: str, order: list[str], inputs: list[str], keep: list[str], out: str, kind: str, new: Callable[[], object], step: Step) -> DataFrame:
+    """The columns `keep` of each row, and `out`: step(state, inputs) gives the next state and the row's value; new() is the state that a key begins with."""
+    columns = list(dict.fromkeys([key, *order, *inputs, *keep]))
     kinds = dict(df.dtypes)
-    return df.select(key, at, tie).groupBy(key).applyInPandas(fold, f"{tie} {kinds[tie]}, {key} {kinds[key]}, accepted boolean")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` {kind}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        last, state = object(), None
+        for batch in batches:
+            values = []
+            for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in inputs), strict=True):
+                if k != last:
+                    last, state = k, new()
+                state, value = step(state, tuple(row))
+                values.append(value)
+            made = pa.array(values, arrow.field(out).type)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], [*keep, out])
+
+    return in_order(df, key, order, columns).mapInArrow(run, schema)
+
+
+def fold_keys(df: DataFrame, key: str, order: list[str], inputs: list[str], outs: str, new: Callable[[], object], step: Callable[[object, tuple], object], end: Callable[[object], list[tuple]]) -> DataFrame:
+    """For each key the rows end(state) with the columns `outs`, after step has read the key's rows in order."""
+    schema = f"`{key}` {dict(df.dtypes)[key]}, {outs}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        none = object()
+        last, state, rows = none, None, []
+
+        def given():
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in inputs), strict=True):
+                if k != last:
+                    if last is not none:
+                        rows += [(last, *r) for r in end(state)]
+                    last, state = k, new()
+                state = step(state, tuple(row))
+            if len(rows) > 10_000:
+                yield given()
+        if last is not none:
+            rows += [(last, *r) for r in end(state)]
+        if rows:
+            yield given()
+
+    return in_order(df, key, order, list(dict.fromkeys([key, *order, *inputs]))).mapInArrow(run, schema)
+
+
+def rate_limit(df: DataFrame, key: str, at: str, tie: str, most: int, seconds: int) -> DataFrame:
+    """accepted: whether fewer than `most` accepted rows of the key lie in the `seconds` before; a refused row doesn't count. State: at most `most` times."""
+
+    def step(landed: deque, row: tuple):
+        (t,) = row
+        while landed and landed[0] < t - seconds:
+            landed.popleft()
+        ok = len(landed) < most
+        if ok:
+            landed.append(t)
+        return landed, ok
+
+    return fold_rows(df, key, [at, tie], [at], [tie, key], "accepted", "boolean", deque, step)
 
 
 def leases(df: DataFrame, key: str, at: str, tie: str, hold: int) -> DataFrame:
     """granted: whether no earlier granted lease of the key, `hold` seconds long, is open at the row's time."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie])
-        until, out = None, []
-        for t in pdf[at].astype("int64").tolist():
-            out.append(until is None or t >= until)
-            if out[-1]:
-                until = t + hold
-        return pdf.assign(granted=out)[[tie, key, "granted"]]
+    def step(until: int | None, row: tuple):
+        (t,) = row
+        ok = until is None or t >= until
+        return (t + hold if ok else until), ok
 
-    kinds = dict(df.dtypes)
-    return df.select(key, at, tie).groupBy(key).applyInPandas(fold, f"{tie} {kinds[tie]}, {key} {kinds[key]}, granted boolean")
+    return fold_rows(df, key, [at, tie], [at], [tie, key], "granted", "boolean", lambda: None, step)
 
 
 def status_moves(df: DataFrame, key: str, order: list[str], move: str, moves: dict[str, tuple[str, str]], first: str) -> DataFrame:
     """The last status of each key and how many moves landed: a move (name: expected, next) lands only from its expected status."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        status, landed = first, 0
-        for m in pdf.sort_values(order)[move].tolist():
-            expected, then = moves.get(m, (None, None))
-            if status == expected:
-                status, landed = then, landed + 1
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "status": [status], "landed": [landed]})
+    def step(state: tuple[str, int], row: tuple):
+        expected, then = moves.get(row[0], (None, None))
+        return (then, state[1] + 1) if state[0] == expected else state
 
-    return df.select(key, *order, move).groupBy(key).applyInPandas(fold, f"{key} {dict(df.dtypes)[key]}, status string, landed long")
+    return fold_keys(df, key, order, [move], "status string, landed long", lambda: (first, 0), step, lambda s: [s])
 
 
 def greedy_fill(df: DataFrame, key: str, order: list[str], size: str, room: float) -> DataFrame:
     """page: rows fill a page in order until the next doesn't fit; a row larger than a page has one of its own."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        page, used, out = 1, 0.0, []
-        for s in pdf[size].tolist():
-            if used and used + s > room:
-                page, used = page + 1, 0.0
-            used += s
-            out.append(page)
-        return pdf.assign(page=out)
+    def step(state: tuple[int, float], row: tuple):
+        page, used = state
+        if used and used + row[0] > room:
+            page, used = page + 1, 0.0
+        return (page, used + row[0]), page
 
-    kinds = dict(df.dtypes)
-    cols = list(dict.fromkeys([key, *order, size]))
-    return df.select(*cols).groupBy(key).applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", page long")
+    return fold_rows(df, key, order, [size], list(dict.fromkeys([key, *order, size])), "page", "long", lambda: (1, 0.0), step)
 
 
 def automaton(df: DataFrame, key: str, order: list[str], symbol: str, table: dict[tuple[str, str], str], first: str) -> DataFrame:
     """state after each row, by a transition table; a pair that the table lacks stays."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        state, out = first, []
-        for s in pdf[symbol].tolist():
-            state = table.get((state, s), state)
-            out.append(state)
-        return pdf.assign(state=out)
+    def step(state: str, row: tuple):
+        state = table.get((state, row[0]), state)
+        return state, state
 
-    kinds = dict(df.dtypes)
-    cols = list(dict.fromkeys([key, *order, symbol]))
-    return df.select(*cols).groupBy(key).applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", state string")
+    return fold_rows(df, key, order, [symbol], list(dict.fromkeys([key, *order, symbol])), "state", "string", lambda: first, step)
 
 
 def ordered_placement(df: DataFrame, key: str, order: list[str], score: dict[str, str], least: int) -> DataFrame:
-    """Places named parts in order along the rows of a group: each goes to the first row, at least `least` after the one before, where its score column is highest among the rows left."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        at, out = 0, []
-        for name, column in score.items():
-            rest = pdf[column].iloc[at:]
-            if not len(rest) or rest.max() <= 0:
-                continue
-            place = int(rest.idxmax())
-            out.append((pdf[key].iloc[0], name, place))
-            at = place + least
-        return pd.DataFrame(out, columns=[key, "part", "place"])
-
-    cols = list(dict.fromkeys([key, *order, *score.values()]))
-    return df.select(*cols).groupBy(key).applyInPandas(fold, f"{key} {dict(df.dtypes)[key]}, part string, place long")
+    """Places named parts in order along the rows of a group: each goes to the first row, at least `least` after the one before, where its score column is highest
+    among the rows left; a part without a score over 0 there has no place. Windows of one key only: one shuffle, whatever the number of parts."""
+    whole = Window.partitionBy(key)
+    rows = df.select(key, *order, *dict.fromkeys(score.values())).withColumn("_place", F.row_number().over(whole.orderBy(*order)).cast("long") - 1).withColumn("_at", F.lit(0).cast("long"))
+    found = []
+    for i, (name, column) in enumerate(score.items()):
+        best = F.max(F.when(F.col("_place") >= F.col("_at"), F.struct(F.col(column).alias("score"), (-F.col("_place")).alias("back")))).over(whole)
+        rows = rows.withColumn(f"_best{i}", best)
+        place = F.when(F.col(f"_best{i}.score") > 0, -F.col(f"_best{i}.back"))
+        rows = rows.withColumn("_at", F.coalesce(place + least, F.col("_at")))
+        found.append(F.when(place.isNotNull(), F.struct(F.lit(name).alias("part"), place.alias("place"))))
+    return rows.filter("_place = 0").select(key, F.explode(F.array_compact(F.array(*found))).alias("_f")).select(key, "_f.*")
 
 
 def monotone_fit(df: DataFrame, key: str, entry: str, page: str, score: str) -> DataFrame:
-    """The best increasing assignment of entries to pages by dynamic programming over their scores; entries and pages may be skipped."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pages = {p: i for i, p in enumerate(sorted(pdf[page].unique()))}
-        best: list[tuple[float, tuple]] = [(0.0, ())] * (len(pages) + 1)  # by the last page used, from 0: none
-        for e, rows in sorted(pdf.groupby(entry)):
-            row, scores = list(best), {pages[p]: s for p, s in zip(rows[page], rows[score], strict=True)}
-            lead: tuple[float, tuple] = best[0]
-            for i in range(len(pages)):
-                lead = max(lead, best[i], key=lambda x: x[0])
-                if i in scores and lead[0] + scores[i] > row[i + 1][0]:
-                    row[i + 1] = (lead[0] + scores[i], (*lead[1], (e, i)))
-            best = row
-        back = {i: p for p, i in pages.items()}
-        chosen = max(best, key=lambda x: x[0])[1]
-        return pd.DataFrame({key: pdf[key].iloc[0], entry: [e for e, _ in chosen], page: [back[i] for _, i in chosen]})
-
+    """The best increasing assignment of entries to pages by dynamic programming over their scores; entries and pages may be skipped. Of equal totals the one
+    found first, by entry and page, stays. A key's front of best totals by last page is kept in order, so a row costs a binary search; what is held is a link a row that improved it."""
     kinds = dict(df.dtypes)
-    return df.select(key, entry, page, score).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {entry} {kinds[entry]}, {page} {kinds[page]}")
+
+    class Front:
+        def __init__(self):
+            self.pages, self.totals, self.links = [], [], []  # totals rise with pages
+            self.entry, self.waiting = None, []
+
+        def settle(self):
+            """What the rows of one entry found takes effect when the entry is over, so that no entry is used twice."""
+            for p, total, link in self.waiting:
+                i = bisect_right(self.pages, p)
+                if i and self.totals[i - 1] >= total:
+                    continue
+                i = bisect_left(self.pages, p)
+                j = i
+                while j < len(self.pages) and self.totals[j] <= total:
+                    j += 1
+                self.pages[i:j], self.totals[i:j], self.links[i:j] = [p], [total], [link]
+            self.waiting = []
+
+    def step(front: Front, row: tuple):
+        e, p, s = row
+        if s is None or p is None:
+            return front
+        if e != front.entry:
+            front.settle()
+            front.entry = e
+        i = bisect_left(front.pages, p)
+        total, link = (front.totals[i - 1], front.links[i - 1]) if i else (0.0, None)
+        if s > 0:
+            front.waiting.append((p, total + s, (e, p, link)))
+        return front
+
+    def end(front: Front) -> list[tuple]:
+        front.settle()
+        link, out = front.links[-1] if front.links else None, []
+        while link:
+            out.append(link[:2])
+            link = link[2]
+        return out[::-1]
+
+    return fold_keys(df, key, [entry, page], [entry, page, score], f"`{entry}` {kinds[entry]}, `{page}` {kinds[page]}", Front, step, end)
