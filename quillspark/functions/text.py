@@ -58,9 +58,6 @@ def strip_markup(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
 
 
-ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
-
-
 def to_roman(n: Column) -> Column:
     """The Roman numeral of a number from 1 to 3999."""
     digit = lambda at, one, five, ten: F.element_at(F.array(*map(F.lit, ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten])), (F.floor(n / at) % 10 + 1).cast("int"))

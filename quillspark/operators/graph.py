@@ -2,39 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a fresh local one only where none is set and the master is local."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    at = found.get() if found.isDefined() else spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+    spark.sparkContext.setCheckpointDir(at) if not found.isDefined() else None
+    return at.rstrip("/")
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, so that the plan doesn't grow with the rounds; the session's own folder is used, or a fresh one where none is set."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        import tempfile
+    """df written as a table in the shared folder and read again, so that the plan doesn't grow with the rounds and a lost executor costs a read."""
+    spark, path = df.sparkSession, f"{_shared(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quill_path = path
+    return out
+
 
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}")
-    return df.checkpoint()
+def _drop(df: DataFrame) -> None:
+    """Deletes the table of a frame that _cut gave."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quill_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Hops that one round of reach takes: their joins are one job.
+HOPS_A_ROUND = 4
 
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int | None = None) -> DataFrame:
-    """node, hop (the least number of edges from a start) of every node reached; a cycle ends as its nodes are known already."""
+    """node, hop (the least number of edges from a start) of every node reached; a cycle ends as its nodes are known already.
+
+    The edges are computed once. A round goes several hops on from the last level, whose joins share their shuffles, and is cut once; what it finds of known nodes goes."""
+    edges = _cut(edges.select("src", F.col("dst").alias("node")).distinct())
     known = _cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))
-    frontier, hop = known, 0
-    while hops is None or hop < hops:
-        hop += 1
-        found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(found.join(known.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+    done, frontier = 0, known
+    while hops is None or done < hops:
+        levels = [frontier]
+        for hop in range(done + 1, done + 1 + (HOPS_A_ROUND if hops is None else min(HOPS_A_ROUND, hops - done))):
+            levels.append(levels[-1].select(F.col("node").alias("src")).join(edges, "src").select("node").distinct().withColumn("hop", F.lit(hop)))
+        found = reduce(DataFrame.unionByName, levels[1:]).groupBy("node").agg(F.min("hop").alias("hop"))
+        new = _cut(found.join(known.select("node"), "node", "left_anti"))
+        done += len(levels) - 1
+        if new.isEmpty():
+            break
+        before, known = known, _cut(known.unionByName(new))
+        _drop(before)
+        frontier = known.filter(F.col("hop") == done)
+        _drop(new)
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier)
-        if hop % 5 == 0:
-            known = _cut(known)
     return known
 
 
 def follow(links: DataFrame, hops: int) -> DataFrame:
-    """node, end, n, state: where each node's only link leads after at most `hops` steps: end, loop or too long. By doubling: the jump tables of 1, 2, 4 … steps."""
+    """node, end, n, state: where each node's only link leads after at most `hops` steps; state is end, or unended where links go on (a longer chain, or a loop). By doubling: the jump tables of 1, 2, 4 … steps."""
     nodes = links.select(F.col("src").alias("node"))
     at = nodes.withColumn("end", F.col("node")).withColumn("n", F.lit(0))
     jump, size, left = links.select("src", "dst", F.lit(1).alias("steps")), 1, hops

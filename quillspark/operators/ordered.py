@@ -22,8 +22,25 @@ def next_distinct(df: DataFrame, part: list[str], start: str, end: str = "span_e
 
 
 def span_assign(spans: DataFrame, points: DataFrame, key: str, start: str, end: str, at: str) -> DataFrame:
-    """Each point with the span [start, end) of its key that holds it; an equi-join on the key bounds the range condition."""
-    return points.join(spans, key).filter((F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end))))
+    """Each point with the span [start, end) of its key that holds it, null for no end. Spans of a key don't overlap, so the one that holds a point is the last to begin
+    at or before it: one union and one running window, no pair of spans and points. Spans without a length hold nothing."""
+    of = lambda df: F.struct(*(c for c in df.columns if c != key))
+    s = spans.select(key, F.col(start).alias("_at"), F.lit(0).alias("_side"), of(spans).alias("_s"), F.lit(None).cast(points.select(of(points)).schema[0].dataType).alias("_p"))
+    p = points.select(key, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(spans.select(of(spans)).schema[0].dataType).alias("_s"), of(points).alias("_p"))
+    w = by([key], "_at", "_side", F.col(f"_s.{end}").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    owned = s.unionByName(p).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).filter("_side = 1 and _s is not null")
+    return owned.filter(F.col(f"_s.{end}").isNull() | (F.col("_at") < F.col(f"_s.{end}"))).select(key, "_p.*", "_s.*")
+
+
+def count_between(spans: DataFrame, points: DataFrame, key: str, low: str, high: str, at: str, out: str) -> DataFrame:
+    """spans with the number of points of their key strictly between low and high, by running counts over a union; spans with a null bound have none."""
+    bound = F.explode(F.array(F.struct(F.col(low).alias("_at"), F.lit(2).alias("_side"), F.lit(-1).alias("_sign")), F.struct(F.col(high).alias("_at"), F.lit(0).alias("_side"), F.lit(1).alias("_sign"))))
+    wanted = [c for c in spans.columns if c != key]
+    marks = spans.filter(F.col(low) < F.col(high)).select(key, F.struct(*wanted).alias("_row"), bound.alias("_b")).select(key, "_row", "_b.*")
+    rows = points.select(key, F.lit(None).cast(marks.schema["_row"].dataType).alias("_row"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(0).alias("_sign"))
+    w = by([key], "_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count(F.when(F.col("_side") == 1, 1)).over(w)
+    return marks.unionByName(rows).withColumn("_n", n * F.col("_sign")).filter("_side <> 1").groupBy(key, "_row").agg(F.sum("_n").alias(out)).select(key, "_row.*", out)
 
 
 def as_of_backward(left: DataFrame, right: DataFrame, part: list[str], at: str, value: str, out: str) -> DataFrame:

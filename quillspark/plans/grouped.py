@@ -136,12 +136,8 @@ def group_collect(spark, d):
 
 @query("""SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1""")
 def percentile_disc(spark, d):
-    """Exact nearest-rank percentiles from counts of distinct values: the values are counted first, then ranked by running counts."""
-    c = load(spark, d, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(counted().alias("n"))
-    w = Window.partitionBy("l_returnflag")
-    r = c.withColumn("upto", F.sum("n").over(w.orderBy("l_extendedprice").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("l_extendedprice")))
-    return r.groupBy("l_returnflag").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """Exact nearest-rank percentiles from counts, by cells first."""
+    return g.percentiles(load(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""SELECT 'customer' AS kind, count(*)::BIGINT AS n, count(*) FILTER (c_acctbal < 0)::BIGINT AS flagged FROM customer UNION ALL SELECT 'supplier', count(*), count(*) FILTER (s_acctbal < 0) FROM supplier UNION ALL SELECT 'order', count(*), count(*) FILTER (o_orderstatus = 'P') FROM orders""")

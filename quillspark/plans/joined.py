@@ -55,8 +55,8 @@ def fill_missing(spark, d):
 
 @query("SELECT o_orderkey FROM orders a WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P')")
 def exists_filter(spark, d):
-    load(spark, d, "orders").createOrReplaceTempView("quill_orders")
-    return spark.sql("SELECT o_orderkey FROM quill_orders a WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM quill_orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P')")
+    orders = load(spark, d, "orders")
+    return orders.filter("o_orderstatus = 'O'").join(orders.filter("o_orderstatus = 'P'").select("o_custkey"), "o_custkey", "left_semi").select("o_orderkey")
 
 
 @query("SELECT o_orderkey, (SELECT min(o_orderkey) FROM orders b WHERE b.o_custkey IS NOT DISTINCT FROM a.o_custkey AND b.o_orderpriority = a.o_orderpriority AND b.o_orderstatus = 'O') AS twin FROM orders a")
@@ -191,13 +191,12 @@ WITH b AS (SELECT o_custkey AS k, o_orderdate AS a, lead(o_orderdate) OVER (PART
 SELECT o_orderkey, count(*)::BIGINT AS inside FROM b JOIN (SELECT o_custkey AS c, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey) ON c = k AND l_shipdate > a + INTERVAL 10 DAY AND l_shipdate < e - INTERVAL 10 DAY GROUP BY 1""")
 def gap_join(spark, d):
     """Points that lie between two neighbours, at least ten days from either."""
-    from ..operators.ordered import span_lead
+    from ..operators.ordered import count_between, span_lead
 
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    b = span_lead(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"])
+    b = span_lead(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"]).select("o_custkey", "o_orderkey", F.expr("o_orderdate + interval 10 days").alias("low"), F.expr("span_end - interval 10 days").alias("high"))
     ships = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate").join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").select("o_custkey", "l_shipdate")
-    inside = b.join(ships, "o_custkey").filter("l_shipdate > o_orderdate + interval 10 days and l_shipdate < span_end - interval 10 days")
-    return inside.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("inside"))
+    return count_between(b, ships, "o_custkey", "low", "high", "l_shipdate", "inside").filter("inside > 0").select("o_orderkey", "inside")
 
 
 @query("""
