@@ -57,3 +57,39 @@ def difference_kind(a: pd.Series, b: pd.Series) -> pd.Series:
         return "equal" if not kinds else {"delete": "missing", "insert": "extra", "replace": "changed"}[kinds.pop()] if len(kinds) == 1 else "mixed"
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+
+@lazy("double")
+def sequence_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of a's melody that b has in order: both are arrays of steps, compared by the intervals between them, so that transposition is no difference. Null where either is
+    null, 0 where either has no interval."""
+
+    def one(x, y):
+        if x is None or y is None:
+            return None
+        p, q = ([v - u for u, v in zip(s, s[1:], strict=False)] for s in (list(x), list(y)))
+        if not p or not q:
+            return 0.0
+        return round(sum(m.size for m in SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks()) / len(p), 3)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Float64")
+
+
+@lazy("double")
+def text_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of a's letters that b has in order; null where either is null or empty."""
+    one = lambda x, y: round(sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) / len(x), 3) if x and y else None
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Float64")
+
+
+@lazy("boolean")
+def lies_inside(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether the first twenty characters of a, at least eight, stand in b but for a fifth, as one stretch. False where either is null."""
+
+    def one(x, y):
+        head = (x or "")[:20]
+        if len(head) < 8 or not y:
+            return False
+        return SequenceMatcher(None, head, y, autojunk=False).find_longest_match(0, len(head), 0, len(y)).size >= 0.8 * len(head)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import grouped, joined, matched, ordered, scalars, stateful
+from . import domain, grouped, joined, matched, ordered, scalars, stateful
 
-MODULES = (ordered, joined, grouped, scalars, matched, stateful)
+MODULES = (ordered, joined, grouped, scalars, matched, stateful, domain)
 
 
 def queries() -> dict[str, Callable]:

@@ -288,7 +288,10 @@ def rate_limit(spark, d):
     return st.rate_limit(e, "user_id", "s", "event_id", 2, 14400)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'new' AS status, 0::BIGINT AS landed FROM events UNION ALL SELECT e.user_id, e.n, CASE WHEN m = 'view' AND status = 'new' THEN 'seen' WHEN m = 'click' AND status = 'seen' THEN 'open' WHEN m = 'purchase' AND status = 'open' THEN 'done' WHEN m = 'error' AND status = 'open' THEN 'new' ELSE status END,
+  landed + CASE WHEN (m, status) IN (('view', 'new'), ('click', 'seen'), ('purchase', 'open'), ('error', 'open')) THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, arg_max(status, n) AS status, max(landed) AS landed FROM r GROUP BY 1""")
 def status_fold(spark, d):
     moves = {"view": ("new", "seen"), "click": ("seen", "open"), "purchase": ("open", "done"), "error": ("open", "new")}
     return st.status_moves(load(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", moves, "new")
@@ -302,13 +305,19 @@ def greedy_pages(spark, d):
     return st.greedy_fill(l, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", 60.0).groupBy("l_orderkey").agg(F.max("page").alias("pages"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT DISTINCT conv_id, NULL::BIGINT AS turn, NULL::VARCHAR AS role, 0::BIGINT AS n, 'start' AS state FROM conversations UNION ALL
+  SELECT e.conv_id, e.turn, e.role, e.n, CASE WHEN state = 'start' AND e.role = 'user' THEN 'asked' WHEN state = 'asked' AND e.role = 'assistant' THEN 'answered' WHEN state = 'answered' AND e.role = 'user' THEN 'asked' ELSE state END FROM r JOIN e ON e.conv_id = r.conv_id AND e.n = r.n + 1)
+SELECT conv_id, turn, role, state FROM r WHERE n > 0""")
 def automaton_fold(spark, d):
     table = {("start", "user"): "asked", ("asked", "assistant"): "answered", ("answered", "user"): "asked", ("start", "system"): "start"}
     return st.automaton(load(spark, d, "conversations"), "conv_id", ["turn"], "role", table, "start")
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, length(text) AS long, len(regexp_extract_all(text, '[.?!]')) AS marks FROM conversations),
+a AS (SELECT conv_id, max((marks, -place)) AS m FROM c GROUP BY 1), o AS (SELECT conv_id, 'opening' AS part, -m[2] AS place FROM a WHERE m[1] > 0),
+b AS (SELECT c.conv_id, max((long, -c.place)) AS m FROM c LEFT JOIN o USING (conv_id) WHERE c.place >= coalesce(o.place + 1, 0) GROUP BY 1)
+SELECT conv_id, part, place::BIGINT AS place FROM o UNION ALL SELECT conv_id, 'body', (-m[2])::BIGINT FROM b WHERE m[1] > 0""")
 def ordered_placement(spark, d):
     c = load(spark, d, "conversations").withColumn("long", F.length("text")).withColumn("marks", F.regexp_count("text", F.lit("[.?!]")))
     return st.ordered_placement(c, "conv_id", ["turn"], {"opening": "marks", "body": "long"}, 1)
