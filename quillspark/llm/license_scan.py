@@ -1,13 +1,15 @@
 """Licences in texts by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences (line ends, and `.`, `!` or `?` before white space), each normalised to a-z, 0-9 and single spaces.
-Normalised sentences that are known become identifiers; the identifiers of a text, in order, are matched against licence rules, each an
-ordered list of identifiers. Up to GAP unknown sentences may stand between two known ones; more break the sequence.
+A text's lines are joined and cut into sentences (blank lines, list numbers, and `.`, `!` or `?` before white space cut; a single line end does not), so a notice is
+the same however it is wrapped or commented; each is normalised to a-z, 0-9 and single spaces. Normalised sentences that are known become identifiers; the identifiers
+of a text, in order, are matched against licence rules, each an ordered list of identifiers. Up to GAP unknown sentences may stand between two known ones;
+more break the sequence.
 
-`scan` takes each line as its own sentence or more, as its SQL does; `scan_notices` joins lines first, so it finds licence notices however they are wrapped.
+Sentences and rules are parameters. Up to MOST_IN_PLAN of each are part of the plan, and everything happens in the row, without a shuffle. Larger tables are joined: each
+text's sentences and lines with the known sentences, and each text's first identifiers with the rules that begin so; the rows that come back are those of known sentences only.
 
-Defined results: a null or empty text has no sentences and no licence; repeated rows are each judged; other columns are ignored.
-Everything happens in the row: no shuffle, whatever the sizes. The sentence table is a parameter of at most MOST_SENTENCES rows.
+Defined results: a null or empty text has no sentences and no licence; repeated rows are each judged; other columns are ignored; of equal known sentences the least
+identifier counts.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
 
-GAP, MOST_SENTENCES = 2, 1000
+GAP, MOST_IN_PLAN = 2, 1000
 
 #: Known sentences, normalised; an identifier is a sentence's place, from 1.
 SENTENCES = [
@@ -96,81 +98,105 @@ NOTICE_RULES = [
 ]
 
 
-def normalised_sentences(text: Column) -> Column:
-    """The sentences of a text, normalised; those without letters or digits are empty strings."""
-    cut = F.regexp_replace(text, r"[.!?]+[\t\r ]", "\n")
-    plain = F.regexp_replace(F.translate(cut, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
-    return F.split(F.regexp_replace(plain, r" ?\n ?", "\n"), "\n", -1)
+#: Comment words at the start of a line; and what cuts sentences: list numbers, ends of sentences, blank lines (also those of comment marks alone), with what stands for them.
+LEADER = r"(?mi)^[ \t]*(?:rem|dnl)\b"
+CUTS = (
+    (r"(?:^|\n|:[ \t])[^A-Za-z0-9\n]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+", "\x01"),
+    (r"""[.!?]+["')\]]*(?:[ \t\n]|\z)""", "\x01\n"),
+    (r"\n(?:[^A-Za-z0-9\n\x01]*\n)+", "\x01"),
+)
 
 
-def joined_sentences(text: Column, known: Column) -> Column:
-    """The sentences of a text, normalised, none empty. Blank lines (also those of comment marks alone), list numbers and `.`, `!` or `?` before white space
-    cut; a single line end does not, unless a line is a known sentence and the sentence around it is none. Comment leaders go with the other marks."""
-    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?mi)^[ \t]*(?:rem|dnl)\b", "")
-    cut = F.regexp_replace(lines, r"(?:^|\n|:[ \t])[^A-Za-z0-9\n]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+", "\x01")
-    cut = F.regexp_replace(cut, r"""[.!?]+["')\]]*(?:[ \t\n]|\z)""", "\x01\n")
-    cut = F.regexp_replace(cut, r"\n(?:[^A-Za-z0-9\n\x01]*\n)+", "\x01")
+def plain_sentences(text: Column) -> Column:
+    """The sentences of a text, normalised, with the line ends inside them. Comment leaders go with the other marks."""
+    cut = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), LEADER, "")
+    for pattern, by in CUTS:
+        cut = F.regexp_replace(cut, pattern, by)
     plain = F.regexp_replace(F.regexp_replace(F.translate(cut, UPPER, LOWER), r"[^a-z0-9\n\x01]+", " "), r" ?\n ?", "\n")
+    return F.split(plain, "\x01", -1)
 
-    def parts(sentence: Column) -> Column:
-        whole = F.trim(F.translate(sentence, "\n", " "))
-        marked = F.transform(F.split(sentence, "\n", -1), lambda x: F.when(F.array_contains(known, F.trim(x)), F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x))
-        return F.when(F.array_contains(known, whole), F.array(whole)).otherwise(F.split(F.array_join(marked, " "), "\x01", -1))
 
-    found = F.flatten(F.transform(F.split(plain, "\x01", -1), parts))
-    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
+def whole(sentence: Column) -> Column:
+    return F.trim(F.translate(sentence, "\n", " "))
 
 
-def scan_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As scan, with sentences that go on over line ends and the whole sentences of the notices."""
-    known = F.array(*map(F.lit, NOTICE_SENTENCES))
-    return judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), joined_sentences(F.coalesce(F.col(text_col), F.lit("")), known).alias("s")), NOTICE_SENTENCES, NOTICE_RULES)
+def joined_sentences(text: Column, known: Column) -> Column:
+    """The sentences of a text, none empty. A line that is a known sentence stands for itself where the sentence around it is none."""
 
+    def parts(sentence: Column) -> Column:
+        marked = F.transform(F.split(sentence, "\n", -1), lambda x: F.when(F.array_contains(known, F.trim(x)), F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x))
+        return F.when(F.array_contains(known, whole(sentence)), F.array(whole(sentence))).otherwise(F.split(F.array_join(marked, " "), "\x01", -1))
 
-def scan(docs: DataFrame, sentences: list[str] | None = None, rules: list[tuple[str, list[int]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_sentences, n_known, sequence (like ` 4 3 | 5 6 `), licences (names of the rules that fit, sorted, comma-joined) of every row."""
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    if len(sentences) > MOST_SENTENCES:
-        raise ValueError(f"{len(sentences)} sentences; at most {MOST_SENTENCES} are held in the plan")
-    return judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised_sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s")), sentences, rules)
+    found = F.flatten(F.transform(plain_sentences(text), parts))
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def judged(rows: DataFrame, sentences: list[str], rules: list[tuple[str, list[int]]]) -> DataFrame:
-    """The columns of scan for rows of doc_id and s, a text's sentences."""
-    known = F.array(*map(F.lit, sentences))
-    found = rows.select(
-        "doc_id",
-        F.size(F.filter("s", lambda x: F.trim(x) != "")).cast("long").alias("n_sentences"),
-        F.filter(F.transform("s", lambda x, i: F.struct(i.alias("at"), F.array_position(known, F.trim(x)).alias("id"))), lambda x: x["id"] > 0).alias("k"),
-    )
+def scan(docs: DataFrame, sentences: list[str] | DataFrame | None = None, rules: list[tuple[str, list[int]]] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_sentences, n_known, sequence (like ` 4 3 | 5 6 `), licences (names of the rules that fit, sorted, comma-joined) of every row.
+
+    sentences: normalised ones, numbered from 1, or a table (id int, sentence). rules: (name, identifiers), or a table (name, ids array<int>)."""
+    sentences, rules = NOTICE_SENTENCES if sentences is None else sentences, NOTICE_RULES if rules is None else rules
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if isinstance(sentences, list) and len(sentences) <= MOST_IN_PLAN:
+        known = F.array(*map(F.lit, sentences)).cast("array<string>")
+        found = numbered(rows, known, lambda x: F.array_position(known, x))
+    else:
+        if isinstance(sentences, list):
+            sentences = spark.createDataFrame(list(enumerate(sentences, 1)), "id int, sentence string")
+        table = sentences.groupBy("sentence").agg(F.min("id").cast("int").alias("id"))
+        rows = rows.withColumn("key", F.xxhash64("text"))  # equal texts have equal sentences
+        own = rows.select("key", "text").dropDuplicates(["key"])
+        wanted = own.select("key", F.explode(F.array_distinct(F.flatten(F.transform(plain_sentences(F.col("text")), lambda y: F.concat(F.array(whole(y)), F.transform(F.split(y, "\n", -1), lambda x: F.trim(x))))))).alias("sentence"))
+        hits = wanted.join(table, "sentence").groupBy("key").agg(F.collect_list(F.struct("sentence", "id")).alias("hits"))
+        joined = rows.join(hits, "key", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<sentence: string, id: int>>")))
+        texts = F.transform("hits", lambda h: h["sentence"])
+        found = numbered(joined, texts, lambda x: F.coalesce(F.get(F.col("hits"), F.array_position(texts, x).cast("int") - 1)["id"], F.lit(0)))
+    if isinstance(rules, list) and len(rules) <= MOST_IN_PLAN:
+        names = F.array(*(F.when(F.contains("sequence", F.lit(f" {' '.join(map(str, ids))} ")), name) for name, ids in rules)).cast("array<string>")
+        return found.withColumn("licences", licence_names(F.array_compact(names))).drop("k")
+    if isinstance(rules, list):
+        rules = spark.createDataFrame(rules, "name string, ids array<int>")
+    begin = rules.filter(F.size("ids") > 0).select("name", F.get("ids", F.lit(0)).alias("id"), F.concat(F.lit(" "), F.array_join(F.col("ids").cast("array<string>"), " "), F.lit(" ")).alias("pattern"))
+    # sequences are few kinds next to the rows
+    kinds = found.filter("n_known > 0").select("sequence", F.transform("k", lambda x: x["id"].cast("int")).alias("ids")).distinct()
+    fits = kinds.select("sequence", F.explode(F.array_distinct("ids")).alias("id")).join(begin, "id").filter(F.contains("sequence", "pattern"))
+    names = fits.groupBy("sequence").agg(F.collect_set("name").alias("names"))
+    return found.join(names, "sequence", "left").select("doc_id", "n_sentences", "n_known", "sequence", F.coalesce(licence_names(F.col("names")), F.lit("")).alias("licences"))
+
+
+def licence_names(names: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(names)), ",")
+
+
+def numbered(rows: DataFrame, known: Column, number) -> DataFrame:
+    """doc_id, n_sentences, n_known, sequence and k (place and identifier of each known sentence) of rows of doc_id and text; number gives a sentence's identifier, or 0."""
+    s = rows.withColumn("s", joined_sentences(F.col("text"), known))
+    found = s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter(F.transform("s", lambda x, i: F.struct(i.alias("at"), number(x).alias("id"))), lambda x: x["id"] > 0).alias("k"))
     # a known sentence more than GAP unknown ones after the last known one begins a new stretch
-    sequence = F.concat(
-        F.lit(" "),
-        F.array_join(
-            F.transform("k", lambda x, i: F.concat(F.when((i > 0) & (x["at"] - F.get("k", i - 1)["at"] > GAP + 1), "| ").otherwise(""), x["id"].cast("string"))),
-            " ",
-        ),
-        F.lit(" "),
-    )
-    names = F.array(*(F.when(F.contains("sequence", F.lit(f" {' '.join(map(str, ids))} ")), name) for name, ids in rules))
-    return found.select("doc_id", "n_sentences", F.size("k").cast("long").alias("n_known"), sequence.alias("sequence")).withColumn("licences", F.array_join(F.array_sort(F.array_distinct(F.array_compact(names))), ","))
+    parts = F.transform("k", lambda x, i: F.concat(F.when((i > 0) & (x["at"] - F.get("k", i - 1)["at"] > GAP + 1), "| ").otherwise(""), x["id"].cast("string")))
+    return found.select("doc_id", "n_sentences", F.size("k").cast("long").alias("n_known"), F.concat(F.lit(" "), F.array_join(parts, " "), F.lit(" ")).alias("sequence"), "k")
 
 
 def oracle(sentences: list[str] | None = None, rules: list[tuple[str, list[int]]] | None = None) -> str:
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    known = ", ".join(f"'{s}'" for s in sentences)
+    sentences, rules = sentences or NOTICE_SENTENCES, rules or NOTICE_RULES
+    known = "[" + ", ".join(f"'{s}'" for s in sentences) + "]"
     cases = ", ".join(f"CASE WHEN contains(sequence, ' {' '.join(map(str, ids))} ') THEN '{name}' END" for name, ids in rules)
+    quote = CUTS[1][0].replace("'", "''")
+    x = f"regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '{LEADER}', '', 'g')"
+    for pattern, by in ((CUTS[0][0], "chr(1)"), (quote, "chr(1) || chr(10)"), (CUTS[2][0], "chr(1)")):
+        x = f"regexp_replace({x}, '{pattern}', {by}, 'g')"
+    x = f"regexp_replace(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9\n\x01]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
     return f"""
-WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(translate(regexp_replace(coalesce(text, ''), '[.!?]+[\\t\\r ]', chr(10), 'g'), '{UPPER}', '{LOWER}'),
-    '[^a-z0-9\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), chr(10)) AS s FROM documents),
-ids AS (
-  SELECT doc_id, len(list_filter(s, lambda x: trim(x) <> '')) AS n_sentences,
-    list_filter(list_transform(range(1, len(s) + 1), lambda i: {{'at': i, 'id': coalesce(list_position([{known}], trim(s[i])), 0)}}), lambda x: x.id > 0) AS k FROM cut),
+WITH n AS (SELECT {known} AS known),
+cut AS (SELECT doc_id, string_split({x}, chr(1)) AS y FROM documents),
+parts AS (SELECT doc_id, known, list_filter(list_transform(flatten(list_transform(y, lambda q: CASE WHEN list_contains(known, trim(translate(q, chr(10), ' '))) THEN [trim(translate(q, chr(10), ' '))]
+  ELSE string_split(array_to_string(list_transform(string_split(q, chr(10)), lambda z: CASE WHEN list_contains(known, trim(z)) THEN chr(1) || z || chr(1) ELSE z END), ' '), chr(1)) END)), lambda z: trim(z)), lambda z: z <> '') AS s FROM cut, n),
+ids AS (SELECT doc_id, len(s) AS n_sentences, list_filter(list_transform(range(1, len(s) + 1), lambda i: {{'at': i, 'id': coalesce(list_position(known, s[i]), 0)}}), lambda z: z.id > 0) AS k FROM parts),
 seqs AS (
   SELECT doc_id, n_sentences, len(k) AS n_known,
     ' ' || array_to_string(list_transform(range(1, len(k) + 1), lambda i: CASE WHEN i > 1 AND k[i].at - k[i - 1].at > {GAP + 1} THEN '| ' ELSE '' END || k[i].id), ' ') || ' ' AS sequence
   FROM ids)
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(n_known AS BIGINT) AS n_known, sequence,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '') AS licences
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda z: z IS NOT NULL))), ','), '') AS licences
 FROM seqs"""

@@ -33,10 +33,6 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_notices(table(spark, sf_dir, "documents"))
-
-
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -68,7 +64,6 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
-    "op5_license_notices": op5_license_notices,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_substring_dedup": op8_substring_dedup,

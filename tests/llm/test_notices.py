@@ -52,11 +52,22 @@ def test_genuine_notices(spark):
         want.append(names)
     given += [*texts(), "x();\n// SPDX-License-Identifier: MIT\n#include <a>", "Permission is hereby granted, free of charge, to nobody at all.", None]
     want += [*[""] * len(texts()), "MIT", "", ""]
-    got = {r["doc_id"]: r for r in license_scan.scan_notices(frame(spark, given)).collect()}
+    got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, given)).collect()}
     assert [(i, got[i]["licences"]) for i in range(len(given))] == list(enumerate(want))
 
 
 def test_lines_that_are_known_stay_known(spark):
     given = [f"before\n{s}\nafter" for s in license_scan.SENTENCES]
-    got = {r["doc_id"]: r["sequence"] for r in license_scan.scan_notices(frame(spark, given)).collect()}
+    got = {r["doc_id"]: r["sequence"] for r in license_scan.scan(frame(spark, given)).collect()}
     assert got == {i: f" {i + 1} " for i in range(len(given))}
+
+
+def test_large_tables_are_joined(spark, monkeypatch):
+    """The same results where sentences and rules are tables, too many for the plan."""
+    given = [*(written(p, 60, " * ", "\n", 1) for p in NOTICES.values()), *texts(), None, "", *(f"before\n{s}\nafter" for s in license_scan.SENTENCES), written(MIT, 60, " * ", "\n", 1)]
+    ids = [*range(len(given) - 2), 3, None]
+    results = lambda df: sorted(map(str, df.select("doc_id", "n_sentences", "n_known", "sequence", "licences").collect()))
+    want = results(license_scan.scan(frame(spark, given, ids)))
+    monkeypatch.setattr(license_scan, "MOST_IN_PLAN", 0)
+    assert results(license_scan.scan(frame(spark, given, ids))) == want and len(want) == len(given)
+    assert license_scan.scan(frame(spark, given, ids).limit(0)).count() == 0

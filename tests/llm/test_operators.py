@@ -186,7 +186,7 @@ def test_op4_hot_line_and_own_words(spark):
 
 
 def test_op5_licences(spark):
-    given = [*texts(), "Text. Released under the MIT License.\nMore", "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nx", "You may not use this file except in compliance with the License.\na\nb\nc\nYou may obtain a copy of the License at"]
+    given = [*texts(), "Text. Released under the MIT License.\nMore", "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nx", "You may not use this file except in compliance with the License.\na.\nb.\nc.\nYou may obtain a copy of the License at"]
     got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, given)).collect()}
     n = len(given)
     assert len(got) == n and got[n - 3]["licences"] == "MIT" and got[n - 2]["licences"] == "Apache-2.0" and got[n - 1]["licences"] == ""

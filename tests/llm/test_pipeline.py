@@ -100,11 +100,11 @@ def test_whole_pipeline_and_empty_tables(spark):
         none = stage(spark, docs.limit(0), SF)
         assert none.columns == docs.columns and none.count() == 0
     assert corpus_pipeline.encoded(spark, docs.limit(0), SF).count() == 0
-    assert license_scan.scan(docs.limit(0)).count() == 0 and license_scan.scan_notices(docs.limit(0)).count() == 0 and secret_scan.scan(docs.limit(0)).count() == 0
+    assert license_scan.scan(docs.limit(0)).count() == 0 and secret_scan.scan(docs.limit(0)).count() == 0
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["pieces", "licences", "notices", "decontamination", "secrets", "language"])
+@pytest.mark.parametrize("name", ["pieces", "licences", "decontamination", "secrets", "language"])
 def test_rows_are_judged_by_their_own_text(spark, name):
     """The same texts under other ids, repeated and null ones, give the same results."""
     given = [*texts(6, 10), "Released under the MIT License.", "password: abcdefgh", "short item"]
@@ -113,7 +113,6 @@ def test_rows_are_judged_by_their_own_text(spark, name):
     run = {
         "pieces": lambda d: sentence_pieces.encode_decode(d, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False),
         "licences": license_scan.scan,
-        "notices": license_scan.scan_notices,
         "decontamination": lambda d: decontamination.find(d, bench),
         "secrets": secret_scan.scan,
         "language": lambda d: language_id.predict(d, model),
