@@ -33,10 +33,14 @@ def dedupe_first(events: DataFrame, key: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def rate_limited(events: DataFrame, key: str, most: int, seconds: int) -> DataFrame:
-    """Rows with accepted: fewer than `most` accepted rows of the key in the `seconds` before. State: the accepted times of a key in that span."""
+def rate_limited(events: DataFrame, key: str, most: int, seconds: int, late: str = "10 days") -> DataFrame:
+    """Rows with accepted: fewer than `most` accepted rows of the key in the `seconds` before. Rows are judged as they land: those of a batch in the order of time, a later batch after
+    an earlier one, and rows behind the watermark not at all. State: the accepted times of a key, at most `most`; it goes when the watermark has passed the last of them by `seconds`."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         landed = json.loads(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
@@ -45,21 +49,24 @@ def rate_limited(events: DataFrame, key: str, most: int, seconds: int) -> DataFr
             out.append(len(landed) < most)
             if out[-1]:
                 landed.append(t)
-        state.update((json.dumps(landed),))
+        ends = max(landed, default=0) // 1000 + seconds * 1000 + 1
+        if landed and ends > state.getCurrentWatermarkMs():
+            state.update((json.dumps(landed),))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"event_id": rows["event_id"], key: k[0], "accepted": out})
 
-    return events.select("event_id", key, "ts").groupBy(key).applyInPandasWithState(step, f"event_id long, {key} long, accepted boolean", "landed string", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late).select("event_id", key, "ts").groupBy(key)
+    return rows.applyInPandasWithState(step, f"event_id long, {key} long, accepted boolean", "landed string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_batches(events: DataFrame, path: str, checkpoint: str, key: str):
-    """Each micro-batch appended under its own id, so that a repeated batch replaces itself; rows whose key an earlier batch wrote are skipped."""
+def write_batches(events: DataFrame, path: str, checkpoint: str, key: str, late: str = "10 days"):
+    """Each micro-batch written under its own id, so that a repeated batch replaces itself. A key that comes again within `late` is dropped by the stream's own state, so
+    what was written is never read again."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        spark, target = batch.sparkSession, f"{path}/batch={batch_id}"
-        root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-            done = spark.read.option("basePath", path).parquet(path).filter(F.col("batch") != batch_id).select(key)
-            batch = batch.join(done, key, "left_anti")
-        batch.write.mode("overwrite").parquet(target)
-
-    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
