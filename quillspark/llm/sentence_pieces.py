@@ -44,9 +44,9 @@ def segments_of(vocabulary) -> re.Pattern:
 
 
 class Pieces:
-    """A model's pieces, and the words that were segmented with it; emptied when it holds `most`."""
+    """A model's pieces, and the words that were segmented with it; words met once go when it holds `most`."""
 
-    def __init__(self, path: str, best: int = 3, most: int = 250_000):
+    def __init__(self, path: str, best: int = 3, most: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -76,6 +76,7 @@ class Pieces:
         # of word w the segmentation k, best first, lies in ids between starts[w * best + k] and the place after it
         self.starts, self.ids = np.zeros((1 << 14) * self.best + 1, np.int64), np.zeros(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32)
         self.scores = np.zeros((1 << 14, self.best))  # the best's score, then what each further one costs
+        self.counts = np.zeros(1 << 14, np.int64)  # how often each was met
 
     def begins(self, window: str) -> tuple[list[tuple[int, float, tuple[int, ...]]], bool, bool]:
         """The pieces at the start of NEAR characters (or fewer, at the end of a word) as (length, score, ids); whether one is of one character; whether longer ones may fit."""
@@ -144,22 +145,57 @@ class Pieces:
         return out
 
     def learn(self, words: list[bytes]) -> None:
+        """Searches new words and writes what they have all at once."""
+        ids, lengths, scores, best, none = [], [], [], self.best, [np.inf] * self.best
         for word in words:
-            found = self.search(lattice_text(word), self.best)
-            ids = [i for _, x in found for i in x]
-            if self.held + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
-            if self.n + 1 > len(self.scores):
-                self.starts = np.concatenate([self.starts, np.zeros(len(self.scores) * self.best, np.int64)])
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.ids[self.held : self.held + len(ids)] = ids
-            for k in range(self.best):
-                self.held += len(found[k][1]) if k < len(found) else 0
-                self.starts[self.n * self.best + k + 1] = self.held
-            self.scores[self.n] = [found[0][0], *(found[0][0] - s for s, _ in found[1:]), *[np.inf] * (self.best - len(found))]
-            self.known[word] = self.n
-            self.size += len(word)
-            self.n += 1
+            found = self.search(lattice_text(word), best)
+            top = found[0][0]
+            row = [top]
+            for s, x in found:
+                ids += x
+                lengths.append(len(x))
+                row.append(top - s)
+            del row[1]
+            lengths += [0] * (best - len(found))
+            scores.append(row + none[len(found) :])
+        n, held = self.n + len(words), self.held + len(ids)
+        while held > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + 1 > len(self.scores):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.scores) * best, np.int64)])
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.ids[self.held : held] = ids
+        self.starts[self.n * best + 1 : n * best + 1] = self.held + np.cumsum(lengths)
+        self.scores[self.n : n] = scores
+        self.counts[self.n : n] = 0
+        self.known.update(zip(words, range(self.n, n), strict=True))
+        self.size += sum(map(len, words))
+        self.n, self.held = n, held
+
+    def shrink(self) -> None:
+        """Words that were met once since the last time go; of the others, the most frequent stay, half of what may be held."""
+        words, counts, best = list(self.known), self.counts[: self.n].copy(), self.best
+        stay = np.flatnonzero(counts > 1)
+        if len(stay) > self.most // 2:
+            stay = np.sort(stay[np.argpartition(-counts[stay], self.most // 2)[: self.most // 2]])
+        segments = (stay[:, None] * best + np.arange(best)).reshape(-1)
+        lengths = self.starts[segments + 1] - self.starts[segments]
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[segments] - (ends - lengths), lengths)]
+        scores = self.scores[stay]
+        self.clear()
+        if sum(len(words[i]) for i in stay.tolist()) > MOST_WORD_BYTES // 2:
+            return
+        while len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        rows = len(self.scores)
+        while len(stay) + 1 > rows:
+            rows *= 2
+        self.starts, self.counts, self.scores = np.zeros(rows * best + 1, np.int64), np.zeros(rows, np.int64), np.zeros((rows, best))
+        self.ids[: len(ids)], self.starts[1 : len(segments) + 1], self.scores[: len(stay)] = ids, ends, scores
+        self.known = {words[i]: k for k, i in enumerate(stay.tolist())}
+        self.n, self.held, self.size = len(stay), len(ids), sum(map(len, self.known))
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = self.starts[at * self.best]
@@ -181,12 +217,14 @@ class Pieces:
         lists = [self.segments.findall(b" " + t) if t else [] for t in texts]
         words = list(chain.from_iterable(lists))
         if self.n > self.most or self.size > MOST_WORD_BYTES:
-            self.clear()
+            self.shrink()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0).tolist()
         if new:
             self.learn(list(dict.fromkeys([words[i] for i in new])))
             at[new] = [self.known[words[i]] for i in new]
+        met = np.bincount(at, minlength=1)
+        self.counts[: len(met)] += met
         ids, lengths = self.gather(at)
         bound = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         begins = np.concatenate([[0], np.cumsum(lengths)])

@@ -39,3 +39,21 @@ def test_words_are_kept_when_the_tables_grow():
     words = [b" hello", b" abcd", b" the", b" question", b" zq", b" eanthorat"]
     found = p.encode([b"hello abcd the question zq eanthorat"])[0]
     assert p.n == len(words) and all(p.decode(x) == b"hello abcd the question zq eanthorat" for x in found[0]) and len(found[0]) == 3
+
+
+def test_words_that_go_come_back_the_same():
+    """Segmentations do not depend on what a worker has kept, or dropped on the way."""
+    import random
+
+    from quillspark.llm.sentence_pieces import Pieces
+
+    import public_tokenizers
+
+    path, rnd = public_tokenizers.path("piece_bpe_32k.model"), random.Random(3)
+    words = ["".join(rnd.choice("abcdeéß日") for _ in range(rnd.randint(1, 12))) for _ in range(400)]
+    given = [" ".join(rnd.choice(words[: rnd.choice((20, 400))]) for _ in range(60)).encode() for _ in range(40)]
+    whole, small = Pieces(path), Pieces(path, most=50)
+    for i in range(0, 40, 4):
+        for (ids, scores), (other, more) in zip(whole.encode(given[i : i + 4]), small.encode(given[i : i + 4]), strict=True):
+            assert scores == more and all((a == b).all() for a, b in zip(ids, other, strict=True))
+    assert small.n < whole.n
