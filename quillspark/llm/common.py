@@ -157,7 +157,7 @@ def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarr
     return hashes, counts
 
 
-def batches_of(batch: pa.RecordBatch, text: int, most_chars: int = 4_000_000):
+def batches_of(batch: pa.RecordBatch, text: int, most_chars: int = 1_000_000):
     """Slices of a batch that hold about most_chars bytes of text at most, or one row."""
     size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

@@ -28,7 +28,7 @@ from .common import MOST_WORD_BYTES, batches_of, kept
 #: Learning takes about so many labelled documents at most, chosen by a hash of doc_id; every run of letters in them is kept.
 SAMPLE_DOCUMENTS = 4000
 #: Bytes of text that are judged at once, and words that a Python worker keeps the scores of.
-AT_ONCE, MOST_WORDS = 2_000_000, 300_000
+AT_ONCE, MOST_WORDS = 1_000_000, 300_000
 #: In natural logarithms: what a change of language costs, and what a word costs in a language that does not use its script.
 SWITCH, WRONG_SCRIPT = 9.0, 12.0
 
