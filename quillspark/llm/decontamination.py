@@ -49,14 +49,16 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     first = F.row_number().over(Window.partitionBy("passage").orderBy("count", "word", "at"))
     prefixes = ranked.withColumn("place", first).filter("place = 1 and count > 0").select("word", "passage", "at", (F.length("passage") - F.length(F.replace("passage", F.lit(" "))) + 1).alias("n"))
     prefixes = stored(prefixes, "prefixes")
-    table = maybe_broadcast(prefixes, "length(word) + length(passage) + 48")
+    small = fits_broadcast(prefixes, "length(word) + length(passage) + 48", BROADCAST_BYTES)
     marked = bit_filter(prefixes)
     reach = size - 1
     rows = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     places = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: marked(F.get("w", i - 1)))
     context = F.transform(places, lambda i: F.struct((i - 1).alias("place"), F.get("w", i - 1).alias("word"), F.least(i - 1, F.lit(reach)).alias("lead"), F.slice("w", F.greatest(i - reach, F.lit(1)), F.lit(2 * reach + 1)).alias("near")))
     around = rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.when(F.size("w") > 0, context)).alias("c")).select("doc_id", "row", "n_words", "c.*")
-    joined = around.join(table, "word", "left")
+    # joined by shuffle, rows without a candidate get keys of their own (no word has a space), so that they are no hot null key
+    spread = F.coalesce("word", F.concat(F.lit(" "), F.col("row").cast("string")))
+    joined = around.join(F.broadcast(prefixes), "word", "left") if small else around.withColumn("word", spread).join(prefixes, "word", "left")
     inside = (F.col("lead") >= F.col("at")) & (F.col("place") - F.col("at") + F.col("n") <= F.col("n_words"))
     same = F.array_join(F.expr("slice(near, greatest(lead - at, 0) + 1, n)"), " ") == F.col("passage")
     hit = F.when(inside & same, F.struct((F.col("place") - F.col("at")).alias("start"), "n", "passage"))

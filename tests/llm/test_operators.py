@@ -197,7 +197,10 @@ def words6(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
 
 
-def test_op6_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_op6_decontamination(spark, monkeypatch, broadcast):
+    if not broadcast:  # tables too large to broadcast are joined by shuffle
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
     given = texts(2)
     items = [(1, given[0][:300]), (2, "short item"), (3, None), (4, "--"), (5, given[0][:300]), (10, given[5]), (7, "never seen words at all in any of these documents here")]
     given += ["before Short, ITEM after", "short\nitem short item"]
