@@ -370,3 +370,82 @@ def three_way_hashes(spark, d):
     o, b, u = F.col("ours"), F.col("base"), F.col("theirs")
     state = F.when(o.eqNullSafe(u), F.when(b.eqNullSafe(o), "unchanged").otherwise("same")).when(o.eqNullSafe(b), "theirs").when(u.eqNullSafe(b), "ours").otherwise("conflict")
     return both.select("doc_id", state.alias("state"))
+
+
+# ---- damaged dates, citations and features ----
+
+MONTHS = ["ianuarii", "februarii", "martii", "aprilis", "maii", "iunii", "iulii", "augusti", "septembris", "octobris", "novembris", "decembris"]
+#: How the test dates are damaged, by key: letters of the month and of the day.
+SQL_DATED = f"""SELECT o_orderkey, 'In festo, die ' || translate(day(o_orderdate)::VARCHAR, '105', 'lOS') || '. ' || CASE o_orderkey % 4 WHEN 0 THEN m WHEN 1 THEN replace(m, 'i', 'l') WHEN 2 THEN m[1:4] || 'x' || m[6:] ELSE 'xx' || m[3:] END AS w
+FROM (SELECT *, {MONTHS}[month(o_orderdate)] AS m FROM orders)"""
+
+
+@query(f"""WITH d AS ({SQL_DATED}), s AS (SELECT o_orderkey, w, TRY_CAST(translate(regexp_extract(w, 'die ([0-9lOSI|]{{1,2}})[.,]? ([a-z]+)', 1), 'lI|OS', '11105') AS INT) AS day, regexp_extract(w, 'die ([0-9lOSI|]{{1,2}})[.,]? ([a-z]+)', 2) AS m FROM d),
+g AS (SELECT *, list_transform(range(1, 13), lambda i: levenshtein(m, {MONTHS}[i])) AS gaps FROM s), b AS (SELECT *, list_min(gaps) AS least FROM g)
+SELECT o_orderkey, day::BIGINT AS day, CASE WHEN least <= 2 AND len(list_filter(gaps, lambda x: x = least)) = 1 THEN list_position(gaps, least) END::BIGINT AS month FROM b""")
+def fuzzy_days(spark, d):
+    """Feast dates as scanners read them: the day's letters mended, the month the only nearest one within two edits."""
+    k, day = F.col("o_orderkey") % 4, F.dayofmonth("o_orderdate").cast("string")
+    name = F.element_at(F.array(*map(F.lit, MONTHS)), F.month("o_orderdate"))
+    spoilt = F.when(k == 0, name).when(k == 1, F.replace(name, F.lit("i"), F.lit("l"))).when(k == 2, F.concat(F.substring(name, 1, 4), F.lit("x"), F.substring(name, 6, 99))).otherwise(F.concat(F.lit("xx"), F.substring(name, 3, 99)))
+    w = load(spark, d, "orders").select("o_orderkey", F.concat(F.lit("In festo, die "), F.translate(day, "105", "lOS"), F.lit(". "), spoilt).alias("w"))
+    part = lambda i: F.regexp_extract("w", r"die ([0-9lOSI|]{1,2})[.,]? ([a-z]+)", i)
+    read = w.select("o_orderkey", F.translate(part(1), "lI|OS", "11105").try_cast("int").alias("day"), part(2).alias("m"))
+    gaps = read.withColumn("gaps", F.array(*(F.levenshtein("m", F.lit(x)) for x in MONTHS))).withColumn("least", F.array_min("gaps"))
+    alone = (F.col("least") <= 2) & (F.size(F.filter("gaps", lambda x: x == F.col("least"))) == 1)
+    return gaps.select("o_orderkey", F.col("day").cast("long").alias("day"), F.when(alone, F.array_position("gaps", F.col("least"))).alias("month"))
+
+
+NUMERALS = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii"]
+
+
+@query(rf"""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'ut supra, p. ' || p_size ELSE 'Ut in Pars ' || CASE WHEN p_partkey % 2 = 0 THEN translate({NUMERALS}[p_size % 12 + 1], 'i', 'l') ELSE upper({NUMERALS}[p_size % 12 + 1]) END || ', p. ' || translate((p_partkey % 500)::VARCHAR, '01', 'Ol') || CASE WHEN p_partkey % 5 = 0 THEN '; Pars II, p. 3' ELSE '' END END AS w FROM part),
+n AS (SELECT p_partkey, regexp_extract(lower(w), 'pars ([ivxl1|!/]+)[,.]', 1) AS v, regexp_extract(w, 'p\. ?([0-9OlI]+)', 1) AS p, regexp_matches(lower(w), 'pars [ivxl1|!/]+[,.]') AS other FROM r),
+m AS (SELECT *, translate(v, 'l1|!/', 'iiiii') AS c FROM n)
+SELECT p_partkey, CASE WHEN other THEN list_position({NUMERALS}, CASE WHEN length(v) <= 5 AND regexp_matches(v, '[ivx]') AND regexp_matches(c, '{fo.NUMERAL}') THEN c ELSE v END) END::BIGINT AS volume, TRY_CAST(translate(p, 'OlI', '011') AS BIGINT) AS page, NOT other AS local FROM m""")
+def parse_references(spark, d):
+    """References as scanners read them: the volume a mended numeral, the page its digits; a reference without a volume is local. Of several the first counts."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    numeral = F.element_at(F.array(*map(F.lit, NUMERALS)), (size % 12 + 1).cast("int"))
+    full = F.concat(F.lit("Ut in Pars "), F.when(k % 2 == 0, F.translate(numeral, "i", "l")).otherwise(F.upper(numeral)), F.lit(", p. "), F.translate((k % 500).cast("string"), "01", "Ol"), F.when(k % 5 == 0, "; Pars II, p. 3").otherwise(""))
+    w = load(spark, d, "part").select("p_partkey", F.when(k % 9 == 0, F.concat(F.lit("ut supra, p. "), size.cast("string"))).otherwise(full).alias("w"))
+    n = w.select("p_partkey", F.regexp_extract(F.lower("w"), r"pars ([ivxl1|!/]+)[,.]", 1).alias("v"), F.regexp_extract("w", r"p\. ?([0-9OlI]+)", 1).alias("p"))
+    volume = F.array_position(F.array(*map(F.lit, NUMERALS)), fo.mended_numeral(F.col("v")))
+    return n.select("p_partkey", F.when(F.col("v") != "", F.nullif(volume, F.lit(0).cast("long"))).alias("volume"), F.translate("p", "OlI", "011").try_cast("long").alias("page"), (F.col("v") == "").alias("local"))
+
+
+FEATURES = {"paragraphs": "<p[ >]", "links": "<a ", "scripts": "<script", "headings": "<h[1-6][ >]"}
+KNOWN_TAGS = ["html", "head", "body", "title", "p", "a", "div", "h1"]
+SQL_MASKED = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+
+
+@query(f"""WITH m AS (SELECT page_id, {SQL_MASKED} AS h FROM pages), f AS (SELECT page_id, {', '.join(f"len(regexp_extract_all(h, '{r}'))::BIGINT AS {n}" for n, r in FEATURES.items())}, list_sort(list_distinct(list_filter(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1), lambda t: t NOT IN ({', '.join(f"'{t}'" for t in KNOWN_TAGS)})))) AS u FROM m)
+SELECT page_id, {', '.join(FEATURES)}, array_to_string(u, ',') AS unknown, CASE WHEN scripts > 0 THEN 'review' WHEN len(u) > 3 THEN 'unknown' ELSE 'plain' END AS class FROM f UNION ALL SELECT -1, NULL, NULL, NULL, NULL, '', 'absent'""")
+def audit_features(spark, d):
+    """An audit of sources: comments masked, features counted, unknown tags listed, sources classed; a target without a source is absent."""
+    masked = load(spark, d, "pages").select("page_id", F.regexp_replace("html", r"(?s)<!--.*?-->", "").alias("h"))
+    tags = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all("h", F.lit("<([a-z][a-z0-9]*)"), F.lit(1)), lambda x: ~x.isin(*KNOWN_TAGS))))
+    f = masked.select("page_id", *(F.regexp_count("h", F.lit(r)).cast("long").alias(n) for n, r in FEATURES.items()), tags.alias("u"))
+    targets = load(spark, d, "pages").select("page_id").unionByName(spark.createDataFrame([(-1,)], "page_id long"))
+    kind = F.when(F.col("scripts").isNull(), "absent").when(F.col("scripts") > 0, "review").when(F.size("u") > 3, "unknown").otherwise("plain")
+    return targets.join(f, "page_id", "left").select("page_id", *FEATURES, F.coalesce(F.array_join("u", ","), F.lit("")).alias("unknown"), kind.alias("class"))
+
+
+SQL_PAIRS = """SELECT s.s_suppkey, p.p_partkey, s.w AS a, p.w AS b FROM (SELECT s_suppkey, s_suppkey % 25 AS size, ['red widget', 'blue gear', 'small ring', 'green bolt'][(s_suppkey % 4 + 1)::INT] || CASE WHEN s_suppkey % 3 = 0 THEN ' romanus' ELSE '' END AS w FROM supplier) s JOIN (SELECT p_partkey, p_size % 25 AS size, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' romanus' ELSE '' END AS w FROM part) p USING (size)"""
+
+
+@query(f"""WITH c AS ({SQL_PAIRS}), s AS (SELECT *, round(1.0 - levenshtein(a, b) / greatest(length(a), length(b)) - CASE WHEN a[1:1] = b[1:1] THEN 0 ELSE 0.1 END, 6) AS score FROM c WHERE contains(a, 'romanus') = contains(b, 'romanus'))
+SELECT s_suppkey, p_partkey, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, p_partkey) = 1""")
+def structural_match(spark, d):
+    """The best candidate of each entry within its structural block, by a score with a penalty; one of another repertoire is vetoed, both ways."""
+    s = F.element_at(F.array(*map(F.lit, ["red widget", "blue gear", "small ring", "green bolt"])), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    a = load(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).cast("int").alias("size"), F.concat(s, F.when(F.col("s_suppkey") % 3 == 0, " romanus").otherwise("")).alias("a"))
+    b = load(spark, d, "part").select("p_partkey", (F.col("p_size") % 25).cast("int").alias("size"), F.concat("p_name", F.when(F.col("p_partkey") % 5 == 0, " romanus").otherwise("")).alias("b"))
+    # the veto is part of the block, so vetoed pairs are never made
+    own = lambda df, c: df.withColumn("foreign", F.contains(F.col(c), F.lit("romanus")))
+    # of candidates with one text the first key stands for all
+    kinds = own(b, "b").groupBy("size", "foreign", "b").agg(F.min("p_partkey").alias("p_partkey"))
+    penalty = F.when(F.substring("a", 1, 1) == F.substring("b", 1, 1), 0.0).otherwise(0.1)
+    scored = own(a, "a").join(kinds, ["size", "foreign"]).withColumn("score", F.round(t.similarity(F.col("a"), F.col("b")) - penalty, 6)).filter("score >= 0.3")
+    best = scored.groupBy("s_suppkey").agg(F.max(F.struct("score", (-F.col("p_partkey")).alias("k"))).alias("m"))
+    return best.select("s_suppkey", (-F.col("m.k")).alias("p_partkey"), F.col("m.score").alias("score"))
