@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, dropped, forget, hash_words, mix, run_hashes, stored, texts_of
+from .common import batches_of, dropped, forget, hash_words, mix, run_hashes, texts_of
+from .common import stored as written
 from .components import components
 
 SHINGLE, SIMILAR = 5, 75  # words; percent
@@ -259,6 +260,12 @@ def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs, and set_copies, the rows with an equal set."""
+    made: list[DataFrame] = []
+
+    def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
+        made.append(written(df, what, **options))
+        return made[-1]
+
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     facts = stored(described(texts), "sets", compression="zstd")
     sets = facts.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "sid")
@@ -302,7 +309,9 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = labels.unionByName(higher.select(F.col("label").alias("node"), F.col("label"))).distinct()
     final = joined.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label")).distinct()
     placed = sets.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", "sid", F.coalesce("label", "sid").alias("label"))
-    placed = stored(placed, "placed")
+    placed = written(placed, "placed")
+    for done in made:  # only placed is read from now on
+        dropped(done)
     least = placed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     copies = placed.filter("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("set_copies"))
     return placed.join(least, "label", "left").join(copies, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_copies", F.lit(0)).cast("long").alias("set_copies"))
