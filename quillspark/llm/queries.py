@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, jaccard_join, language_id, license_scan, secret_scan, sentence_pieces, substring_dedup, token_files, url_filter
+from . import decontamination, fingerprint, jaccard_join, language_id, license_scan, secret_scan, sentence_pieces, spelling, substring_dedup, token_files, url_filter
 from .common import scratch, table
 
 
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).withColumn("held_out", held_out)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 ORACLES = {
     "op1_fingerprints": fingerprint.oracle(),
@@ -76,4 +81,5 @@ ORACLES = {
     "op5_license_scan": license_scan.oracle(),
     "op6_decontamination": decontamination.oracle(),
     "op8_substring_dedup": substring_dedup.oracle(),
+    "op11_spelling_variants": spelling.oracle(),
 }
