@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, jaccard_join, language_id, license_scan, secret_scan, sentence_pieces, spelling, substring_dedup, token_files, url_filter
+from . import decontamination, fingerprint, jaccard_join, language_id, license_scan, line_dedup, secret_scan, sentence_pieces, spelling, substring_dedup, token_files, url_filter, whitening
 from .common import scratch, table
 
 
@@ -62,6 +62,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = line_dedup.LineIndex(spark, scratch(spark, "line-index"))
+    index.add(docs)
+    return index.dedupe(docs, with_kept=False).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -74,6 +85,8 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitening": op12_whitening,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
     "op1_fingerprints": fingerprint.oracle(),
@@ -82,4 +95,5 @@ ORACLES = {
     "op6_decontamination": decontamination.oracle(),
     "op8_substring_dedup": substring_dedup.oracle(),
     "op11_spelling_variants": spelling.oracle(),
+    "op13_line_dedup": line_dedup.oracle(),
 }
