@@ -5,8 +5,9 @@ either side, whose marginal compressed bytes (context with it, less context with
 identifiers) are as many as random characters of its alphabet take. Spans are in code points, ends exclusive, ordered by start, then kind as
 listed; novel spans never overlap those of the patterns.
 
-Defined results: a null text is an empty one, without spans; repeated rows are each scanned; other columns are ignored.
-Most texts are left after a few substring searches, so their cost is that of reading them.
+Defined results: a null text is an empty one, without spans; repeated rows are each scanned; other columns are ignored; an empty table gives an empty one.
+Most texts are left after a few substring searches, so their cost is that of reading them. Very long texts and tokens take time in proportion to their length: sensitive words and
+tokens are walked together once, and a token is measured once, in stretches.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import bisect
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +47,9 @@ IDENTIFIERS = b" ".join(
     )
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-IN_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]")
 SENSITIVE_TEXT = re.compile("|".join(re.escape(w.decode()) for w in SENSITIVE), re.I | re.A)
+#: Characters of a token that are measured at once.
+MEASURED = 4096
 #: Code points between the end of the sensitive word and the candidate on either side, code points of context, and the marginal bytes a character:
 #: the entropy of the token's alphabet times SURPRISE, and FIXED more for a token of one character (what zstandard spends on any token), NOVELTY at most.
 REACH, CONTEXT, NOVELTY, SURPRISE, FIXED = 48, 256, 0.8, 0.95, 4.0
@@ -79,9 +82,13 @@ class Novelty:
         self.press = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, text: str, a: int, b: int) -> float:
-        """Marginal bytes a character of text[a:b]."""
-        before, after = text[max(0, a - CONTEXT) : a].encode(), text[b : b + CONTEXT].encode()
-        return (len(self.press.compress(before + text[a:b].encode() + after)) - len(self.press.compress(before + after))) / (b - a)
+        """Marginal bytes a character of text[a:b], by stretches of MEASURED characters, each in its context."""
+        more = 0
+        for x in range(a, b, MEASURED):
+            y = min(b, x + MEASURED)
+            before, after = text[max(0, x - CONTEXT) : x].encode(), text[y : y + CONTEXT].encode()
+            more += len(self.press.compress(before + text[x:y].encode() + after)) - len(self.press.compress(before + after))
+        return more / (b - a)
 
 
 def least_novelty(token: str) -> float:
@@ -92,17 +99,14 @@ def least_novelty(token: str) -> float:
     return min(NOVELTY, (SURPRISE + FIXED / len(token)) * math.log2(size) / 8)
 
 
-def candidates(text: str, word: re.Match) -> list[tuple[int, int]]:
-    """The long tokens within REACH of a sensitive word: those that begin behind it, then those that end before it; whole, even beyond the searched stretch."""
-    out = []
-    for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 512)):
-        if m.start() > word.end() + REACH:
-            break
-        out.append((m.start(), CANDIDATE.match(text, m.start()).end()))
-    start = max(0, word.start() - REACH - 16)
-    while start and IN_CANDIDATE.match(text, start - 1):
-        start -= 1
-    return out + [m.span() for m in CANDIDATE.finditer(text, start, word.start()) if m.end() >= word.start() - REACH]
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """The long tokens within REACH of a sensitive word, each once, from left to right: a token is a run of its characters between two sensitive words, which cut it."""
+    before = None
+    for a, b in [*(m.span() for m in SENSITIVE_TEXT.finditer(text)), (None, None)]:
+        for m in CANDIDATE.finditer(text, before or 0, len(text) if a is None else a):
+            if before is not None and m.start() - before <= REACH or a is not None and a - m.end() <= REACH:
+                yield m.span()
+        before = b
 
 
 class Taken:
@@ -122,27 +126,12 @@ class Taken:
         i = bisect.bisect_right(self.ends, a)
         return i < len(self.starts) and self.starts[i] < b
 
-    def add(self, a: int, b: int) -> None:
-        i = bisect.bisect_right(self.ends, a)
-        self.starts.insert(i, a)
-        self.ends.insert(i, b)
-
 
 def novel_spans(text: str, low: bytes, base: list[Span], novelty: Novelty) -> list[Span]:
     if not any(w in low for w in SENSITIVE):
         return []
-    out: list[Span] = []
     taken = Taken((a, b) for a, _, b in base)
-    measured: set[tuple[int, int]] = set()
-    for word in SENSITIVE_TEXT.finditer(text):
-        for a, b in candidates(text, word):
-            if (a, b) in measured or taken.meets(a, b):
-                continue
-            measured.add((a, b))
-            if novelty(text, a, b) >= least_novelty(text[a:b]):
-                out.append((a, 3, b))
-                taken.add(a, b)
-    return out
+    return [(a, 3, b) for a, b in candidates(text) if not taken.meets(a, b) and novelty(text, a, b) >= least_novelty(text[a:b])]
 
 
 def scanned(raw: bytes | None, novelty: Novelty) -> tuple[list[Span], list[Span]]:

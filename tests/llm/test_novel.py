@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 import pytest
 
@@ -41,3 +42,27 @@ def test_reach_and_whole_tokens():
     long = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(900))
     assert novel(f"x {long} password") == [(2, 902)] and novel(f"password {long} x") == [(9, 909)]
     assert novel(f"password {token} secret {token[::-1]} bearer") == [(9, 41), (49, 81)]
+
+
+def test_spans_are_those_of_all_words_and_tokens():
+    """Against every token and every sensitive word compared; a token is what sensitive words leave of a run."""
+    rnd = random.Random(4)
+    some = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits + "+/_=-") for _ in range(n))
+    for _ in range(150):
+        text = "".join(rnd.choice([some(rnd.randint(1, 40)), " " * rnd.randint(1, 60), "Secret", "token", "é ", "private key", "a" * 20]) for _ in range(rnd.randint(1, 30)))
+        words = [m.span() for m in secret_scan.SENSITIVE_TEXT.finditer(text)]
+        blank = "".join("\x00" if any(a <= i < b for a, b in words) else c for i, c in enumerate(text))
+        near = lambda a, b: any(0 <= a - y <= secret_scan.REACH or 0 <= x - b <= secret_scan.REACH for x, y in words)  # noqa: E731, B023
+        base = secret_scan.base_spans(text, text.encode(), text.encode().lower())
+        want = [m.span() for m in secret_scan.CANDIDATE.finditer(blank) if near(*m.span()) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert novel(text) == [(a, b) for a, b in want if NOVELTY(text, a, b) >= secret_scan.least_novelty(text[a:b])]
+
+
+@pytest.mark.parametrize("text", ["secret_" * 150_000, "token" * 200_000, "password " + "a1" * 500_000, ("bearer " + "x" * 60 + " ") * 10_000])
+def test_a_megabyte_takes_its_length(text):
+    began = time.process_time()
+    secret_scan.scanned(text.encode(), NOVELTY)
+    once = time.process_time() - began
+    began = time.process_time()
+    secret_scan.scanned(text[: len(text) // 4].encode(), NOVELTY)
+    assert once < 12 and once < 10 * (time.process_time() - began) + 0.5

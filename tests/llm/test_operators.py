@@ -54,6 +54,19 @@ def test_op1_fingerprints(spark):
     assert fingerprint.fingerprints(frame(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [31, 32, 33, 40, 100, 511, 512, 513, 520, 2000, 60_000])
+def test_op1_likeness_has_no_steps(spark, size):
+    """A text and its first three quarters with other words behind are alike by three quarters, whatever the size; other texts are not alike."""
+    rnd = __import__("random").Random(size)
+    made = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, c = made(size), made(size)
+    b = a[: size - size // 4] + c[: size // 4]
+    f = lambda x: fingerprint.fingerprint(fingerprint.F.col(x))
+    got = spark.createDataFrame([(a, b, c, a[: size - size // 4])], "a string, b string, c string, d string").select(*(fingerprint.likeness(f("a"), f(x)) for x in "abcd")).first()
+    least = 0.45 if size < 100 else 0.6
+    assert got[0] == 1 and least < got[1] < 0.9 and got[2] < 0.3 and least < got[3] < 1
+
+
 def test_op1_roots_test_equality_and_branches_locate_edits(spark):
     """Texts that differ in one sentence only have other roots, even where 32 bits of the sentences' hashes agree; a line set in moves no later section."""
     lines = [f"Line {i} of a text, with the piece number {i * 977} of it." for i in range(40)]
