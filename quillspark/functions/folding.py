@@ -37,23 +37,25 @@ def is_numeral(c: Column) -> Column:
     return (c != "") & c.rlike(NUMERAL)
 
 
+def numeral(n: int) -> str:
+    """The numeral of a number below forty, in small letters."""
+    return "x" * (n // 10) + ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"][n % 10]
+
+
+#: The numerals that are short enough to be mended: of up to five letters, without fifties, as their l is read for i.
+SHORT = [x for x in map(numeral, range(1, 40)) if len(x) <= 5]
+
+
 def mended_numeral(c: Column) -> Column:
-    """A short word that is a numeral once its damaged letters are mended is that numeral; any other word stays."""
-    mended = F.translate(c, DAMAGED, MENDED)
-    return F.when((F.length(c) <= 5) & c.rlike("^[ivxl1|!/]+$") & c.rlike("[ivx]") & is_numeral(mended), mended).otherwise(c)
+    """A word is the short numeral that it reads as with all its damaged letters mended, where it has a sound letter too; any other word stays."""
+    read = F.translate(c, DAMAGED, MENDED)
+    return F.when((F.translate(c, DAMAGED, "") != "") & F.array_contains(F.array(*map(F.lit, SHORT)), read), read).otherwise(c)
 
 
 def heading_words(folded: Column) -> Column:
     """The distinct words of a folded heading, sorted: numerals mended and kept, ordinals as numerals, other words of one letter and stopwords dropped."""
-    ordinal = F.create_map(*(F.lit(x) for pair in ORDINALS.items() for x in pair))
-    raw = F.transform(F.regexp_extract_all(folded, F.lit("[a-z1|!/]+"), F.lit(0)), mended_numeral)
-    plain = F.transform(raw, lambda w: F.when(is_numeral(w), w).otherwise(F.regexp_replace(w, "[1|!/]", "")))
-    named = F.transform(plain, lambda w: F.coalesce(F.element_at(ordinal, w), w))
-    return F.array_sort(F.array_distinct(F.filter(named, lambda w: ~w.isin(*STOPWORDS) & ((F.length(w) > 1) | is_numeral(w)))))
-
-
-def leading_numeral(folded: Column) -> Column:
-    """The numeral among the first two words of a folded heading, else null."""
-    ordinal = F.create_map(*(F.lit(x) for pair in ORDINALS.items() for x in pair))
-    two = F.transform(F.slice(F.regexp_extract_all(folded, F.lit("[a-z1|!/]+"), F.lit(0)), 1, 2), lambda w: F.coalesce(F.element_at(ordinal, w), mended_numeral(w)))
-    return F.get(F.filter(two, is_numeral), F.lit(0))
+    meaning = F.create_map(*map(F.lit, (x for pair in [*ORDINALS.items(), *((w, "") for w in STOPWORDS)] for x in pair)))
+    known = lambda w: F.coalesce(F.element_at(meaning, w), w)
+    read = lambda w: F.when(is_numeral(mended_numeral(w)), mended_numeral(w)).otherwise(known(F.translate(w, "1|!/", "")))
+    words = F.transform(F.regexp_extract_all(folded, F.lit("[a-z1|!/]+"), F.lit(0)), read)
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) | is_numeral(w))))

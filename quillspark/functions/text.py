@@ -44,11 +44,6 @@ def similarity(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def sliding_distance(text: Column, needle: Column, starts: int) -> Column:
-    """The least edit distance of needle to a window of its length that begins in the first `starts` places."""
-    return F.array_min(F.transform(F.sequence(F.lit(1), F.lit(starts)), lambda i: F.levenshtein(F.substring(text, i, F.length(needle)), needle)))
-
-
 def strip_markup(c: Column) -> Column:
     """Scripts, styles, comments and tags removed, common entities decoded, white space folded."""
     c = F.regexp_replace(c, r"(?s)<(script|style)\b.*?</(script|style)>|<!--.*?-->", " ")

@@ -35,17 +35,17 @@ def worst_status(df: DataFrame, part: list[str], status: str, order: list[str],
     return df.groupBy(*part).agg(F.min(F.when(at > 0, at)).alias("_p")).select(*part, F.element_at(F.array(*map(F.lit, order)), F.col("_p").cast("int")).alias(out))
 
 
-def percentiles(df: DataFrame, part: str, value: str, wanted: dict[str, float], cells: int = 4096) -> DataFrame:
-    """Exact nearest-rank percentiles of each group; rows with a null value don't count. Values are counted in cells of one width first; only the cells that the ranks fall into
-    are ranked value by value, so a group of any size is no window in one task."""
+def percentiles(df: DataFrame, part: str, value: str, wanted: dict[str, float], cells: int = 256) -> DataFrame:
+    """Exact nearest-rank percentiles of each group; rows with a null value don't count. Values are counted in cells first, whose bounds are estimated quantiles of the group, so
+    that cells have about as many rows each, however values are spread; only the cells that the ranks fall into are ranked value by value."""
     rows = df.filter(F.col(value).isNotNull())
-    ends = rows.groupBy(part).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_total"))  # a row a group
-    width = F.greatest((F.col("_hi").cast("double") - F.col("_lo").cast("double")) / cells, F.lit(1e-300))
-    cell = F.floor((F.col(value).cast("double") - F.col("_lo").cast("double")) / width).alias("_cell")
+    cuts = F.array(*(F.lit(k / cells) for k in range(1, cells)))
+    ends = rows.groupBy(part).agg(F.percentile_approx(value, cuts, F.lit(4 * cells)).alias("_bounds"), F.count(F.lit(1)).alias("_total"))  # a row a group
+    cell = F.size(F.filter("_bounds", lambda b: b < F.col(value))).alias("_cell")
     counts = rows.groupBy(part, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = counts.join(ends, counts[part].eqNullSafe(ends[part])).select(counts[part], value, "_n", "_total", cell)
     order = Window.partitionBy(part).orderBy("_cell")
-    sums = placed.groupBy(part, "_cell").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))  # at most `cells` and one rows a group
+    sums = placed.groupBy(part, "_cell").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))  # at most `cells` rows a group
     sums = sums.withColumn("_before", F.sum("_in").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in"))
     rank = lambda q: F.ceil(F.col("_total") * q)
     ranks = F.explode(F.array(*(F.struct(F.lit(name).alias("_name"), rank(q).alias("_rank")) for name, q in wanted.items())))

@@ -18,8 +18,15 @@ def _name(e) -> str:
     return e.tag.rpartition("}")[2]
 
 
+def _number(e, name: str, default: str, least: int) -> int | None:
+    """A whole-number attribute, None where it is none or below `least`; lengths of more than a thousand dots or parts are none."""
+    value = e.get(name, default)
+    return int(value) if value.isascii() and value.isdigit() and len(value) <= 3 and int(value) >= least else None
+
+
 def events_of(text: str) -> list[tuple]:
-    """(measure, layer, place, pitch, num, den, dots, error): the lasting elements of each layer in order; one row with the error where the text is refused."""
+    """(measure, layer, place, pitch, num, den, dots, error): the lasting elements of each layer in order; one row with the error where the text is refused. An element whose
+    length, or that of a tuplet around it, is no number is a row with an error of its own."""
     if "<!DOCTYPE" in text or "<!ENTITY" in text:
         return [(None, None, None, None, None, None, None, "declares entities")]
     try:
@@ -33,14 +40,16 @@ def events_of(text: str) -> list[tuple]:
             while stack:
                 e, ratio = stack.pop()
                 if _name(e) == TUPLET:
-                    ratio *= Fraction(int(e.get("numbase", "2")), int(e.get("num", "3")))
+                    base, parts = _number(e, "numbase", "2", 1), _number(e, "num", "3", 1)
+                    ratio = ratio * Fraction(base, parts) if ratio and base and parts else None
                 if _name(e) not in LASTING:
                     stack += [(x, ratio) for x in reversed(e)]
                     continue
-                dots, dur = int(e.get("dots", "0")), e.get("dur", "")
-                length = Fraction(1, int(dur)) * (2 - Fraction(1, 2**dots)) * ratio if dur.isdigit() and int(dur) else None
+                dots, dur = _number(e, "dots", "0", 0), _number(e, "dur", "", 1)
+                error = "bad tuplet" if ratio is None else "bad dots" if dots is None or dots > 8 else None if dur else "no length"
+                length = None if error else Fraction(1, dur) * (2 - Fraction(1, 2**dots)) * ratio
                 pitch = _name(e) if _name(e) != "note" else f"{e.get('pname', '?')}{e.get('oct', '')}"
-                out.append((measure.get("n"), layer.get("n"), place, pitch, length and length.numerator, length and length.denominator, dots, None if length else "no length"))
+                out.append((measure.get("n"), layer.get("n"), place, pitch, length and length.numerator, length and length.denominator, dots, error))
                 place += 1
     return out
 
@@ -52,9 +61,16 @@ def score_events(df: DataFrame, key: str, xml: str) -> DataFrame:
     names = [c.split()[0] for c in OUT.split(", ")]
 
     def run(batches):
+        def given(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), *(pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(kinds))], [key, *names])
+
         for batch in batches:
+            rows = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = events_of(text) if text is not None else []
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), kind), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], [key, *names])
+                rows += [(k, *e) for e in events_of(text)] if text is not None else []
+                if len(rows) > 50_000:
+                    yield given(rows)
+                    rows = []
+            yield given(rows)
 
     return df.select(key, xml).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {OUT}")

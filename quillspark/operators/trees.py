@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _leaves(value) -> list[tuple[str, str]]:
-    """Pointer and value (as compact JSON) of each leaf, in document order; empty objects and lists are leaves. A stack, so depth is no limit."""
+    """Pointer and value (as compact JSON) of each leaf, in document order; empty objects and lists are leaves."""
     out, stack = [], [("", value)]
     while stack:
         at, v = stack.pop()
@@ -25,7 +25,8 @@ def _leaves(value) -> list[tuple[str, str]]:
 
 
 def leaves(df: DataFrame, key: str, document: str) -> DataFrame:
-    """key, pointer, value: a row for each leaf of the JSON text of each row. A null document has none; text that is no JSON has one leaf with the pointer `!`."""
+    """key, pointer, value: a row for each leaf of the JSON text of each row. A null document has none; text that is no JSON, or is nested more deeply than
+    the parser goes (some thousand levels), has one leaf with the pointer `!`."""
     kind = to_arrow_type(df.schema[key].dataType)
 
     def run(batches):
@@ -40,7 +41,7 @@ def leaves(df: DataFrame, key: str, document: str) -> DataFrame:
                     continue
                 try:
                     found = _leaves(json.loads(text))
-                except ValueError:
+                except (ValueError, RecursionError):
                     found = [("!", json.dumps(text, ensure_ascii=False))]
                 keys += [k] * len(found)
                 pointers += [p for p, _ in found]

@@ -75,12 +75,13 @@ def sliding_lev_all(spark, d):
     return load(spark, d, "part").select("p_partkey", least.cast("long").alias("distance"))
 
 
-@query("SELECT p_partkey, p_size::BIGINT AS n FROM part WHERE p_size BETWEEN 4 AND 39")
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 4 AND 39 AND contains(n, 'i') AND length(n) <= 5 THEN p_size WHEN p_size IN (40, 41, 42) THEN p_size - 29 WHEN p_size = 45 THEN 14 END::BIGINT AS n FROM (SELECT p_partkey, p_size, repeat('x', (p_size // 10)::INT) || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][(p_size % 10 + 1)::INT] AS n FROM part)")
 def roman_mended(spark, d):
-    """Numerals as scanners read them, their i as l, mended and read; those of l alone could be fifty as well."""
+    """Numerals as scanners read them, their i as l, mended and read. Those of l alone, of more than five letters or without an i stay as they are, and what they are
+    is not told; an l for fifty is mended like any other, so forty reads as eleven."""
     damaged = F.translate(F.lower(t.to_roman(F.col("p_size"))), "i", "l")
-    p = load(spark, d, "part").filter("p_size between 4 and 39").select("p_partkey", F.transform(F.array(damaged), lambda w: F.when(F.length(w) <= 5, fo.mended_numeral(w)).otherwise(F.translate(w, "l", "i")))[0].alias("w"))
-    return p.select("p_partkey", t.roman_value(F.upper("w")).cast("long").alias("n"))
+    p = load(spark, d, "part").select("p_partkey", damaged.alias("w")).withColumn("m", fo.mended_numeral(F.col("w")))
+    return p.select("p_partkey", F.when(F.col("m") != F.col("w"), t.roman_value(F.upper("m"))).cast("long").alias("n"))
 
 
 # ---- vocabularies: the callback is any function of two strings ----
@@ -95,28 +96,33 @@ def lev_score(a: str, b: str) -> float:
     return round(1.0 - row[-1] / max(len(a), len(b), 1), 6)
 
 
-@query("""SELECT c_custkey, CASE WHEN score >= 0.3 THEN n_nationkey END AS n_nationkey, score FROM (SELECT c_custkey, n_nationkey, round(1.0 - levenshtein(m, n_name) / greatest(length(m), length(n_name)), 6) AS score FROM (SELECT c_custkey, c_mktsegment AS m FROM customer), nation)
+@query("""SELECT c_custkey, CASE WHEN score >= 0.3 THEN n_nationkey END AS n_nationkey, CASE WHEN score >= 0.3 THEN score END AS score FROM (SELECT c_custkey, n_nationkey, round(1.0 - levenshtein(m, n_name) / greatest(length(m), length(n_name)), 6) AS score FROM (SELECT c_custkey, c_mktsegment AS m FROM customer), nation)
 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, n_nationkey) = 1""")
 def udf_surface(spark, d):
-    """A Python callback as the score of a vocabulary match: each distinct title is scored once against the nations."""
-    c = load(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return vocabulary.best_entries(c, load(spark, d, "nation"), "c_mktsegment", "n_nationkey", "n_name", lev_score, 0.3).select("c_custkey", "n_nationkey", "score")
+    """A Python callback as the score of a vocabulary match: each distinct title is scored once against the nations, block by block."""
+    c, n = load(spark, d, "customer").select("c_custkey", "c_mktsegment"), load(spark, d, "nation")
+    pairs = vocabulary.called_pairs(c.select(F.col("c_mktsegment").alias("s")), n.select(F.col("n_name").alias("s")), lev_score, 0.3)
+    return vocabulary.best_entries(c, n, "c_mktsegment", "n_nationkey", "n_name", pairs).select("c_custkey", "n_nationkey", "score")
 
 
 @query()
 def vocabulary_match(spark, d):
     """Headings against the table of part names, numerals and damaged words and all."""
-    words = lambda c: F.array_join(fo.heading_words(F.lower(c)), " ")
+    words = lambda c: fo.heading_words(F.lower(c))
+    titles = headings(spark, d).withColumn("words", words("h"))
     entries = load(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("key")).select("key", words("p_name").alias("words"))
-    return vocabulary.best_entries(headings(spark, d).withColumn("words", words("h")), entries, "words", "key", "words", vocabulary.title_score, 0.6).select("p_partkey", "key", "score")
+    joined = lambda df: df.withColumn("title", F.array_join("words", " "))
+    pairs = vocabulary.title_pairs(titles, entries, 0.6)
+    return vocabulary.best_entries(joined(titles), joined(entries), "title", "key", "title", pairs).select("p_partkey", "key", "score")
 
 
 @query()
 def running_head(spark, d):
-    """Running heads against a vocabulary: a ratio, or a bonus for a head that holds the entry whole."""
+    """Running heads against a vocabulary: a ratio, or a bonus where the head or the entry lies whole in the other."""
     heads = headings(spark, d).select("p_partkey", t.condense(F.col("h")).alias("head"))
     entries = load(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("key")).select("key", t.condense(F.col("p_name")).alias("name"))
-    return vocabulary.best_entries(heads, entries, "head", "key", "name", vocabulary.head_score, 0.75).select("p_partkey", "key", "score")
+    pairs = vocabulary.head_pairs(heads.select(F.col("head").alias("s")), entries.select(F.col("name").alias("s")))
+    return vocabulary.best_entries(heads, entries, "head", "key", "name", pairs).select("p_partkey", "key", "score")
 
 
 @query()
@@ -287,22 +293,22 @@ def dump_parse(spark, d):
     return good.unionByName(bad.select("error"), allowMissingColumns=True)
 
 
-@query("""SELECT kind, error, count(*)::BIGINT AS n FROM (SELECT CASE WHEN l_linenumber = 6 THEN 'bad time' WHEN l_returnflag = 'R' THEN 'wrong number of columns' WHEN l_linenumber = 7 THEN 'unknown kind other' END AS error,
-CASE WHEN l_linenumber = 6 OR l_returnflag = 'R' OR l_linenumber = 7 THEN NULL WHEN l_returnflag = 'A' THEN 'note' ELSE 'rest' END AS kind FROM lineitem WHERE NOT (l_linenumber = 7 AND (l_returnflag = 'R' OR l_linenumber = 6))) GROUP BY 1, 2""")
+@query("""SELECT kind, error, count(*)::BIGINT AS n FROM (SELECT CASE WHEN l_linenumber = 6 THEN 'bad time' WHEN l_linenumber = 7 THEN 'unknown kind other' WHEN l_returnflag = 'R' THEN 'wrong number of columns' END AS error,
+CASE WHEN l_linenumber = 6 OR l_returnflag = 'R' OR l_linenumber = 7 THEN NULL WHEN l_returnflag = 'A' THEN 'note' ELSE 'rest' END AS kind FROM lineitem) GROUP BY 1, 2""")
 def strict_scan(spark, d):
     """Tab-separated rows of kinds with a fixed number of columns, good ones counted by kind, refused ones by reason."""
-    l = load(spark, d, "lineitem").filter("not (l_linenumber = 7 and l_returnflag = 'R')")
+    l = load(spark, d, "lineitem")
     onset = F.when(F.col("l_linenumber") == 6, "1/0").otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit("/4")))
     rest = F.when(F.col("l_linenumber") == 7, "other").when(F.col("l_returnflag") == "A", "note\tc\t8").when(F.col("l_returnflag") == "R", "note\tc").otherwise("rest")
-    # the columns are judged before the onset
     rest = F.when((F.col("l_linenumber") == 6), "rest").otherwise(rest)
     good, bad = files.parsed_rows(l.select(F.lit("f").alias("file"), F.col("l_orderkey").alias("at"), F.concat(onset, F.lit("\tL\t1\t"), rest).alias("line")), {"note": 2, "rest": 0})
     n = F.count(F.lit(1)).alias("n")
     return good.groupBy("kind").agg(n).unionByName(bad.groupBy("error").agg(n), allowMissingColumns=True)
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, CASE WHEN regexp_extract(url, '^https?://[^/?#]+(/[^?#]*/)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+(/[^?#]*/)', 1) END AS folder, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]+)', 1))) AS h FROM pages),
-r AS (SELECT page_id, base, CASE WHEN regexp_matches(h, '^[a-z]+:') THEN h WHEN h LIKE '//%' THEN scheme || ':' || h WHEN h LIKE '/%' THEN base || h ELSE base || folder || h END AS link FROM p) SELECT page_id, link FROM r WHERE starts_with(link, base)""")
+@query(r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1)) AS scheme, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS base, CASE WHEN regexp_extract(url, '^https?://[^/?#]+(/[^?#]*/)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+(/[^?#]*/)', 1) END AS folder,
+  unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)\bhref\s*=\s*("[^"]*"|''[^'']*'')', 1), lambda h: regexp_replace(trim(h[2:-2]), '#.*$', '')))) AS h FROM pages),
+r AS (SELECT DISTINCT page_id, base, CASE WHEN regexp_matches(h, '^[A-Za-z]+:') THEN h WHEN h LIKE '//%' THEN scheme || ':' || h WHEN h LIKE '/%' THEN base || h ELSE base || folder || h END AS link FROM p WHERE h <> '') SELECT page_id, link FROM r WHERE starts_with(link, base || '/')""")
 def page_links_resolved(spark, d):
     """Internal links, resolved against the page's own address."""
     return files.page_links(load(spark, d, "pages").select("page_id", "url", "html"), "html", "url").select("page_id", "link")
@@ -319,15 +325,6 @@ def body_text(spark, d):
 # ---- rules ----
 
 
-@query("""WITH RECURSIVE l AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 190 AS dst FROM part WHERE p_size > 3 AND p_partkey < 190), r(node, here, n) AS (SELECT src, src, 0 FROM l UNION ALL SELECT node, dst, n + 1 FROM r JOIN l ON src = here WHERE n < 64)
-SELECT node, arg_max(here, n) AS "end", max(n)::BIGINT AS n, CASE WHEN arg_max(here, n) IN (SELECT src FROM l) THEN 'unended' ELSE 'end' END AS state FROM r GROUP BY 1""")
-def chain_states(spark, d):
-    """Chains of up to 64 links with how each ended: seven doublings, whatever the length."""
-    # the graph is the rule's own: keys below 190 and what they lead to
-    links = load(spark, d, "part").filter("p_size > 3 and p_partkey < 190").selectExpr("p_partkey as src", "(p_partkey * 7 + 3) % 190 as dst")
-    return graph.follow(links, 64).select("node", "end", F.col("n").cast("long").alias("n"), "state")
-
-
 #: Fixed rules: field, pattern, least and greatest value, the table's own.
 RULES = [("balance", r"^-?\d+(\.\d+)?$", -500.0, 9000.0), ("segment", "^[A-Z]+$", None, None), ("nation", r"^\d+$", 1.0, 20.0)]
 

@@ -83,20 +83,11 @@ def disagreements(spark, d):
     return load(spark, d, "orders").join(l, "o_orderkey").filter("o_orderstatus <> derived").select("o_orderkey", F.col("o_orderstatus").alias("stated"), "derived")
 
 
-@query("""
-WITH a AS (SELECT doc_id, quality AS v FROM labels), b AS (SELECT doc_id, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS v FROM documents WHERE n_chars < 5000)
-SELECT doc_id, a.v AS left_value, b.v AS right_value, CASE WHEN a.v IS NULL THEN 'right' WHEN b.v IS NULL THEN 'left' WHEN a.v = b.v THEN 'agree' ELSE 'disagree' END AS status FROM a FULL JOIN b USING (doc_id)""")
-def dual_source(spark, d):
-    a = load(spark, d, "labels").select("doc_id", F.col("quality").alias("v"))
-    b = load(spark, d, "documents").filter("n_chars < 5000").select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("v"))
-    return m.reconciled(a, b, ["doc_id"], "v")
-
-
 @query("""
 WITH a AS (SELECT doc_id, quality AS v FROM labels), b AS (SELECT doc_id, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS v FROM documents)
 SELECT doc_id, a.v AS left_value, b.v AS right_value, CASE WHEN a.v IS NULL THEN 'right' WHEN b.v IS NULL THEN 'left' WHEN a.v = b.v THEN 'agree' ELSE 'disagree' END AS status FROM a FULL JOIN b USING (doc_id)""")
 def dual_source_all(spark, d):
-    """As dual_source, with documents of any length."""
+    """Two sources of a value by document: which has it, and whether they agree."""
     a = load(spark, d, "labels").select("doc_id", F.col("quality").alias("v"))
     b = load(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("v"))
     return m.reconciled(a, b, ["doc_id"], "v")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bound, domain, grouped, joined, matched, ordered, scalars, stateful
+from . import bound, domain, grouped, joined, layered, matched, ordered, scalars, stateful
 
-MODULES = (ordered, joined, grouped, scalars, matched, stateful, domain, bound)
+MODULES = (ordered, joined, grouped, scalars, matched, stateful, domain, bound, layered)
 
 
 def queries() -> dict[str, Callable]:

@@ -113,15 +113,9 @@ def text_fold(spark, d):
     return load(spark, d, "documents").select("doc_id", F.sha2(t.fold(F.col("text")), 256).alias("folded"))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace({sql_fold('left(text, 60)')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
-def slugify(spark, d):
-    # the title of a document is its first sixty characters: the slug is of that
-    return load(spark, d, "documents").select("doc_id", t.slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
 @query(f"SELECT doc_id, regexp_replace(regexp_replace({sql_fold('text')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
 def slugify_all(spark, d):
-    """As slugify, of whole texts."""
+    """Slugs of whole texts."""
     return load(spark, d, "documents").select("doc_id", t.slugify(F.col("text")).alias("slug"))
 
 
@@ -242,11 +236,6 @@ def lev_similarity(spark, d):
     return a.join(b, "k").filter("a < b").select("a", "b", F.round(t.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query("SELECT p_partkey, list_min(list_transform(range(1, 9), lambda i: levenshtein(substring(p_name, i, 6), 'widget')))::BIGINT AS distance FROM part")
-def sliding_lev(spark, d):
-    return load(spark, d, "part").select("p_partkey", t.sliding_distance(F.col("p_name"), F.lit("widget"), 8).cast("long").alias("distance"))
-
-
 @query("SELECT p_partkey, CASE WHEN levenshtein(p_name, 'red widget') <= levenshtein(p_name, 'small ring') THEN 'red widget' ELSE 'small ring' END AS best FROM part WHERE least(levenshtein(p_name, 'red widget'), levenshtein(p_name, 'small ring')) <= 8")
 def fuzzy_top1(spark, d):
     """The best of a small fixed vocabulary, in the row; the first of equals."""
@@ -318,23 +307,32 @@ def label_map(spark, d):
 # ---- calendar ----
 
 SQL_EASTER = """make_date(y, ((h + l - 7 * m + 114) // 31)::INT, ((h + l - 7 * m + 114) % 31 + 1)::INT) FROM (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l
-  FROM (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT unnest(range({lo}, {hi})) AS y)))))"""
+  FROM (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM ({years})))))"""
+
+
+SQL_YEARS = "SELECT DISTINCT year(o_orderdate) AS y FROM orders"
+
+
+def years(spark, d):
+    return load(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("year")).distinct()
 
 
-@query(f"SELECT y::BIGINT AS year, easter::VARCHAR AS easter FROM (SELECT y, {SQL_EASTER.format(lo=1900, hi=2100).replace(' FROM (SELECT *, (a', ' AS easter FROM (SELECT *, (a', 1)})")
+@query(f"SELECT y::BIGINT AS year, easter::VARCHAR AS easter FROM (SELECT y, {SQL_EASTER.format(years=SQL_YEARS).replace(' FROM (SELECT *, (a', ' AS easter FROM (SELECT *, (a', 1)})")
 def easter_table(spark, d):
-    return spark.range(1900, 2100).select(F.col("id").alias("year")).select("year", cal.easter("year").cast("string").alias("easter"))
+    """Easter of each year that has an order."""
+    return years(spark, d).select("year", cal.easter("year").cast("string").alias("easter"))
 
 
 SQL_ADVENT = "(make_date({y}::INT, 12, 25)::DATE - (dayofweek(make_date({y}::INT, 12, 25)) + CASE WHEN dayofweek(make_date({y}::INT, 12, 25)) = 0 THEN 28 ELSE 21 END)::INT)"
 
 
-@query(f"SELECT y::BIGINT AS year, {SQL_ADVENT.format(y='y')}::VARCHAR AS advent FROM (SELECT unnest(range(1900, 2100)) AS y)")
+@query(f"SELECT y::BIGINT AS year, {SQL_ADVENT.format(y='y')}::VARCHAR AS advent FROM ({SQL_YEARS})")
 def advent_table(spark, d):
-    return spark.range(1900, 2100).select(F.col("id").alias("year"), cal.advent_start(F.col("id").cast("int")).cast("string").alias("advent"))
+    """The first day of Advent of each year that has an order."""
+    return years(spark, d).select("year", cal.advent_start(F.col("year").cast("int")).cast("string").alias("advent"))
 
 
-DATED = f"""WITH e AS (SELECT y, {SQL_EASTER.format(lo=1990, hi=2003).replace(' FROM (SELECT *, (a', ' AS e FROM (SELECT *, (a', 1)}),
+DATED = f"""WITH e AS (SELECT y, {SQL_EASTER.format(years=SQL_YEARS).replace(' FROM (SELECT *, (a', ' AS e FROM (SELECT *, (a', 1)}),
 o AS (SELECT o_orderkey, o_orderdate::DATE AS d, e, {SQL_ADVENT.format(y='year(o_orderdate)')} AS adv FROM orders JOIN e ON y = year(o_orderdate))"""
 
 

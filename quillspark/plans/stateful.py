@@ -203,13 +203,6 @@ def hop_limit(spark, d):
     return gr.reach(edges(spark, d), spark.createDataFrame([(10,)], "node long"), hops=6).select("node", F.col("hop").cast("long").alias("hop"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey > 0 AND p_size > 3), r(node, here, n) AS (SELECT src, src, 0 FROM l UNION ALL SELECT node, dst, n + 1 FROM r JOIN l ON src = here WHERE n < 10)
-SELECT node, arg_max(here, n) AS "end", max(n)::BIGINT AS n FROM r GROUP BY 1""")
-def recursive_chain(spark, d):
-    links = load(spark, d, "part").filter("p_partkey > 0 and p_size > 3").selectExpr("p_partkey as src", "p_partkey div 3 as dst")
-    return gr.follow(links, 10).select("node", "end", F.col("n").cast("long").alias("n"))
-
-
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_partkey // 2 AS parent, CASE WHEN p_size % 3 = 0 THEN p_brand END AS v FROM part), r(k, here, depth, v) AS (SELECT k, k, 0, v FROM p UNION ALL SELECT r.k, p.k, depth + 1, p.v FROM r JOIN p ON p.k = r.here // 2 WHERE r.v IS NULL AND r.here > 0)
 SELECT k, max(v) AS v FROM r GROUP BY 1""")
 def inherit_chain(spark, d):
@@ -229,16 +222,9 @@ def inherit_chain(spark, d):
     return done.unionByName(rest)
 
 
-@query(f"""WITH e AS ({EDGES.replace('FROM orders WHERE', 'FROM orders WHERE o_orderkey < 400 AND')}), two AS (SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src), three AS (SELECT a.src, b.dst FROM two a JOIN e b ON a.dst = b.src)
-SELECT src, dst, min(hop)::BIGINT AS hop FROM (SELECT src, dst, 1 AS hop FROM e UNION ALL SELECT src, dst, 2 FROM two UNION ALL SELECT src, dst, 3 FROM three) GROUP BY 1, 2""")
-def recursive_expand(spark, d):
-    # the small graph of the first 400 keys is the subject of this query
-    return gr.closure(edges(spark, d).filter("src < 400"), 3).select("src", "dst", F.col("hop").cast("long").alias("hop"))
-
-
 @query()
 def recursive_expand_all(spark, d):
-    """As recursive_expand, over the edges of every key."""
+    """Every pair joined by three edges at most."""
     return gr.closure(edges(spark, d), 3).select("src", "dst", F.col("hop").cast("long").alias("hop"))
 
 

@@ -15,22 +15,6 @@ def test_folding(spark):
     assert [r[0] for r in d.select(folding.fold_nfkd(F.col("h"))).collect()] == ["quadragesimae oecumenical fin e2", None, ""]
     words = lambda *h: [list(r[0]) if r[0] is not None else None for r in spark.createDataFrame([(x,) for x in h], "h string").select(folding.heading_words(F.lower("h"))).collect()]
     assert words("Kyrie Ill. in festis", "Feria tertia", "lilac1 a b", "et de", None) == [["festis", "iii", "kyrie"], ["feria", "iii"], ["lilac"], [], None]
-    lead = spark.createDataFrame([("V. In Festis",), ("Kyrie 1V",), ("In Festis B. Mariae V.",), ("",)], "h string").select(folding.leading_numeral(F.lower("h"))).collect()
-    assert [r[0] for r in lead] == ["v", "iv", None, None]
-
-
-def test_vocabulary(spark, monkeypatch):
-    v = spark.createDataFrame([(1, "dominica ii adventus"), (2, "dominica iii adventus"), (3, "nativitas domini"), (4, "nativitas domini"), (5, None)], "k long, name string")
-    t = spark.createDataFrame([("a", "dominica ii advenlus", None), ("b", "nativitas domini", 4), ("c", "nativitas domini", None), ("d", "else", None), ("e", None, None), ("f", "dominica iiii", None)], "id string, title string, after long")
-    best = lambda: {r["id"]: r["k"] for r in vocabulary.best_entries(t, v, "title", "k", "name", vocabulary.title_score, 0.6, after="after").collect()}
-    want = {"a": 1, "b": 4, "c": 3, "d": None, "e": None, "f": None}
-    assert best() == want
-    monkeypatch.setattr(vocabulary, "MOST_BYTES", 0)  # the way of large vocabularies
-    assert best() == want
-    assert vocabulary.title_score("sexagesima", "septuagesima") < vocabulary.title_score("sexagesima", "sexagesima") == 1.0
-    assert vocabulary.title_score("dominica ii", "dominica iii") == 0 and vocabulary.title_score("", "x") == 0
-    assert vocabulary.head_score("xxproprium", "proprium") >= 0.9 and vocabulary.head_score("abc", "xyz") == 0
-    assert vocabulary.best_entries(t, v.limit(0), "title", "k", "name", vocabulary.title_score, 0.6).filter("k is not null").count() == 0
 
 
 def test_trees(spark):

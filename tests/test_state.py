@@ -26,12 +26,6 @@ def test_monotone_fit(spark):
     assert sorted((r["e"], r["p"]) for r in got) == [(1, 30), (2, 40)]
 
 
-def test_follow_ends_loops(spark):
-    links = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 5)], "src long, dst long")
-    got = {r["node"]: (r["end"], r["n"], r["state"]) for r in graph.follow(links, 6).collect()}
-    assert got[1] == (3, 2, "end") and got[5][2] == "unended"
-
-
 def test_reach_with_cycle_and_no_edges(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
     start = spark.createDataFrame([(1,)], "node long")
