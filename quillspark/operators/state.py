@@ -1,7 +1,8 @@
 """Order-dependent rules: rate limits by landed rows, leases, status moves, greedy fills, automata, placements, monotone fits.
 
 A fold reads the rows of its keys in order, as Arrow batches of partitions that are dealt out by key and sorted, and carries a small state from row to row and
-batch to batch: no group is gathered anywhere, and a hot key costs its task time, not memory. A null key is a key of its own.
+batch to batch: no group is gathered anywhere, and a hot key costs its task time, not memory. A null key is a key of its own. Rules with few states (status moves, automata) are
+parallel scans instead, where a hot key has many tasks.
 """
 
 from __future__ import annotations
@@ -11,11 +12,21 @@ from collections import deque
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .graph import _cut
+
+
+
+def same(a: object, b: object) -> bool:
+    """Whether two keys are one: nulls are, and so are NaNs."""
+    return a is b or a == b or (a != a and b != b)
+
+
 #: What a fold says of a row, or of a key at its end.
 Step = Callable[[object, tuple], tuple[object, object]]
 
@@ -37,7 +48,7 @@ def fold_rows(df: DataFrame, key: str, order: list[str], inputs: list[str], keep
         for batch in batches:
             values = []
             for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in inputs), strict=True):
-                if k != last:
+                if not same(k, last):
                     last, state = k, new()
                 state, value = step(state, tuple(row))
                 values.append(value)
@@ -63,7 +74,7 @@ def fold_keys(df: DataFrame, key: str, order: list[str], inputs: list[str], outs
 
         for batch in batches:
             for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in inputs), strict=True):
-                if k != last:
+                if not same(k, last):
                     if last is not none:
                         rows += [(last, *r) for r in end(state)]
                     last, state = k, new()
@@ -105,13 +116,9 @@ def leases(df: DataFrame, key: str, at: str, tie: str, hold: int) -> DataFrame:
 
 
 def status_moves(df: DataFrame, key: str, order: list[str], move: str, moves: dict[str, tuple[str, str]], first: str) -> DataFrame:
-    """The last status of each key and how many moves landed: a move (name: expected, next) lands only from its expected status."""
-
-    def step(state: tuple[str, int], row: tuple):
-        expected, then = moves.get(row[0], (None, None))
-        return (then, state[1] + 1) if state[0] == expected else state
-
-    return fold_keys(df, key, order, [move], "status string, landed long", lambda: (first, 0), step, lambda s: [s])
+    """The last status of each key and how many moves landed: a move (name: expected, next) lands only from its expected status. A finite scan, so a hot key has many tasks."""
+    scanned = finite_scan(df, key, order, move, {(expected, name): then for name, (expected, then) in moves.items()}, first)
+    return scanned.groupBy(key).agg(F.max_by("state", F.struct(*order)).alias("status"), F.count_if("landed").alias("landed"))
 
 
 def greedy_fill(df: DataFrame, key: str, order: list[str], size: str, room: float) -> DataFrame:
@@ -127,13 +134,78 @@ def greedy_fill(df: DataFrame, key: str, order: list[str], size: str, room: floa
 
 
 def automaton(df: DataFrame, key: str, order: list[str], symbol: str, table: dict[tuple[str, str], str], first: str) -> DataFrame:
-    """state after each row, by a transition table; a pair that the table lacks stays."""
+    """state after each row, by a transition table; a pair that the table lacks stays. A finite scan, so a hot key has many tasks."""
+    return finite_scan(df, key, order, symbol, table, first).select(*dict.fromkeys([key, *order, symbol]), "state")
+
 
-    def step(state: str, row: tuple):
-        state = table.get((state, row[0]), state)
-        return state, state
+def finite_scan(df: DataFrame, key: str, order: list[str], symbol: str, table: dict[tuple[str, str], str], first: str) -> DataFrame:
+    """key, order and symbol of each row with state, after the row, and landed, whether the table (state, symbol: next) has a move for it. Every key begins in `first`.
 
-    return fold_rows(df, key, order, [symbol], list(dict.fromkeys([key, *order, symbol])), "state", "string", lambda: first, step)
+    A parallel prefix scan: rows are dealt out by ranges of key and order, so a key may go over many partitions. What a key was before its partition began is not known there, so the rows of
+    a partition's first key are followed from every state at once, until all of them have come to the same one. A partition tells what its first key becomes from each
+    state, and what its last key is; these few rows, two a partition, are put together from the left, and then each row's state is looked up. Rows with equal keys and order may
+    come in any order."""
+    states = sorted({first, *(s for s, _ in table), *table.values()})
+    columns = list(dict.fromkeys([key, *order, symbol]))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", _chunk int, _kind int, state string, landed boolean, _states array<string>, _landed array<boolean>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    at = columns.index(key)
+
+    def run(batches):
+        chunk, none = TaskContext.get().partitionId(), object()
+        begun = last = none
+        now, state = None, None  # the first key's states, by the state that it began in; None once they are one
+        ends = None
+
+        def told(kind, k, state, ends):
+            row = {c: None for c in columns} | {key: k, "_chunk": chunk, "_kind": kind, "state": state, "landed": None, "_states": ends, "_landed": None}
+            return pa.RecordBatch.from_pylist([row], schema=arrow)
+
+        for batch in batches:
+            out = []
+            for k, x in zip(batch.column(at).to_pylist(), batch.column(columns.index(symbol)).to_pylist(), strict=True):
+                if begun is none:
+                    begun, now = k, list(states)
+                elif not same(k, last):
+                    if ends is None:
+                        ends = now or [state] * len(states)
+                    now, state = None, first
+                last = k
+                if now:
+                    landed = [(s, x) in table for s in now]
+                    now = [table.get((s, x), s) for s in now]
+                    if len(set(now)) == 1 and len(set(landed)) == 1:
+                        now, state = None, now[0]
+                        out.append((state, landed[0], None, None))
+                    else:
+                        out.append((None, None, now, landed))
+                else:
+                    landed = (state, x) in table
+                    state = table.get((state, x), state)
+                    out.append((state, landed, None, None))
+            n = batch.num_rows
+            made = [pa.array([r[i] for r in out], arrow.field(len(columns) + 2 + i).type) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([chunk] * n, pa.int32()), pa.array([0] * n, pa.int32()), *made], schema=arrow)
+        if begun is not none:
+            whole = ends is None
+            yield told(1, begun, None, (now or [state] * len(states)) if whole else ends)
+            if not whole:
+                yield told(2, last, state, None)
+
+    dealt = df.select(*columns).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    rows = _cut(dealt.mapInArrow(run, schema))
+    starts, key_now, state_now = [], object(), None
+    for r in rows.filter("_kind > 0").orderBy("_chunk", "_kind").collect():  # two rows a partition at most
+        if r["_kind"] == 1:
+            begin = state_now if same(r[key], key_now) else first
+            starts.append((r["_chunk"], states.index(begin) + 1))
+            key_now, state_now = r[key], r["_states"][states.index(begin)]
+        else:
+            key_now, state_now = r[key], r["state"]
+    begins = F.broadcast(df.sparkSession.createDataFrame(starts, "_chunk int, _begin int"))  # a row a partition
+    j = rows.filter("_kind = 0").join(begins, "_chunk")
+    return j.select(*columns, F.coalesce("state", F.element_at("_states", F.col("_begin"))).alias("state"), F.coalesce("landed", F.element_at("_landed", F.col("_begin"))).alias("landed"))
 
 
 def ordered_placement(df: DataFrame, key: str, order: list[str], score: dict[str, str], least: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, layers
+from ..operators import graph, layers, pages
 from ..sources.tables import load
 
 Q, SQL = {}, {}
@@ -121,3 +121,19 @@ def chain_states(spark, d):
 @query(SQL_CHAIN.format(dst="p_partkey // 3"))
 def recursive_chain(spark, d):
     return graph.chains(load(spark, d, "part").filter("p_size > 3").selectExpr("p_partkey as src", "p_partkey div 3 as dst")).select("node", "end", "n", "state")
+
+
+# ---- pages ----
+
+
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, {', '.join(LINE)}) AS n, l_quantity::DECIMAL(18,2) AS q, l_linenumber = 5 AS f FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+r AS (SELECT k, n, q::DECIMAL(18,2) AS used, 1 AS c, 1::BIGINT AS page, 49 AS room, CASE WHEN q > 49 THEN 0 END::BIGINT AS tall FROM l WHERE n = 1 UNION ALL
+  SELECT k, n, CASE WHEN begins THEN q ELSE used + 2.5 + q END::DECIMAL(18,2), CASE WHEN begins THEN 1 ELSE c + 1 END, CASE WHEN begins THEN page + 1 ELSE page END, CASE WHEN begins THEN 100 ELSE room END, CASE WHEN begins AND q > 100 THEN n - 1 END
+  FROM (SELECT l.k, l.n, l.q, used, c, page, room, c >= 6 OR used + 2.5 + l.q > room OR l.f AS begins FROM r JOIN l ON l.k = r.k AND l.n = r.n + 1))
+SELECT k AS o_custkey, n::BIGINT AS n, CASE WHEN min(tall) OVER (PARTITION BY k) IS NULL THEN page END AS page, min(tall) OVER (PARTITION BY k) AS too_tall FROM r""")
+def page_fill(spark, d):
+    """A customer's lines on pages: a small first page, at most six lines a page, a gap between lines, breaks before fifth lines; a first line too tall for its page stops all."""
+    lines = load(spark, d, "orders").select("o_custkey", "o_orderkey").join(load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", *LINE), "o_orderkey")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", *LINE)).cast("long")
+    df = lines.select("o_custkey", n.alias("n"), F.col("l_quantity").cast("double").alias("height"), (F.col("l_linenumber") == 5).alias("forced"))
+    return pages.paginate(df, "o_custkey", ["n"], "height", 100.0, 49.0, 2.5, 6, "forced").select("o_custkey", "n", "page", "too_tall")
