@@ -115,6 +115,24 @@ def leases(df: DataFrame, key: str, at: str, tie: str, hold: int) -> DataFrame:
     return fold_rows(df, key, [at, tie], [at], [tie, key], "granted", "boolean", lambda: None, step)
 
 
+def lease_decisions(df: DataFrame, key: str, at: str, tie: str, hold: int, most: int, window: int) -> DataFrame:
+    """outcome of each row: granted, active (an earlier grant of the key, `hold` seconds long, is open) or rate (`most` grants lie less than `window` seconds back). State: the end of the
+    lease and at most `most` times."""
+
+    def step(state: tuple[int | None, deque], row: tuple):
+        (t,), (until, grants) = row, state
+        while grants and grants[0] <= t - window:
+            grants.popleft()
+        if until is not None and t < until:
+            return state, "active"
+        if len(grants) >= most:
+            return state, "rate"
+        grants.append(t)
+        return (t + hold, grants), "granted"
+
+    return fold_rows(df, key, [at, tie], [at], [tie, key], "outcome", "string", lambda: (None, deque()), step)
+
+
 def status_moves(df: DataFrame, key: str, order: list[str], move: str, moves: dict[str, tuple[str, str]], first: str) -> DataFrame:
     """The last status of each key and how many moves landed: a move (name: expected, next) lands only from its expected status. A finite scan, so a hot key has many tasks."""
     scanned = finite_scan(df, key, order, move, {(expected, name): then for name, (expected, then) in moves.items()}, first)

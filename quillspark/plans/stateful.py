@@ -265,6 +265,17 @@ def lease_replay(spark, d):
     return st.leases(e, "user_id", "s", "event_id", 1800)
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, 'granted' AS outcome, s + 1800 AS until, [s] AS g FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, event_id, n, outcome, CASE WHEN outcome = 'granted' THEN s + 1800 ELSE until END, CASE WHEN outcome = 'granted' THEN list_append(g, s) ELSE g END
+  FROM (SELECT e.user_id, e.event_id, e.n, e.s, r.until, r.g, CASE WHEN e.s < r.until THEN 'active' WHEN len(list_filter(r.g, lambda x: x > e.s - 86400)) >= 3 THEN 'rate' ELSE 'granted' END AS outcome FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, outcome FROM r""")
+def lease_limits(spark, d):
+    """Leases of half an hour, one at a time and three a day."""
+    e = load(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    return st.lease_decisions(e, "user_id", "s", "event_id", 1800, 3, 86400)
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n FROM events),
 r AS (SELECT user_id, event_id, n, true AS accepted, [s] AS landed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, len(list_filter(r.landed, lambda x: x >= e.s - 14400)) < 2,
   CASE WHEN len(list_filter(r.landed, lambda x: x >= e.s - 14400)) < 2 THEN list_append(list_filter(r.landed, lambda x: x >= e.s - 14400), e.s) ELSE r.landed END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
