@@ -22,11 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_WORD_BYTES, batches_of, kept, stored, texts_of
+from .common import MOST_WORD_BYTES, batches_of, dropped, kept, stored, texts_of
 
 BLOCK, STEP, MAX_BITS = 1 << 19, 256, 16
-#: Stands for a null doc_id in a block.
-NO_ID = -(1 << 63)
 
 
 # ---- tokenising ----
@@ -222,13 +220,14 @@ def decoded(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarra
 
 # ---- the jobs ----
 
-BLOCKS = "part int, block int, first_doc_id long, n_docs long, n_ids long, doc_ids binary, sizes binary"
+#: nulls holds the places in a block of the rows without a doc_id, which come first; in doc_ids they have 0.
+BLOCKS = "part int, block int, first_doc_id long, n_docs long, n_ids long, doc_ids binary, nulls binary, sizes binary"
 
 
 def id_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Blocks of plain ids, in ascending doc_id order within parts, and the parts in ascending order."""
 
-    kind = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("width", pa.int32())])
+    kind = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("width", pa.int32())])
 
     def blocks(batches):
         import zstandard
@@ -238,9 +237,9 @@ def id_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
         part, seq, held, rows = TaskContext.get().partitionId(), 0, 0, []
 
         def block():
-            d, n = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            d, n, none = (np.concatenate([r[i] for r in rows]) for i in (0, 1, 3))
             raw = b"".join(r[2].astype(np.uint16 if width == 2 else np.uint32).tobytes() for r in rows)
-            return pa.RecordBatch.from_pylist([{"part": part, "block": seq, "first_doc_id": int(d[0]), "n_docs": len(d), "n_ids": int(n.sum()), "doc_ids": d.tobytes(), "sizes": n.tobytes(), "ids": press.compress(raw), "width": width}], schema=kind)
+            return pa.RecordBatch.from_pylist([{"part": part, "block": seq, "first_doc_id": None if none[0] else int(d[0]), "n_docs": len(d), "n_ids": int(n.sum()), "doc_ids": d.tobytes(), "nulls": np.flatnonzero(none).astype(np.int64).tobytes(), "sizes": n.tobytes(), "ids": press.compress(raw), "width": width}], schema=kind)
 
         for whole in batches:
             for batch in batches_of(whole, 1, BLOCK * 2):
@@ -248,13 +247,13 @@ def id_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
                 if rows and held + len(ids) > BLOCK:
                     yield block()
                     seq, held, rows = seq + 1, 0, []
-                rows.append((batch.column(0).fill_null(NO_ID).to_numpy(), sizes.astype(np.int64), ids))
+                rows.append((batch.column(0).fill_null(0).to_numpy(), sizes.astype(np.int64), ids, batch.column(0).is_null().to_numpy(zero_copy_only=False)))
                 held += len(ids)
         if rows:
             yield block()
 
-    # dealt out before tokenising: finding the ranges reads its input once more, and that should be the scan alone
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # dealt out before tokenising: finding the ranges reads its input once more, and that should be the scan alone. The texts' beginnings deal out rows that share an id, in the order of texts
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(blocks, BLOCKS + ", ids binary, width int")
 
 
@@ -300,9 +299,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 bits, checkpoints, _ = encoded(plain_ids(row.pop("ids"), row.pop("width")), lengths, codes)
                 yield pa.RecordBatch.from_pylist([row | {"checkpoints": checkpoints.tobytes(), "bits": bits}], schema=kind)
 
-    kind = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("checkpoints", pa.binary()), ("bits", pa.binary())])
+    kind = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("checkpoints", pa.binary()), ("bits", pa.binary())])
     spark.createDataFrame([(MAX_BITS, STEP, bytearray(lengths.tobytes()))], "max_bits int, step int, lengths binary").write.parquet(f"{path}/codebook")
     plain.mapInArrow(press, BLOCKS + ", checkpoints binary, bits binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    dropped(plain)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -321,8 +321,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
             for r in batch.to_pylist():
                 ids = decoded(r["bits"], np.frombuffer(r["checkpoints"], np.uint64), r["n_ids"], table).astype("<u4")
                 d, n = np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["sizes"], np.int64)
+                none = np.isin(np.arange(len(d)), np.frombuffer(r["nulls"], np.int64))
                 lists = [p.tobytes() for p in np.split(ids, np.cumsum(n)[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), r["part"], np.int32)), pa.array(np.full(len(d), r["block"], np.int32)), pa.array(d, mask=d == NO_ID), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x) for x in lists], pa.int64()), pa.array(lists if with_ids else [None] * len(d), pa.binary())], ["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), r["part"], np.int32)), pa.array(np.full(len(d), r["block"], np.int32)), pa.array(d, mask=none), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x) for x in lists], pa.int64()), pa.array(lists if with_ids else [None] * len(d), pa.binary())], ["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32", "ids"])
 
     rows = blocks.mapInArrow(open_, "part int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long, ids binary")
     return rows.join(F.broadcast(starts) if blocks_are_few(starts) else starts, ["part", "block"]).select("doc_id", (F.col("block_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

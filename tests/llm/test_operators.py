@@ -129,6 +129,18 @@ def test_op3_token_files(spark):
     assert token_files.read_token_files(spark, at + "-none").count() == 0
 
 
+def test_op3_least_null_and_repeated_ids(spark):
+    """The least long is an id like others; rows without one, and many of one id, are all kept in the order of their texts."""
+    ids = [-(1 << 63), None, None, *[7] * 40, (1 << 63) - 1, -(1 << 63)]
+    given = ["least", None, "without", *(f"text {i:02d} of one id " * (i % 5 + 1) for i in range(40)), "most", "least too"]
+    path = scratch(spark, "token-files")
+    token_files.write_token_files(frame(spark, given, ids), path, public_tokenizers.path("word_bpe_49k.json"))
+    got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    rows = sorted(zip(ids, given, strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    t = __import__("tokenizers").Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got] == [(i, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in rows]
+
+
 def test_huffman_is_canonical_and_limited():
     for counts in ([5], [0, 3, 0], [1] * 300, [2**k for k in range(40)]):
         lengths = token_files.code_lengths(np.array(counts))
