@@ -37,36 +37,33 @@ def _drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Hops that one round of reach takes: their joins are one job. Tables of found nodes that are read together before they become one.
-HOPS_A_ROUND, TABLES = 8, 16
+#: Hops that one round of reach takes: their joins are one job.
+HOPS_A_ROUND = 4
 
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int | None = None) -> DataFrame:
     """node, hop (the least number of edges from a start) of every node reached; a cycle ends as its nodes are known already.
 
-    The edges are dealt out by their source once and kept so, so a hop moves its frontier only. A round goes several hops on from the last level, is cut once, and adds a table of the
-    nodes that are new."""
-    edges = edges.select("src", F.col("dst").alias("node")).distinct().repartition("src").persist()
-    found = [_cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))]
-    done, frontier = 0, found[0]
+    The edges are computed once. A round goes several hops on from the last level, whose joins share their shuffles, and is cut once; what it finds of known nodes goes."""
+    edges = _cut(edges.select("src", F.col("dst").alias("node")).distinct())
+    known = _cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))
+    done, frontier = 0, known
     while hops is None or done < hops:
         levels = [frontier]
         for hop in range(done + 1, done + 1 + (HOPS_A_ROUND if hops is None else min(HOPS_A_ROUND, hops - done))):
-            levels.append(levels[-1].select(F.col("node").alias("src")).join(edges.hint("shuffle_hash"), "src").select("node").distinct().withColumn("hop", F.lit(hop)))
-        nodes = reduce(DataFrame.unionByName, levels[1:]).groupBy("node").agg(F.min("hop").alias("hop"))
-        new = _cut(nodes.join(reduce(DataFrame.unionByName, found).select("node"), "node", "left_anti"))
+            levels.append(levels[-1].select(F.col("node").alias("src")).join(edges, "src").select("node").distinct().withColumn("hop", F.lit(hop)))
+        found = reduce(DataFrame.unionByName, levels[1:]).groupBy("node").agg(F.min("hop").alias("hop"))
+        new = _cut(found.join(known.select("node"), "node", "left_anti"))
         done += len(levels) - 1
-        frontier = new.filter(F.col("hop") == done)
-        found.append(new)
-        if len(found) > TABLES:
-            known = _cut(reduce(DataFrame.unionByName, found))
-            for df in found[:-1]:
-                _drop(df)
-            frontier, found = known.filter(F.col("hop") == done), [known]
+        if new.isEmpty():
+            break
+        before, known = known, _cut(known.unionByName(new))
+        _drop(before)
+        frontier = known.filter(F.col("hop") == done)
+        _drop(new)
         if frontier.isEmpty():
             break
-    edges.unpersist()
-    return reduce(DataFrame.unionByName, found)
+    return known
 
 
 def chains(links: DataFrame) -> DataFrame:
