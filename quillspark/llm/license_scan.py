@@ -16,6 +16,7 @@ identifier counts.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,24 +170,35 @@ def places(sentences: list[str]) -> list[tuple[str, str]]:
     return [tuple(s.split("*", 1)) for s in sentences if "*" in s]
 
 
+def fitting(sentence: Column, names: list[tuple[str, str]]) -> list[Column]:
+    """Whether a sentence, a plain value, has a name in each of the places."""
+    size = F.length(sentence)
+    return [F.startswith(sentence, F.lit(a)) & F.endswith(sentence, F.lit(b)) & size.between(len(a) + len(b) + 1, len(a) + len(b) + LONGEST_NAME) for a, b in names]
+
+
 def named(sentence: Column, names: list[tuple[str, str]]) -> Column:
     """The sentence, with `*` for a name that it has a place for."""
     out = sentence
-    for before, behind in reversed(names):
-        size = F.length(sentence) - len(before) - len(behind)
-        out = F.when(F.startswith(sentence, F.lit(before)) & F.endswith(sentence, F.lit(behind)) & (size > 0) & (size <= LONGEST_NAME), f"{before}*{behind}").otherwise(out)
+    for (before, behind), fits in reversed(list(zip(names, fitting(sentence, names), strict=True))):
+        out = F.when(fits, f"{before}*{behind}").otherwise(out)
     return out
 
 
 def joined_sentences(text: Column, known: Column, names: list[tuple[str, str]]) -> Column:
     """The sentences of a text, none empty. A line that is a known sentence stands for itself where the sentence around it is none."""
 
-    def parts(sentence: Column) -> Column:
-        marked = F.transform(F.split(sentence, "\n", -1), lambda x: F.when(F.array_contains(known, F.trim(x)) | F.array_contains(known, named(F.trim(x), names)), F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x))
-        return F.when(F.array_contains(known, whole(sentence)) | F.array_contains(known, named(whole(sentence), names)), F.array(whole(sentence))).otherwise(F.split(F.array_join(marked, " "), "\x01", -1))
+    def is_known(x: Column) -> Column:
+        return F.array_contains(known, x) | (reduce(Column.__or__, fitting(x, names), F.lit(False)) & F.array_contains(known, named(x, names)))
+
+    def parts(s: Column) -> Column:
+        marked = F.transform(F.transform(F.split(s["s"], "\n", -1), lambda x: F.trim(x)), lambda x: F.when(is_known(x), F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x))
+        alone = ~F.contains(s["s"], F.lit("\n")) | is_known(s["whole"])
+        return F.when(alone, F.array(s["whole"])).otherwise(F.split(F.array_join(marked, " "), "\x01", -1))
 
-    found = F.flatten(F.transform(plain_sentences(text), parts))
-    return F.transform(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.when(F.array_contains(known, x), x).otherwise(named(x, names)))
+    # each value is made once, and named before it is compared
+    sentences = F.transform(plain_sentences(text), lambda s: F.struct(s.alias("s"), whole(s).alias("whole")))
+    found = F.filter(F.transform(F.flatten(F.transform(sentences, parts)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(found, lambda x: F.when(F.array_contains(known, x), x).otherwise(named(x, names)))
 
 
 def ordered(rules: list[tuple[str, list[int]]]) -> list[tuple[str, str]]:
