@@ -20,6 +20,10 @@ from quillspark.llm import decontamination, jaccard_join, language_id, secret_sc
 from quillspark.llm.common import stored, table
 
 
+#: Words that the last stage's store holds: half as many as by default, as memory is what the stages share.
+STORE = 200_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_known(docs, language_id.learn(docs))
 
@@ -37,7 +41,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return sentence_pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, most_words=STORE)
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -77,14 +78,18 @@ MOST_WORD_BYTES = 16 << 20
 def kept(key, make):
     """The one object that this Python worker keeps between its tasks: asked for under another key, the one before goes."""
     if key not in _kept:
-        _kept.clear()
+        forget()
         _kept[key] = make()
     return _kept[key]
 
 
 def forget() -> None:
-    """For tasks that need the memory and keep nothing."""
+    """For tasks that need the memory and keep nothing: what the worker held goes back to the system, where the C library can give it back."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 # ---- vectorised words and hashes (numpy inside tasks) ----

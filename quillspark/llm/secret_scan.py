@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, texts_of
+from .common import batches_of, forget, texts_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -181,6 +181,7 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
     def clean(batches):
+        forget()
         novelty = Novelty()
         for whole in batches:
             for batch in batches_of(whole, at):

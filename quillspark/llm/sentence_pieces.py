@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_WORD_BYTES, batches_of, kept, texts_of
+from .common import batches_of, kept, texts_of
 
 SPACE, BYTE_COST = "▁", 10.0
 #: Characters that are looked up at once, and how many such windows a Python worker keeps.
@@ -43,14 +43,18 @@ def segments_of(vocabulary) -> re.Pattern:
     return re.compile(rf" *(?:{'|'.join(ends)})|[\n\t]| +".encode())
 
 
+#: Words that a worker's store holds, and the bytes of them for each.
+MOST_WORDS, WORD_BYTES = 400_000, 40
+
+
 class Pieces:
     """A model's pieces, and the words that were segmented with it; words met once go when it holds `most`."""
 
-    def __init__(self, path: str, best: int = 3, most: int = 400_000):
+    def __init__(self, path: str, best: int = 3, most: int = MOST_WORDS):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.best, self.most = best, most
+        self.best, self.most, self.most_bytes = best, most, most * WORD_BYTES
         n = model.get_piece_size()
         self.bytes_of, self.vocabulary, self.byte_ids = [b""] * n, {}, [0] * 256
         for i in range(n):
@@ -185,7 +189,7 @@ class Pieces:
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[segments] - (ends - lengths), lengths)]
         scores = self.scores[stay]
         self.clear()
-        if sum(len(words[i]) for i in stay.tolist()) > MOST_WORD_BYTES // 2:
+        if sum(len(words[i]) for i in stay.tolist()) > self.most_bytes // 2:
             return
         while len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -216,7 +220,7 @@ class Pieces:
         """For each text the ids of its best segmentations, best first, and their scores; an empty text has one list without ids, and no score."""
         lists = [self.segments.findall(b" " + t) if t else [] for t in texts]
         words = list(chain.from_iterable(lists))
-        if self.n > self.most or self.size > MOST_WORD_BYTES:
+        if self.n > self.most or self.size > self.most_bytes:
             self.shrink()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0).tolist()
@@ -277,17 +281,19 @@ def merged(scores: np.ndarray) -> list[tuple[float, Choices]]:
     return [(best_total - t, choices) for t, choices in totals]
 
 
-def pieces(path: str, best: int = 3) -> Pieces:
+def pieces(path: str, best: int = 3, most: int = MOST_WORDS) -> Pieces:
     """The pieces of this Python worker."""
-    return kept(("pieces", path, best), lambda: Pieces(path, best))
+    return kept(("pieces", path, best, most), lambda: Pieces(path, best, most))
 
 
-def encode_decode(docs: DataFrame, model_path: str, best: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, best: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), best_scores (comma-joined, best first), round_trip (whether decoding gives the text)
-    of the best segmentation; best_n_pieces, best_crc32 and best_round_trip (comma-joined, in the order of best_scores) of each of the best ones; and, if asked for, ids and best_ids."""
+    of the best segmentation; best_n_pieces, best_crc32 and best_round_trip (comma-joined, in the order of best_scores) of each of the best ones; and, if asked for, ids and best_ids.
+
+    most_words: what a worker's store holds; a smaller one takes less memory and more time."""
 
     def work(batches):
-        p = pieces(model_path, best)
+        p = pieces(model_path, best, most_words)
         for whole in batches:
             for batch in batches_of(whole, 1):
                 texts = texts_of(batch.column(1))
