@@ -68,7 +68,7 @@ def test_runs_are_those_of_the_file_line_by_line(spark, seed):
     assert {(r["volume"], r["system"]): r["piece"] for r in after.collect()} == {(v, i + 1): p for v, o in want_owner.items() for i, p in enumerate(o)}
 
 
-BASE = {"noh": ["a", "a", "a", "b", "b", "b", "c", "c"]}
+BASE = {"vol": ["a", "a", "a", "b", "b", "b", "c", "c"]}
 
 
 def base(spark):
@@ -86,7 +86,7 @@ def apply(spark, runs=(), lists=(), values=(), given=None):
     problems, owner, out, fields, links = ly.apply_layers(*(given or base(spark)), r, w, v)
     told = sorted((p["seq"], p["problem"]) for p in problems.collect())
     by = {(o["volume"], o["system"]): o["piece"] for o in owner.collect()}
-    return told, "".join(by["noh", i + 1] or "-" for i in range(8)), {x["piece"]: [tuple(p) for p in x["list"]] for x in out.collect()}, {(f["target"], f["field"]): f["value"] for f in fields.collect()}, {x["borrower"]: (x["volume"], x["system"]) for x in links.collect()}
+    return told, "".join(by["vol", i + 1] or "-" for i in range(8)), {x["piece"]: [tuple(p) for p in x["list"]] for x in out.collect()}, {(f["target"], f["field"]): f["value"] for f in fields.collect()}, {x["borrower"]: (x["volume"], x["system"]) for x in links.collect()}
 
 
 def test_layers_each_count_from_the_one_before(spark):
@@ -99,7 +99,7 @@ def test_layers_each_count_from_the_one_before(spark):
     )
     assert told == [] and owner == "aabbbbcc" and lists["b"] == [("introit", 3), ("gradual", 6)]
     assert fields == {("a", "title"): "Advent I", ("a", "mode"): "VIII", ("b", "title"): "Lent", ("c", "title"): "Easter"}
-    assert links == {"z": ("noh", 6), "y": ("noh", 7), "x": (None, None)}
+    assert links == {"z": ("vol", 6), "y": ("vol", 7), "x": (None, None)}
 
 
 def test_all_problems_are_told_and_nothing_is_applied(spark):
@@ -114,7 +114,7 @@ def test_all_problems_are_told_and_nothing_is_applied(spark):
         (8, ly.STALE), (9, "parts out of order"), (10, "a part starts outside"), (11, "unknown target"),
         (12, ly.STALE), (13, "corrected already by e12"), (14, "unknown target"), (15, "parts out of order"), (16, "a part starts outside"),
     ]
-    assert owner == "aaabbbcc" and lists["b"] == [("introit", 4), ("gradual", 5)] and fields["a", "title"] == "Advent" and links["z"] == ("noh", 5)
+    assert owner == "aaabbbcc" and lists["b"] == [("introit", 4), ("gradual", 5)] and fields["a", "title"] == "Advent" and links["z"] == ("vol", 5)
 
 
 def test_parts_move_past_each_other_and_chains_see_their_predecessors(spark):
