@@ -52,7 +52,7 @@ def domain_rule(text: str) -> Rule:
 
 
 #: The rules for domains, and the method's own patterns: fixed values.
-DOMAIN_RULES = [domain_rule(x) for x in ("block com/en/", "allow example.com/en/7", "block net/de/", "block example.net/de/8", "block org/es/")]
+DOMAIN_RULES = [domain_rule(x) for x in ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")]
 PATTERN_RULES = [
     Rule("block", pattern="://ads."),
     Rule("block", pattern="/ads/"),
