@@ -180,15 +180,20 @@ def title_pairs(titles: DataFrame, entries: DataFrame, least: float) -> DataFram
 BLOCK = 1000
 
 
-def called_pairs(texts: DataFrame, names: DataFrame, score: Callable[[str, str], float], least: float) -> DataFrame:
-    """text, entry, score by a Python function, which no index can help: each distinct text `s` is a query against all names `s`, block by block."""
+def called_pairs(texts: DataFrame, names: DataFrame, score: Callable[[str, str], float], least: float | None = None) -> DataFrame:
+    """text, entry, score by a Python function, which no index can help: each distinct text `s` is a query against all names `s`, block by block. Without `least`, the pairs of each
+    text that are the best of a block, however low."""
     texts, names = (df.select("s").filter("s IS NOT NULL").distinct() for df in (texts, names))
     blocks = names.groupBy(F.pmod(F.xxhash64("s"), F.lit(math.ceil(max(names.count(), 1) / BLOCK))).alias("block")).agg(F.collect_list("s").alias("names"))  # BLOCK names each, about
     asked = texts.withColumn("block", F.explode(F.array(*(F.lit(r["block"]) for r in blocks.select("block").collect())).cast("array<long>")))
 
     def call(frames):
         for frame in frames:
-            rows = [(s, x, float(v)) for s, names in zip(frame["s"], frame["names"], strict=True) for x in names if (v := score(s, x)) >= least]
+            rows = []
+            for s, names in zip(frame["s"], frame["names"], strict=True):
+                scored = [(s, x, float(score(s, x))) for x in names]
+                low = max(r[2] for r in scored) if least is None else least
+                rows += [r for r in scored if r[2] >= low]
             yield pd.DataFrame(rows, columns=["text", "entry", "score"])
 
     return asked.join(blocks, "block").select("s", "names").mapInPandas(call, "text string, entry string, score double")

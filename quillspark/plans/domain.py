@@ -96,13 +96,14 @@ def lev_score(a: str, b: str) -> float:
     return round(1.0 - row[-1] / max(len(a), len(b), 1), 6)
 
 
-@query("""SELECT c_custkey, CASE WHEN score >= 0.3 THEN n_nationkey END AS n_nationkey, CASE WHEN score >= 0.3 THEN score END AS score FROM (SELECT c_custkey, n_nationkey, round(1.0 - levenshtein(m, n_name) / greatest(length(m), length(n_name)), 6) AS score FROM (SELECT c_custkey, c_mktsegment AS m FROM customer), nation)
+@query("""SELECT c_custkey, CASE WHEN score >= 0.3 THEN n_nationkey END AS n_nationkey, score FROM (SELECT c_custkey, n_nationkey, round(1.0 - levenshtein(m, n_name) / greatest(length(m), length(n_name)), 6) AS score FROM (SELECT c_custkey, c_mktsegment AS m FROM customer), nation)
 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, n_nationkey) = 1""")
 def udf_surface(spark, d):
-    """A Python callback as the score of a vocabulary match: each distinct title is scored once against the nations, block by block."""
+    """A Python callback as the score of a vocabulary match: each distinct title is scored once against the nations, block by block. A best score below 0.3 is told without a nation."""
     c, n = load(spark, d, "customer").select("c_custkey", "c_mktsegment"), load(spark, d, "nation")
-    pairs = vocabulary.called_pairs(c.select(F.col("c_mktsegment").alias("s")), n.select(F.col("n_name").alias("s")), lev_score, 0.3)
-    return vocabulary.best_entries(c, n, "c_mktsegment", "n_nationkey", "n_name", pairs).select("c_custkey", "n_nationkey", "score")
+    pairs = vocabulary.called_pairs(c.select(F.col("c_mktsegment").alias("s")), n.select(F.col("n_name").alias("s")), lev_score)
+    best = vocabulary.best_entries(c, n, "c_mktsegment", "n_nationkey", "n_name", pairs)
+    return best.select("c_custkey", F.when(F.col("score") >= 0.3, F.col("n_nationkey")).alias("n_nationkey"), "score")
 
 
 @query()
