@@ -155,18 +155,19 @@ def interval_join(spark, d):
 @query("""
 SELECT c_custkey, s_suppkey AS nearest FROM customer JOIN supplier ON s_nationkey = c_nationkey QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal::DECIMAL(18,2) - s_acctbal::DECIMAL(18,2)), s_suppkey) = 1""")
 def nearest_join(spark, d):
-    """The nearest value on either side, by two running windows over the union: no pair of rows is made."""
+    """The nearest value on either side, by two running windows over the union, one a direction: no pair of rows is made, and each row is looked at once. Where no gap is known, the least key."""
     from pyspark.sql import Window
 
     c = load(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").cast("decimal(18,2)").alias("at"), "c_custkey")
     s = load(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k"), F.col("s_acctbal").cast("decimal(18,2)").alias("at")).agg(F.min("s_suppkey").alias("sup"))
     both = c.withColumn("sup", F.lit(None).cast("long")).unionByName(s, allowMissingColumns=True)
-    found = F.when(F.col("sup").isNotNull(), F.struct(F.col("at").alias("v"), F.col("sup").alias("id")))
-    w = Window.partitionBy("k").orderBy("at")
-    r = both.withColumn("lo", F.last(found, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(found, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).filter("c_custkey is not null")
+    found = F.last(F.when(F.col("sup").isNotNull() & F.col("at").isNotNull(), F.struct(F.col("at").alias("v"), F.col("sup").alias("id"))), ignorenulls=True)
+    running = lambda order: Window.partitionBy("k").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    r = both.withColumn("lo", found.over(running(F.asc("at")))).withColumn("hi", found.over(running(F.desc("at")))).withColumn("any", F.min("sup").over(Window.partitionBy("k"))).filter("c_custkey is not null")
     gap = lambda s: F.struct(F.abs(F.col(f"{s}.v") - F.col("at")).alias("gap"), F.col(f"{s}.id").alias("id"))
-    pick = F.array_min(F.array_compact(F.array(F.when(F.col("lo").isNotNull(), gap("lo")), F.when(F.col("hi").isNotNull(), gap("hi")))))
-    return r.select("c_custkey", pick["id"].alias("nearest")).filter("nearest is not null")
+    near = lambda s: F.when(F.col(s).isNotNull() & F.col("at").isNotNull(), gap(s))
+    pick = F.array_min(F.array_compact(F.array(near("lo"), near("hi"))))
+    return r.select("c_custkey", F.coalesce(pick["id"], "any").alias("nearest")).filter("nearest is not null")
 
 
 @query("""
