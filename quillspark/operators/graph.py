@@ -39,30 +39,38 @@ def _drop(df: DataFrame) -> None:
 
 #: Hops that one round of reach takes: their joins are one job.
 HOPS_A_ROUND = 4
+#: Nodes of a level that may go to every task; parts of the known nodes before they are written as one.
+MOST_BROADCAST, MOST_PARTS = 100_000, 16
 
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int | None = None) -> DataFrame:
     """node, hop (the least number of edges from a start) of every node reached; a cycle ends as its nodes are known already.
 
-    The edges are computed once. A round goes several hops on from the last level, whose joins share their shuffles, and is cut once; what it finds of known nodes goes."""
+    The edges are computed once. A round goes several hops on from the last level and is cut once; what it finds of known nodes goes, the rest is added to them as a table of its own.
+    The last level was counted, and no level can have more nodes than the one before times the most edges of a node: levels that are few go to every task, so the edges stay where they
+    are; joins of larger ones share their shuffles."""
+    spark = edges.sparkSession
     edges = _cut(edges.select("src", F.col("dst").alias("node")).distinct())
+    widest = edges.groupBy("src").count().agg(F.max("count")).first()[0] or 0
     known = _cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))
-    done, frontier = 0, known
-    while hops is None or done < hops:
-        levels = [frontier]
+    done, frontier, size, parts = 0, known, known.count(), [known]
+    while size and (hops is None or done < hops):
+        levels, most = [frontier], size
         for hop in range(done + 1, done + 1 + (HOPS_A_ROUND if hops is None else min(HOPS_A_ROUND, hops - done))):
-            levels.append(levels[-1].select(F.col("node").alias("src")).join(edges, "src").select("node").distinct().withColumn("hop", F.lit(hop)))
+            last = levels[-1].select(F.col("node").alias("src"))
+            levels.append((F.broadcast(last) if most <= MOST_BROADCAST else last).join(edges, "src").select("node").distinct().withColumn("hop", F.lit(hop)))
+            most *= widest
         found = reduce(DataFrame.unionByName, levels[1:]).groupBy("node").agg(F.min("hop").alias("hop"))
         new = _cut(found.join(known.select("node"), "node", "left_anti"))
         done += len(levels) - 1
-        if new.isEmpty():
-            break
-        before, known = known, _cut(known.unionByName(new))
-        _drop(before)
-        frontier = known.filter(F.col("hop") == done)
-        _drop(new)
-        if frontier.isEmpty():
-            break
+        frontier = new.filter(F.col("hop") == done)
+        size, parts = frontier.count(), [*parts, new]
+        known = spark.read.schema(known.schema).parquet(*(p._quill_path for p in parts))
+        if len(parts) > MOST_PARTS:
+            before, known = parts, _cut(known)
+            parts, frontier = [known], known.filter(F.col("hop") == done)
+            for part in before:
+                _drop(part)
     return known
 
 
