@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A lender of more parts than HOT is met in SPREAD places.
+HOT, SPREAD = 1_000_000, 32
+
 
 def bind(wanted: DataFrame, entries: DataFrame, stages: list[str]) -> DataFrame:
     """wanted (key and a column a stage) with id (of entries: id and the same columns), stage and error. Each stage binds what the stages before left, to entries that are left, by one column.
@@ -39,12 +42,18 @@ def approval_states(items: DataFrame, approvals: DataFrame, key: str) -> DataFra
 
 def with_borrowed(parts: DataFrame, slices: DataFrame, key: str, order: list[str], lender: str) -> DataFrame:
     """parts of a key in order, those with a lender replaced by the lender's slices (slices: key, at, value), numbered anew; a part whose lender has no slices stays as it is and is marked
-    `unresolved`. Returned: key, place (from 1), value, source (own, borrowed or unresolved). parts have a `value`."""
-    n = slices.groupBy(F.col(key).alias(lender)).agg(F.count(F.lit(1)).alias("_n"))
-    p = parts.join(n, lender, "left").withColumn("_size", F.coalesce("_n", F.lit(1)))
+    `unresolved`. Returned: key, place (from 1), value, source (own, borrowed or unresolved). parts have a `value`.
+
+    Parts without a lender meet nothing. Lenders of more than HOT parts, which are few, are met in SPREAD places each, so that none of them is one task."""
+    lends, wanted = F.col(lender), parts.filter(F.col(lender).isNotNull())
+    hot = F.broadcast(wanted.groupBy(lender).agg(F.count(F.lit(1)).alias("_many")).filter(F.col("_many") > HOT).select(lender, F.lit(True).alias("_hot")))
+    spread = lambda df: df.join(hot, lender, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    n = slices.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(lender)).agg(F.count(F.lit(1)).alias("_n"))
+    salted = wanted.join(hot, lender, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(key, *order), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("_hot")
+    p = salted.join(spread(n), [lender, "_salt"], "left").unionByName(parts.filter(lends.isNull()), allowMissingColumns=True).withColumn("_size", F.coalesce("_n", F.lit(1)))
     w = Window.partitionBy(key).orderBy(*order)
     p = p.withColumn("_before", F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = p.filter("_n is null").select(key, (F.col("_before") + 1).alias("place"), "value", F.when(F.col(lender).isNull(), "own").otherwise("unresolved").alias("source"))
+    own = p.filter("_n is null").select(key, (F.col("_before") + 1).alias("place"), "value", F.when(lends.isNull(), "own").otherwise("unresolved").alias("source"))
     lent = slices.select(F.col(key).alias(lender), F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("_i"), F.col("value").alias("_lent"))
-    borrowed = p.filter("_n is not null").join(lent, lender).select(key, (F.col("_before") + F.col("_i")).alias("place"), F.col("_lent").alias("value"), F.lit("borrowed").alias("source"))
+    borrowed = p.filter("_n is not null").join(spread(lent), [lender, "_salt"]).select(key, (F.col("_before") + F.col("_i")).alias("place"), F.col("_lent").alias("value"), F.lit("borrowed").alias("source"))
     return own.unionByName(borrowed)
