@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Steps of Euclid's algorithm that reach the end for any 64-bit numbers.
-STEPS = 92
-
 
 def gcd(a: Column, b: Column) -> Column:
+    """By Euclid's algorithm, which takes at most five steps a digit of the smaller number (Lamé), and one where the smaller comes first."""
     zero = F.lit(0).cast("long")
     start = F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b"))
     step = lambda g, _: F.when(g["b"] == 0, g).otherwise(F.struct(g["b"].alias("a"), F.coalesce(F.try_mod(g["a"], g["b"]), zero).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda g: g["a"])
+    steps = 5 * F.length(F.least(F.abs(a), F.abs(b)).cast("long").cast("string")) + 1
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda g: g["a"])
 
 
 def fraction(num: Column, den: Column) -> Column:
     """num / den, reduced; null where den is 0 or either is null."""
-    named = F.transform(F.array(F.struct(num.cast("long").alias("n"), den.cast("long").alias("d"))), lambda x: F.struct(x["n"].alias("n"), x["d"].alias("d"), F.greatest(gcd(x["n"], x["d"]), F.lit(1).cast("long")).alias("g")))
+    one = F.lit(1).cast("long")
+    named = F.transform(F.array(F.struct(num.cast("long").alias("n"), den.cast("long").alias("d"))), lambda x: F.struct(x["n"].alias("n"), x["d"].alias("d"), F.greatest(gcd(x["n"], x["d"]), one).alias("g")))
     sign = lambda x: F.when(x["d"] < 0, F.lit(-1).cast("long")).otherwise(F.lit(1).cast("long"))
     made = F.transform(named, lambda x: F.struct(F.call_function("div", sign(x) * x["n"], x["g"]).alias("num"), F.call_function("div", F.abs(x["d"]), x["g"]).alias("den")))
-    return F.when((den != 0) & num.isNotNull(), F.element_at(made, 1))
+    whole = F.struct(num.cast("long").alias("num"), one.alias("den"))
+    return F.when((den == 1) & num.isNotNull(), whole).when((den != 0) & num.isNotNull(), F.element_at(made, 1))
 
 
 def parsed(c: Column) -> Column:

@@ -18,8 +18,9 @@ def merge_ties(notes: DataFrame, part: list[str], order: list[str], pitch: str,
     numbered = notes.withColumn("_event", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # the notes of one event, in order: a tie is a few notes long
     held = numbered.groupBy(*part, "_event").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(pitch).alias("_pitch"), F.col(duration).alias("_length"), F.col(tied).alias("_tied")))).alias("_notes"))
-    total = F.aggregate(F.transform("_notes", lambda x: x["_length"]), q.fraction(F.lit(0), F.lit(1)), q.plus)
     first, last = F.element_at("_notes", 1), F.element_at("_notes", -1)
+    # most events are one note: nothing is added up
+    total = F.aggregate(F.transform(F.slice("_notes", F.lit(2), F.size("_notes")), lambda x: x["_length"]), first["_length"], q.plus)
     return held.select(*part, F.struct(*(first[c].alias(c) for c in order)).alias("first"), first["_pitch"].alias(pitch), total.alias("total"), F.size("_notes").alias("notes"), last["_tied"].alias("dangling"))
 
 
