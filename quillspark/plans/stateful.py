@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
@@ -206,20 +208,20 @@ def hop_limit(spark, d):
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_partkey // 2 AS parent, CASE WHEN p_size % 3 = 0 THEN p_brand END AS v FROM part), r(k, here, depth, v) AS (SELECT k, k, 0, v FROM p UNION ALL SELECT r.k, p.k, depth + 1, p.v FROM r JOIN p ON p.k = r.here // 2 WHERE r.v IS NULL AND r.here > 0)
 SELECT k, max(v) AS v FROM r GROUP BY 1""")
 def inherit_chain(spark, d):
-    """Nearest value along the parent chain: keys halve, so a fixed number of rounds reaches the root of any 64-bit key; rounds end when none is open."""
+    """Nearest value along the parent chain: keys halve, so a fixed number of rounds reaches the root of any 64-bit key; rounds end when none is open, or at a parent that is nowhere.
+    Each round is written once, and no side is sent to the driver."""
     p = load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("v"))
-    own = p.select(F.col("k").alias("at"), F.col("v").alias("av"))
-    open_, done = p.filter("v is null").select("k", F.expr("k div 2").alias("at")), p.filter("v is not null")
-    rest = p.filter("v is null and k = 0")
-    open_ = open_.filter("k > 0")
+    own = gr._cut(p.select(F.col("k").alias("at"), F.col("v").alias("av"), F.lit(True).alias("there")))
+    done = [p.filter("v is not null or k <= 0 or k is null")]
+    open_ = p.filter("v is null and k > 0").select("k", F.expr("k div 2").alias("at"))
     for _ in range(64):
-        found = open_.join(own, "at", "left")
-        done = done.unionByName(found.filter("av is not null").select("k", F.col("av").alias("v")))
-        rest = rest.unionByName(found.filter("av is null and at = 0").select("k", F.lit(None).cast("string").alias("v")))
-        open_ = gr._cut(found.filter("av is null and at > 0").select("k", F.expr("at div 2").alias("at")))
+        found = gr._cut(open_.hint("merge").join(own, "at", "left"))
+        ends = "av is not null or at = 0 or there is null"
+        done.append(found.filter(ends).select("k", F.col("av").alias("v")))
+        open_ = found.filter(f"not ({ends})").select("k", F.expr("at div 2").alias("at"))
         if open_.isEmpty():
             break
-    return done.unionByName(rest)
+    return reduce(DataFrame.unionByName, done)
 
 
 @query()
