@@ -46,9 +46,14 @@ def table_rows(words: DataFrame, page: str, columns: int, width: Column, near: f
     middle = (F.col("x0") + F.col("x1")) / 2
     crossing = F.col("x1") - F.col("x0") > width / columns
     w = words.withColumn("_column", F.when(crossing, -1).otherwise(F.least(F.floor(middle / width * columns), F.lit(columns - 1))).cast("int"))
-    # bands: how many words across columns stand above a word
-    tops = by([page], "y0", F.when(F.col("_column") == -1, 0).otherwise(1), "x0", "text")
-    w = w.withColumn("_band", F.sum(F.when(F.col("_column") == -1, 1).otherwise(0)).over(tops.rowsBetween(Window.unboundedPreceding, 0)))
+    # bands: how many words across columns stand above a word. They are counted by height first, so that a page's words are never one task: of one height, words across come one by one
+    # and before the others
+    across = F.count_if(F.col("_column") == -1)
+    heights = w.groupBy(page, "y0").agg(across.alias("_across")).withColumn("_above", F.sum("_across").over(by([page], "y0").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_across"))
+    heights = heights.filter("_above + _across > 0").select(F.col(page).alias("_p"), F.col("y0").alias("_y"), "_above", "_across")
+    apart = w.filter("_column = -1").withColumn("_place", F.row_number().over(by([page, "y0"], "x0", "text")))
+    w = apart.unionByName(w.filter("_column <> -1"), allowMissingColumns=True).join(heights, F.col(page).eqNullSafe(F.col("_p")) & F.col("y0").eqNullSafe(F.col("_y")), "left")
+    w = w.withColumn("_band", F.coalesce(F.col("_above") + F.coalesce("_place", "_across"), F.lit(0)).cast("long")).drop("_p", "_y", "_above", "_across", "_place")
     inside = by([page, "_band", "_column"], "y0", "x0", "text")
     new = F.when(F.col("y0") - F.lag("y0").over(inside) <= near, 0).otherwise(1)
     w = w.withColumn("_new", new).withColumn("_line", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
