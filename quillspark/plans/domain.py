@@ -108,13 +108,15 @@ def udf_surface(spark, d):
 
 @query()
 def vocabulary_match(spark, d):
-    """Headings against the table of part names, numerals and damaged words and all."""
+    """Headings against the table of part names, numerals and damaged words and all. Each distinct heading is read and matched once."""
     words = lambda c: fo.heading_words(F.lower(c))
-    titles = headings(spark, d).withColumn("words", words("h"))
-    entries = load(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("key")).select("key", words("p_name").alias("words"))
+    rows = headings(spark, d)
+    titles = graph._cut(rows.select(F.col("h").alias("heading")).distinct().select("heading", words("heading").alias("words")))
+    entries = graph._cut(load(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("key")).select("key", words("p_name").alias("words")))
     joined = lambda df: df.withColumn("title", F.array_join("words", " "))
     pairs = vocabulary.title_pairs(titles, entries, 0.6)
-    return vocabulary.best_entries(joined(titles), joined(entries), "title", "key", "title", pairs).select("p_partkey", "key", "score")
+    best = graph._cut(vocabulary.best_entries(joined(titles), joined(entries), "title", "key", "title", pairs).select("heading", "key", "score"))
+    return rows.join(best, F.col("h").eqNullSafe(F.col("heading")), "left").select("p_partkey", "key", "score")
 
 
 @query()
