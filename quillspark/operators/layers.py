@@ -5,17 +5,25 @@ outside go free, and neighbours lose what it takes. Such corrections depend on o
 for, the piece that it is about, and the pieces that have any of those systems. In a round, every correction that is the first of all pending ones at everything it touches is decided,
 so a round decides all that don't wait for another, in any number of volumes, and the rounds are as many as the longest row of corrections that wait for one another. What a round
 leaves is a table, so each check is a join, and the outcome is that of going through the file line by line.
+
+Rounds move every system several times, so they are for volumes of more than MOST_HELD systems and corrections. All others are dealt out by volume once, and gone through line by line.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from .graph import _cut, _drop
-from .state import fold_rows
+from .state import fold_rows, same
+
+#: Systems and corrections of a volume that a task holds.
+MOST_HELD = 50_000
 
 #: The problems of a run, in the order in which they are looked for.
 NO_RUN, STALE, LEAVES, WHOLE, SPLITS, TAKES = "no run of systems", "stale", "leaves a part outside", "takes all of another", "splits another", "takes a part of another"
@@ -52,10 +60,102 @@ def _judged(ready: DataFrame, touched: DataFrame, owner: DataFrame, parts: DataF
     return j.select(*ready.columns, problem.alias("problem"))
 
 
+def _line_by_line(has: dict, starts: set, entries: list[tuple]) -> list[tuple]:
+    """seq and problem of one volume's corrections (seq, target, a, b, was_a, was_b), in file order; has (piece by system) is as they leave it."""
+    size, of, told = max((s for s in has if s is not None), default=0), {}, []
+    for s, p in has.items():
+        if p is not None:
+            of.setdefault(p, set()).add(s)
+    for seq, target, a, b, *was in entries:
+        if a is None or b is None or not 1 <= a <= b <= size:
+            told.append((seq, NO_RUN))
+            continue
+        own, lost, problem = of.get(target, set()), {}, None
+        for s in range(a, b + 1):
+            p = has.get(s)
+            if p is not None and target is not None and p != target:
+                lost.setdefault(p, []).append(s)
+        if was != ([min(own), max(own)] if own else [None, None]):
+            problem = STALE
+        elif any(s in starts and not a <= s <= b for s in own):
+            problem = LEAVES
+        elif any(len(x) == len(of[p]) for p, x in lost.items()):
+            problem = WHOLE
+        elif any(x[0] != min(of[p]) and x[-1] != max(of[p]) for p, x in lost.items()):
+            problem = SPLITS
+        elif any(s in starts for x in lost.values() for s in x):
+            problem = TAKES
+        elif target is not None:
+            for p, x in lost.items():
+                of[p].difference_update(x)
+            has.update(dict.fromkeys(own))
+            of[target] = {s for s in range(a, b + 1) if s in has}
+            has.update(dict.fromkeys(of[target], target))
+        told.append((seq, problem))
+    return told
+
+
+def _by_volume(owner: DataFrame, parts: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """apply_runs where a task can hold any volume."""
+    kind = lambda n: F.lit(n).cast("byte").alias("kind")
+    rows = owner.select("volume", kind(0), F.col("system").alias("at"), "piece").unionByName(parts.select("volume", kind(1), F.col("system").alias("at")).distinct(), allowMissingColumns=True)
+    rows = rows.unionByName(entries.select("volume", kind(2), F.col("seq").alias("at"), F.col("target").alias("piece"), "a", "b", "was_a", "was_b"), allowMissingColumns=True)
+    out = rows.select("volume", F.col("at").alias("system"), "piece", F.col("at").alias("seq"), F.lit("").alias("problem"), F.lit(False).alias("told")).schema
+    out = StructType([StructField(f.name, f.dataType) for f in out])  # each is null in some rows
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        volume, has, starts, entries, made = object(), {}, set(), [], []
+
+        def end():
+            if entries and volume is None:  # no volume, no run
+                told = [(seq, NO_RUN) for seq, *_ in entries]
+            else:
+                told = _line_by_line(has, starts, entries)
+            made.extend((volume, s, p, None, None, False) for s, p in has.items())
+            made.extend((None, None, None, seq, problem, True) for seq, problem in told)
+
+        def given():
+            table = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+            made.clear()
+            return table
+
+        for batch in batches:
+            for v, k, at, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not same(v, volume):
+                    end()
+                    volume, has, starts, entries = v, {}, set(), []
+                if k == 0:
+                    has[at] = row[0]
+                elif k == 1:
+                    starts.add(at)
+                else:
+                    entries.append((at, *row))
+            if len(made) > 20_000:
+                yield given()
+        end()
+        if made:
+            yield given()
+
+    done = _cut(rows.repartition("volume").sortWithinPartitions("volume", "kind", "at").mapInArrow(run, out))
+    return done.filter("NOT told").select(*owner.columns), done.filter("told").select("seq", "problem")
+
+
 def apply_runs(owner: DataFrame, parts: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """owner (volume, system, piece) after the corrections of runs, and each correction's seq with its problem (null: it has landed).
 
     parts: volume, system of each part's start. entries: seq (unique, in file order), volume, target, a, b, was_a, was_b."""
+    size = owner.select("volume").unionByName(entries.select("volume")).groupBy("volume").count()
+    large = _cut(size.filter(F.col("count") > MOST_HELD).select(F.col("volume").alias("_v")))
+    if large.isEmpty():
+        return _by_volume(owner, parts, entries)
+    where = lambda df, how: df.join(large, F.col("volume").eqNullSafe(F.col("_v")), how)
+    few, many = (fit(*(where(df, how) for df in (owner, parts, entries))) for fit, how in ((_by_volume, "left_anti"), (_by_rounds, "left_semi")))
+    return few[0].unionByName(many[0]), few[1].unionByName(many[1])
+
+
+def _by_rounds(owner: DataFrame, parts: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """apply_runs for volumes of any size."""
     sizes = owner.groupBy("volume").agg(F.max("system").alias("size"))
     columns = ["volume", "seq", "target", "a", "b", "was_a", "was_b"]
     formed = entries.select(*columns).join(sizes, "volume", "left").withColumn("ok", F.coalesce((F.col("a") >= 1) & (F.col("a") <= F.col("b")) & (F.col("b") <= F.col("size")), F.lit(False)))
