@@ -124,7 +124,9 @@ def expand(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     while not body.filter("target IS NOT NULL").isEmpty():
         sizes = body.groupBy(F.col("section").alias("target")).agg(F.count(F.lit(1)).alias("size"))
         before_it = F.sum(F.coalesce("size", F.lit(1))).over(Window.partitionBy("section").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-        placed = body.join(sizes, "target", "left").select("section", F.coalesce(before_it, F.lit(0)).cast("long").alias("place"), "source", "n", "text", "target")
+        # lines that include nothing, which are most, meet no size
+        sized = body.filter("target IS NOT NULL").join(sizes, "target", "left").unionByName(body.filter("target IS NULL"), allowMissingColumns=True)
+        placed = sized.select("section", F.coalesce(before_it, F.lit(0)).cast("long").alias("place"), "source", "n", "text", "target")
         inner = body.select(F.col("section").alias("target"), F.col("place").alias("within"), F.col("source").alias("s"), F.col("n").alias("m"), F.col("text").alias("t"), F.col("target").alias("on"))
         spliced = placed.filter("target IS NOT NULL").join(inner, "target").select("section", (F.col("place") + F.col("within")).alias("place"), F.col("s").alias("source"), F.col("m").alias("n"), F.col("t").alias("text"), F.col("on").alias("target"))
         old, body = body, _cut(placed.filter("target IS NULL").unionByName(spliced))
