@@ -385,3 +385,29 @@ def test_pipeline(spark):
         docs = kept
     rows = corpus_pipeline.run(spark, sf).collect()
     assert len(rows) == docs.count() and all(r["round_trip"] for r in rows)
+
+
+@pytest.mark.parametrize("hashes", [0, 64 << 20])
+def test_op4_moves_texts_of_pairs_only(spark, monkeypatch, hashes):
+    """Texts that only share some words are never packed, stored or shuffled; the prefixes go in parts."""
+    import random
+
+    from quillspark.llm import jaccard_join as j
+
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    line = " ".join(rnd.choice(words) for _ in range(12))
+    given = [f"{line} " + " ".join(rnd.choice(words) for _ in range(60)) for _ in range(120)]
+    given += [given[0], f"{given[1]} and more", None, ""]
+    made, plain = {}, j.written
+
+    def written(df, what, **options):
+        out = plain(df, what, **options)
+        made.setdefault(what, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(j, "written", written)
+    monkeypatch.setattr(j, "MOST_HASHES", hashes)
+    got = {r["doc_id"]: r["component_id"] for r in j.join_similar(frame(spark, given)).collect()}
+    assert got == {i: i for i in range(len(given))} | {120: 0, 121: 1}
+    assert max(made["texts"]) < 20 and len(made["lists"]) == j.ROUNDS and min(made["lists"]) > 0
