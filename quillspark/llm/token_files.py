@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,14 @@ BLOCK, STEP, MAX_BITS = 1 << 19, 256, 16
 
 
 class WordTokens:
-    """Ids of texts by the tokenizers library, a word at a time: words seen before are looked up.
+    """Ids of texts by the tokenizers library, a word at a time: words seen before are looked up. A full store keeps the words that came again since it was last full.
 
     Exact for tokenizers whose pre-tokenizer drops white space and lower-cases, as word_bpe_49k does: no token spans
     white space.
     Lower-casing A-Z first changes nothing where both forms are in NFC already and no special token can arise.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import json
 
         from tokenizers import Tokenizer
@@ -53,15 +53,28 @@ class WordTokens:
 
     def clear(self) -> None:
         self.size, self.known, self.n, self.held = 0, {}, 0, 0
-        self.starts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.starts, self.ids, self.again = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, bool)
+
+    def make_room(self) -> None:
+        """Forgets the words that did not come again, or all, where that would leave little room."""
+        stay = self.again[: self.n]
+        words = list(compress(self.known, stay))  # known is in the order of its numbers
+        ids, sizes = self.gather(np.flatnonzero(stay))
+        self.clear()
+        if 4 * len(words) <= 3 * self.most and 4 * sum(map(len, words)) <= 3 * MOST_WORD_BYTES:
+            self.add(words, ids, sizes)
 
     def learn(self, words: list[bytes]) -> None:
         letters, other = [], []
         for w in words:
             # a full stop or comma after an ASCII letter or digit is a pre-token of its own
             for part in (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else (w,):
-                if part not in self.known:
-                    s = part.decode()
+                if part in self.known:
+                    continue
+                s = part.decode()
+                if part.isalpha() and part.islower():  # ASCII letters
+                    letters.append((part, s))
+                else:
                     (letters if s.isalpha() and s.lower() == s and unicodedata.is_normalized("NFC", s) else other).append((part, s))
         self.learn_by(self.plain, list(dict.fromkeys(letters)))
         self.learn_by(self.tokenizer, list(dict.fromkeys(other)))
@@ -81,6 +94,7 @@ class WordTokens:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.ids[self.held : self.held + len(ids)] = ids
         self.starts[self.n + 1 : self.n + len(words) + 1] = self.held + np.cumsum(sizes)
         self.known.update(zip(words, range(self.n, self.n + len(words)), strict=True))
@@ -105,8 +119,9 @@ class WordTokens:
             lists.append(text.split())
         words, sizes = list(chain.from_iterable(lists)), [len(x) for x in lists]
         if self.n > self.most or self.size > MOST_WORD_BYTES:
-            self.clear()
+            self.make_room()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        self.again[at[at >= 0]] = True
         new = np.flatnonzero(at < 0).tolist()
         if new:
             self.learn(list(dict.fromkeys([words[i] for i in new])))

@@ -411,3 +411,23 @@ def test_op4_moves_texts_of_pairs_only(spark, monkeypatch, hashes):
     got = {r["doc_id"]: r["component_id"] for r in j.join_similar(frame(spark, given)).collect()}
     assert got == {i: i for i in range(len(given))} | {120: 0, 121: 1}
     assert max(made["texts"]) < 20 and len(made["lists"]) == j.ROUNDS and min(made["lists"]) > 0
+
+
+def test_op3_a_full_store_keeps_words_that_come_again():
+    """Common words are given to the library once, however many others come by; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, tokens, asked = Tokenizer.from_file(path), token_files.WordTokens(path, most=60), []
+    plain = tokens.learn_by
+    tokens.learn_by = lambda tokenizer, words: (asked.extend(w for w, _ in words), plain(tokenizer, words))
+    common = "the of thing and, Straße Ñandú d'x thing."
+    for k in range(30):
+        text = f"{common} " + " ".join(f"once{k}x{i}" for i in range(25))
+        ids, sizes = tokens([text.encode(), None])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids), 0]
+        assert tokens.n <= 60 + 60
+    assert asked.count(b"thing") == 1 and asked.count("stra\u00dfe".encode()) == 1
+    many = " ".join(f"m{i}" for i in range(90))
+    for _ in range(3):  # all come again: nothing can be kept
+        assert tokens([many.encode()])[0].tolist() == library.encode(many, add_special_tokens=False).ids
