@@ -12,17 +12,20 @@ list. What the driver holds: a count for each id of the vocabulary, and a sum fo
 
 from __future__ import annotations
 
+import os
+import string
 import unicodedata
 import zlib
-from itertools import chain, compress, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_WORD_BYTES, batches_of, dropped, kept, stored, texts_of
+from .common import MOST_WORD_BYTES, batches_of, dropped, kept, stored
 
 BLOCK, STEP, MAX_BITS = 1 << 19, 256, 16
 
@@ -35,12 +38,14 @@ class WordTokens:
 
     Exact for tokenizers whose pre-tokenizer drops white space and lower-cases, as word_bpe_49k does: no token spans
     white space.
+    ASCII punctuation after a letter or digit, to the end of the word, is a pre-token of its own: such words are put together from both parts.
     Lower-casing A-Z first changes nothing where both forms are in NFC already and no special token can arise.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
         import json
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a batch is one list here: threads would have nothing to share
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -49,6 +54,10 @@ class WordTokens:
         plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": next(x for x in plain["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")}
         self.plain = Tokenizer.from_str(json.dumps(plain))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # tokens that end a word, where the model marks them
+        self.last, suffix = np.zeros(self.vocabulary, bool), self.tokenizer.model.end_of_word_suffix
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -65,22 +74,30 @@ class WordTokens:
             self.add(words, ids, sizes)
 
     def learn(self, words: list[bytes]) -> None:
-        letters, other = [], []
-        for w in words:
-            # a full stop or comma after an ASCII letter or digit is a pre-token of its own
-            for part in (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else (w,):
-                if part in self.known:
+        letters, other, both, known = {}, {}, [], self.known
+        for w, s in zip(words, b"\n".join(words).decode().split("\n"), strict=True):  # no word holds a line feed
+            stem = s if s.isalpha() else s.rstrip(string.punctuation)
+            # whether the normaliser leaves the stem as it is; ASCII is in NFC
+            same = stem.islower() or stem.isdigit() if stem.isascii() else stem.lower() == stem and unicodedata.is_normalized("NFC", stem)
+            if len(stem) < len(s):
+                if not same or not (stem[-1].isalpha() or "0" <= stem[-1] <= "9") or "<|" in s:
+                    other[w] = s
                     continue
-                s = part.decode()
-                if part.isalpha() and part.islower():  # ASCII letters
-                    letters.append((part, s))
-                else:
-                    (letters if s.isalpha() and s.lower() == s and unicodedata.is_normalized("NFC", s) else other).append((part, s))
-        self.learn_by(self.plain, list(dict.fromkeys(letters)))
-        self.learn_by(self.tokenizer, list(dict.fromkeys(other)))
-        both = [(w, self.known[w[:-1]], self.known[w[-1:]]) for w in words if w not in self.known]
+                cut = len(stem) - len(s)
+                both.append((w, w[:cut], w[cut:]))
+                if w[cut:] not in known:
+                    other[w[cut:]] = s[cut:]
+                w = w[:cut]
+                if w in known:
+                    continue
+            if same and stem.isalpha():
+                letters[w] = stem
+            else:
+                other[w] = stem
+        self.learn_by(self.plain, list(letters.items()))
+        self.learn_by(self.tokenizer, list(other.items()))
         if both:
-            ids, sizes = self.gather(np.array([x[1:] for x in both]).reshape(-1))
+            ids, sizes = self.gather(np.array([(known[a], known[b]) for _, a, b in both]).reshape(-1))
             self.add([w for w, _, _ in both], ids, sizes[::2] + sizes[1::2])
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,29 +120,40 @@ class WordTokens:
 
     def learn_by(self, tokenizer, words: list[tuple[bytes, str]]) -> None:
         for i in range(0, len(words), 20_000):
-            part = [w for w, _ in words[i : i + 20_000]]
-            got = tokenizer.encode([s for _, s in words[i : i + 20_000]], is_pretokenized=True, add_special_tokens=False)
-            self.add(part, np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
-
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
-        lists = []
-        for text in texts:
-            text = text or b""
-            if b"<|" not in text:
-                low = text.lower()
-                if text.isascii() or (unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", low.decode())):
-                    text = low
-            lists.append(text.split())
-        words, sizes = list(chain.from_iterable(lists)), [len(x) for x in lists]
+            part, texts = [w for w, _ in words[i : i + 20_000]], [s for _, s in words[i : i + 20_000]]
+            if tokenizer is self.plain and self.last.any():  # one pre-token a word: its marked token is its end, and no offsets are needed
+                ids = np.array(tokenizer.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+                sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            else:
+                got = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+                ids, sizes = np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
+            self.add(part, ids, sizes)
+
+    def __call__(self, texts: list[bytes | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has. Words are told apart by Arrow, so that each is looked up once a call."""
+        # a copy: not all of Arrow's functions read slices right
+        given = pa.concat_arrays([texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).cast(pa.string())]).fill_null("")
+        low, whole = pc.ascii_lower(given), pc.match_substring(given, "<|").to_numpy(zero_copy_only=False).copy()
+        other = np.flatnonzero(~pc.string_is_ascii(given).to_numpy(zero_copy_only=False))
+        pairs = zip(given.take(other).to_pylist(), low.take(other).to_pylist(), strict=True)
+        whole[other] |= np.array([not all(unicodedata.is_normalized("NFC", x) for x in pair) for pair in pairs], bool)
+        trimmed = pc.ascii_trim_whitespace(pc.if_else(pa.array(whole), given, low))
+        sizes = np.zeros(len(trimmed), np.int64)
+        used = pc.binary_length(trimmed).to_numpy() > 0
+        lists = pc.ascii_split_whitespace(trimmed.filter(pa.array(used)))
+        sizes[used] = lists.value_lengths().to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        one = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        words = pc.binary_join(one, pa.scalar("\n", coded.dictionary.type))[0].as_buffer().to_pybytes().split(b"\n") if len(coded) else []
         if self.n > self.most or self.size > MOST_WORD_BYTES:
             self.make_room()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         self.again[at[at >= 0]] = True
         new = np.flatnonzero(at < 0).tolist()
         if new:
-            self.learn(list(dict.fromkeys([words[i] for i in new])))
+            self.learn([words[i] for i in new])
             at[new] = [self.known[words[i]] for i in new]
+        at = at[coded.indices.to_numpy()]
         ids, lengths = self.gather(at)
         ends = np.cumsum(lengths)
         bound = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
@@ -258,7 +286,7 @@ def id_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
 
         for whole in batches:
             for batch in batches_of(whole, 1, BLOCK * 2):
-                ids, sizes = with_end(*tokens(texts_of(batch.column(1))), end_id)
+                ids, sizes = with_end(*tokens(batch.column(1)), end_id)
                 if rows and held + len(ids) > BLOCK:
                     yield block()
                     seq, held, rows = seq + 1, 0, []

@@ -431,3 +431,26 @@ def test_op3_a_full_store_keeps_words_that_come_again():
     many = " ".join(f"m{i}" for i in range(90))
     for _ in range(3):  # all come again: nothing can be kept
         assert tokens([many.encode()])[0].tolist() == library.encode(many, add_special_tokens=False).ids
+
+
+def test_op3_punctuation_after_a_word_is_learned_once():
+    """A word with punctuation behind it is put together from both parts; ids are the library's, also of texts in a slice, with marks, special tokens or contractions."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, tokens, asked = Tokenizer.from_file(path), token_files.WordTokens(path), []
+    plain = tokens.learn_by
+    tokens.learn_by = lambda tokenizer, words: (asked.extend(w.decode() for w, _ in words if tokenizer is tokens.tokenizer), plain(tokenizer, words))
+    tokens(["straße, word&&& straße!? ñandú&&& plain. x9,".encode()])
+    assert sorted(asked) == ["!?", "&&&", ",", ".", "x9"]
+    given = ["", None, "It's 'sx' don't. you'll!! 's 't. 've'", "a<|endoftext|> <|endoftext|>. b<|", "  \t lead\x0b and\x0ctrail\r\n ", "Å. é&& ΟΔΟΣ. ς, İI. ǅ, x\x1c. \x85. a b, 1²³. ٣. —. —a… 日本。 日本. ✓.", "\x00. a\x00b,", "İ. \u0958. é, É.", "x" * 3000 + "...", "-.- ... ,a .b, c.d. (e) f_ g' h'' i'm. 9's 12,345.67, ABC. Ñ."]
+    rnd = random.Random(5)
+    given += ["".join(rnd.choice("aB9é\u0130\u0958\u0301'.,&|<> \tΣßś²") for _ in range(60)) for _ in range(300)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in given]
+    for texts in ([t if t is None else t.encode() for t in given], pa.array(["ö.", *given, "ä"]).slice(1, len(given)), pa.array([None, *given], pa.large_string()).slice(1)):
+        ids, sizes = tokens(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert tokens([])[1].tolist() == [] and tokens([None])[1].tolist() == [0]
