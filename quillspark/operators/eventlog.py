@@ -27,13 +27,11 @@ def merge_ties(notes: DataFrame, part: list[str], order: list[str], pitch: str,
 def in_measures(events: DataFrame, part: list[str], lines: DataFrame, onset: str, line: str, number: str) -> DataFrame:
     """events with the measure they begin in and the place within it: the last measure line at or before the onset (both fractions). An event before the first line has none.
 
-    Fractions are compared crosswise by whole numbers over one common denominator a part, so no double decides."""
-    unit = lambda df, c: df.select(*part, F.col(c)["den"].alias("den")).distinct()
-    dens = unit(events, onset).unionByName(unit(lines, line)).distinct().groupBy(*part).agg(F.aggregate(F.collect_list("den"), F.lit(1).cast("long"), lambda a, b: F.call_function("div", a, q.gcd(a, b)) * b).alias("_den"))
-    scaled = lambda df, c: df.join(dens, part).withColumn("_at", F.col(c)["num"] * F.call_function("div", F.col("_den"), F.col(c)["den"]))
-    e = scaled(events, onset).select(*part, "_at", "_den", F.lit(1).alias("_side"), F.struct(*(c for c in events.columns if c not in part)).alias("_e"))
-    m = scaled(lines, line).select(*part, "_at", F.lit(0).alias("_side"), F.struct(F.col(number).alias("n"), F.col("_at").alias("at")).alias("_m"))
+    Fractions are put in order by whole numbers (rationals.ranks), so no double decides, and each side is shuffled once."""
+    ranks = lambda c: [x.alias(f"_r{i}") for i, x in enumerate(q.ranks(F.col(c)))]
+    e = events.select(*part, *ranks(onset), F.lit(1).alias("_side"), F.struct(*(c for c in events.columns if c not in part)).alias("_e"))
+    m = lines.select(*part, *ranks(line), F.lit(0).alias("_side"), F.struct(F.col(number).alias("n"), F.col(line).alias("at")).alias("_m"))
     both = e.unionByName(m, allowMissingColumns=True)
-    w = Window.partitionBy(*part).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*part).orderBy(*(f"_r{i}" for i in range(q.RANKS)), "_side").rowsBetween(Window.unboundedPreceding, 0)
     placed = both.withColumn("_m", F.last("_m", ignorenulls=True).over(w)).filter("_side = 1")
-    return placed.select(*part, "_e.*", F.col("_m.n").alias(number), q.fraction(F.col("_at") - F.col("_m.at"), F.col("_den")).alias("place"))
+    return placed.select(*part, "_e.*", F.col("_m.n").alias(number), q.minus(F.col("_e")[onset], F.col("_m.at")).alias("place"))
