@@ -13,7 +13,8 @@ A heavy token is one that some tasks saw repeatedly: the order only moves cost,
 are dropped by an aggregate that is combined before the shuffle, so a group of near copies of any size is no list in one task.
 
 Disk: prefixes, and the lists that pairs come from, go through the shuffle in ROUNDS parts by token, each done before the next begins; texts are packed and shuffled only for the
-sets of pairs that are to be verified, found by a hash of the text where those hashes can be broadcast.
+sets of pairs that are to be verified, found by a hash of the text where those hashes can be broadcast. With each of these pairs one text goes through a
+shuffle, so pairs whose texts are large against all sets are verified in parts as well: the disk goes with the input, whatever the number of pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set, linked with nothing (its component is its doc_id); repeated rows
 are equal sets, so linked; rows with a null doc_id link as others do, but name no component (a component of only such rows has a null one); rows that share
@@ -36,7 +37,7 @@ from .components import components
 
 SHINGLE, SIMILAR = 5, 75  # words; percent
 #: A token counts as heavy where tasks that hold it at least LOCAL times hold it so often together; the most frequent of these are broadcast, 16 bytes each.
-LOCAL, HEAVY, MOST_HEAVY = 2, 6, 1 << 18
+LOCAL, HEAVY, MOST_HEAVY = 2, 6, 1 << 20
 #: Tokens of each set whose lists give pivots; the size beyond which a list of several components gets MORE_PIVOTS more.
 PIVOT_TOKENS, LONG_LIST, MORE_PIVOTS = 6, 24, 16
 #: Sizes of one block of a list differ by less than this factor.
@@ -47,6 +48,8 @@ MOST_HELD = 2_000_000
 ROUNDS = 3
 #: Bytes of text hashes, 8 each, that are broadcast to find the texts of pairs; of more, all texts are packed and shuffled.
 MOST_HASHES = 64 << 20
+#: Tokens of the sets whose texts go through the shuffle with pairs at once: as many as all sets have, or LEAST_MOVED if that is more.
+LEAST_MOVED = 32 << 20
 FOLD = ["x0", "x1", "x2", "x3"]
 FACTS = ["kind", "a", "n", "sid", "h", "bits", *FOLD]
 
@@ -137,10 +140,11 @@ def prefix_size(n: int) -> int:
     return n - -(-SIMILAR * n // 100) + 1
 
 
-def heavy_order(spark: SparkSession, heavy: list[tuple[int, int]]):
-    """Heavy tokens and their counts, for every task."""
-    order = sorted(heavy)
-    return spark.sparkContext.broadcast((np.array([t for t, _ in order], np.int64).view(np.uint64), np.array([n for _, n in order], np.int64)))
+def heavy_order(spark: SparkSession, heavy: pa.Table):
+    """Heavy tokens (a), in order, and their counts (n), for every task."""
+    tokens, counts = heavy["a"].to_numpy().view(np.uint64), heavy["n"].to_numpy()
+    up = np.argsort(tokens, kind="stable")
+    return spark.sparkContext.broadcast((tokens[up], counts[up]))
 
 
 def postings(texts: DataFrame, shared, part: int = 0, parts: int = 1) -> DataFrame:
@@ -148,8 +152,6 @@ def postings(texts: DataFrame, shared, part: int = 0, parts: int = 1) -> DataFra
 
     def emit(batches):
         tokens, counts = shared.value
-        up = np.argsort(tokens, kind="stable")
-        tokens, counts = tokens[up], counts[up]
         seen: set[int] = set()
         for whole in batches:
             for batch in batches_of(whole, 1):
@@ -236,16 +238,16 @@ def needed(x, y):
 
 
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the sets' parity bits allow."""
+    """The pairs (a, b) that the sets' parity bits allow, and n, the size of b."""
     one = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     two = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
 
     def check(batches):
         for batch in batches:
             good = [bits_allow(x, nx, y, ny) for x, nx, y, ny in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "na", "bits_b", "nb")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["a", "b", "nb"]).rename_columns(["a", "b", "n"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(one, "b").join(two, "a").mapInArrow(check, "a long, b long")
+    return pairs.join(one, "b").join(two, "a").mapInArrow(check, "a long, b long, n long")
 
 
 def text_hashes(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -261,9 +263,11 @@ def packed_texts(texts: DataFrame, ids: DataFrame, hashes: DataFrame) -> DataFra
     return pack(texts).join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("packed").alias("packed"))
 
 
-def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, by their texts."""
+def verified(pairs: DataFrame, packed: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """The pairs (a, b) whose sets are linked, by their texts; of parts of all pairs, one."""
     one = packed.select(F.col("sid").alias("b"), F.col("packed").alias("text_b"))
+    if parts > 1:
+        pairs, one = (x.filter(F.pmod(F.xxhash64("b"), F.lit(parts)) == part) for x in (pairs, one))
     two = packed.select(F.col("sid").alias("a"), F.col("packed").alias("text_a"))
 
     def check(batches):
@@ -300,7 +304,8 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         hashes = stored(text_hashes(sets, ids), "hashes")
         packed = stored(packed_texts(texts, ids, hashes), "texts", compression="none")
-        out = stored(verified(pairs, packed), what)
+        n = max(1, -(-(pairs.agg(F.sum("n")).first()[0] or 0) // max(LEAST_MOVED, tokens)))
+        out = reduce(DataFrame.unionByName, [stored(verified(pairs, packed, k, n), what) for k in range(n)])
         dropped(packed)
         dropped(pairs)
         return out
@@ -308,8 +313,9 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     facts = stored(described(texts), "sets", compression="zstd")
     sets = facts.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "sid", "h")
-    heavy = facts.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY).orderBy(F.desc("n"), "a").limit(MOST_HEAVY).collect()
-    order = heavy_order(docs.sparkSession, [(r["a"], r["n"]) for r in heavy])
+    heavy = facts.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY).orderBy(F.desc("n"), "a").limit(MOST_HEAVY).toArrow()
+    order = heavy_order(docs.sparkSession, heavy)
+    tokens = sets.agg(F.sum("n")).first()[0] or 0
     parts = [stored(shared_lists(postings(texts, order, k, ROUNDS)), "lists", compression="zstd") for k in range(ROUNDS)]
     lists = reduce(DataFrame.unionByName, parts)
     wanted = stored(lists.select("sid").distinct(), "wanted")
@@ -327,7 +333,9 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(labelled_lists(lists.join(long_lists, "token", "left_semi"), labels), "long-rows", compression="zstd")
     more_pivots = rows.groupBy("token").agg(*(F.min_by("sid", F.xxhash64("sid", F.lit(k))).alias(f"p{k}") for k in range(MORE_PIVOTS)))
     open_lists = stored(more_pivots.select("token", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(MORE_PIVOTS))))).alias("pivot")), "more-pivots")
-    against = rows.join(open_lists.join(tops, "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot")), "token").filter("label <> pivot_label").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+    sizes = sketches.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"))
+    open_lists = open_lists.join(sizes, "pivot").join(tops, "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
+    against = rows.join(open_lists, "token").filter(f"label <> pivot_label and 100 * least(n, pivot_n) >= {SIMILAR} * greatest(n, pivot_n)").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
     found = stored(possible(against, sketches), "pivot-pairs")
     dropped(rows)
     edges = edges.unionByName(linked(found, "pivot-edges"))

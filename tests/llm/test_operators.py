@@ -454,3 +454,52 @@ def test_op3_punctuation_after_a_word_is_learned_once():
         ids, sizes = tokens(texts)
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
     assert tokens([])[1].tolist() == [] and tokens([None])[1].tolist() == [0]
+
+
+def test_op4_texts_of_many_pairs_move_in_parts(spark, monkeypatch):
+    """More pairs to be verified than texts: they are verified in parts, each of which moves few texts; every link is found."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import jaccard_join as j
+
+    rnd = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    given = [" ".join(passage + [f"w{rnd.randrange(60)}" for _ in range(rnd.randint(6, 10))]) for _ in range(90)]
+    plain, sets, parts = j.verified, {}, []
+
+    def verified(pairs, packed, part=0, n=1):
+        out = plain(pairs, packed, part, n) if n > 1 else plain(pairs, packed)
+        size = {r["sid"]: r["n"] for r in packed.select("sid", F.octet_length("packed").alias("n")).collect()}
+        mine = [size[r["b"]] for r in pairs.filter(F.pmod(F.xxhash64("b"), F.lit(n)) == part).select("b").collect()]
+        parts.append((n, sum(mine)))
+        sets[n] = sets.get(n, 0) + sum(mine)
+        return out
+
+    monkeypatch.setattr(j, "verified", verified)
+    monkeypatch.setattr(j, "LEAST_MOVED", 1, raising=False)
+    got = {r["doc_id"]: r["component_id"] for r in j.join_similar(frame(spark, given)).collect()}
+    label = components_of({i: shingles(t) for i, t in enumerate(given)})
+    assert got == label and 1 < len(set(label.values())) < len(given)
+    assert max(sets) > 1 and all(n * moved <= 2 * sets[n] for n, moved in parts), parts
+
+
+def test_op4_pivots_of_other_sizes_are_no_pairs(spark, monkeypatch):
+    """A long list's sets meet only pivots of sizes that a link allows; one passage in texts of all lengths makes few pairs."""
+    from quillspark.llm import jaccard_join as j
+
+    line = " ".join(f"w{i}" for i in range(40))
+    given = [f"{line} " + " ".join(f"o{i}x{k}" for k in range(2 ** (i % 7 + 1))) for i in range(140)]
+    plain, sizes = j.possible, []
+
+    def possible(pairs, sketches):
+        n = {r["sid"]: r["n"] for r in sketches.select("sid", "n").collect()}
+        sizes.append([(n[r["a"]], n[r["b"]]) for r in pairs.collect()])
+        return plain(pairs, sketches)
+
+    monkeypatch.setattr(j, "possible", possible)
+    monkeypatch.setattr(j, "HEAVY", 1 << 30)
+    got = {r["doc_id"]: r["component_id"] for r in j.join_similar(frame(spark, given)).collect()}
+    assert got == components_of({i: shingles(t) for i, t in enumerate(given)})
+    assert any(sizes) and all(100 * min(p) >= j.SIMILAR * max(p) for some in sizes for p in some)
